@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("lexical",)
+MODULES = ("lexical", "structure")
 
 
 def load() -> None:

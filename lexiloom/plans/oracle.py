@@ -39,7 +39,7 @@ LEX = f"""lex AS (
 
 UNITS = """units AS (
   SELECT 'unit:' || doc_id AS text_unit_id, CAST(doc_id AS VARCHAR) AS upstream_id, 'source:' || lang AS source_work_id,
-    CAST(NULL AS VARCHAR) AS parent_id, 'unclassified' AS unit_type, doc_id AS unit_order,
+    CAST(NULL AS VARCHAR) AS parent_id, CASE WHEN doc_id % 5 = 0 THEN 'section' ELSE 'shabad' END AS unit_type, doc_id AS unit_order,
     CASE WHEN doc_id % 7 <> 0 THEN 'Unit ' || doc_id END AS title FROM documents)"""
 
 CONTRIBUTORS = """contributors AS (
@@ -70,6 +70,21 @@ def fold_space(x: str) -> str:
     return f"trim(regexp_replace({x}, '[{SPACE}]+', ' ', 'g'))"
 
 
+_SECOND = f"regexp_replace(string_split({fold_space('text')}, ' ')[2], '[.,]', '', 'g')"
+DICTIONARY = f"""dictionary AS (
+  SELECT * FROM (SELECT 'term:' || conv_id || ':' || turn AS term_id, 'unit:' || conv_id AS text_unit_id, role AS language,
+    {_SECOND} AS headword, lower({_SECOND}) AS transliteration, text AS meaning_en, role AS grammar_en,
+    'turn ' || turn AS etymology_en FROM conversations) WHERE headword IS NOT NULL AND headword <> '')"""
+
+MEMBERS = """members AS (
+  SELECT r.record_id AS alignment_id, l.line_id, l.text_unit_id, r.item_id % 2 = 0 AS has_translation
+  FROM lines l JOIN reference r ON r.reference_text = l.text)"""
+
+TERMS = """terms AS (
+  SELECT DISTINCT l.line_id, l.text_unit_id, d.term_id, d.headword, d.transliteration, d.meaning_en, d.grammar_en, d.etymology_en
+  FROM dictionary d JOIN lines l ON l.text_unit_id = d.text_unit_id
+  WHERE contains(regexp_replace(l.text, '\\s', '', 'g'), d.headword))"""
+
 QUERY_TABLE = f"""queries AS (
   SELECT record_id AS query_id,
     array_to_string(list_slice(string_split({fold_space('reference_text')}, ' '), 1, 4), ' ') AS query FROM reference)"""

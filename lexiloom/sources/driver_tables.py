@@ -54,7 +54,7 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
         doc.alias("upstream_id"),
         F.concat(F.lit("source:"), "lang").alias("source_work_id"),
         F.lit(None).cast("string").alias("parent_id"),
-        F.lit("unclassified").alias("unit_type"),
+        F.when(F.col("doc_id") % 5 == 0, "section").otherwise("shabad").alias("unit_type"),
         F.col("doc_id").alias("unit_order"),
         F.when(F.col("doc_id") % 7 != 0, F.concat(F.lit("Unit "), doc)).alias("title"),
     )
@@ -150,3 +150,27 @@ def query_table(spark: SparkSession, sf_dir: str, n_words: int = 4) -> DataFrame
     reference = reference_lines(spark, sf_dir)
     head = F.array_join(F.slice(F.split(fold_space(F.col("reference_text")), " "), 1, n_words), " ")
     return reference.select(F.col("record_id").alias("query_id"), head.alias("query"))
+
+
+def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Provider dictionary: the second word of every conversation turn, located at the unit of the
+    same number; the turn itself is the meaning."""
+    word = F.try_element_at(F.split(fold_space(F.col("text")), " "), F.lit(2))
+    return table(spark, sf_dir, "conversations").select(
+        F.concat_ws(":", F.lit("term"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("term_id"),
+        F.concat(F.lit("unit:"), F.col("conv_id").cast("string")).alias("text_unit_id"),
+        F.col("role").alias("language"),
+        F.regexp_replace(word, r"[.,]", "").alias("headword"),
+        F.lower(F.regexp_replace(word, r"[.,]", "")).alias("transliteration"),
+        F.col("text").alias("meaning_en"),
+        F.col("role").alias("grammar_en"),
+        F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("etymology_en"),
+    ).filter(F.col("headword").isNotNull() & (F.col("headword") != ""))
+
+
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines whose text is a line of the reference text, with the record they came from."""
+    reference = reference_lines(spark, sf_dir).select("record_id", "item_id", F.col("reference_text").alias("text"))
+    return lines(spark, sf_dir).join(reference, "text").select(
+        F.col("record_id").alias("alignment_id"), "line_id", "text_unit_id", (F.col("item_id") % 2 == 0).alias("has_translation")
+    )
