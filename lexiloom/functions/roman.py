@@ -69,8 +69,10 @@ def consonants(value: Column) -> Column:
 
 def phonetic_index(value: Column) -> Column:
     """array<string>: distinct phonetic words, without and with the optional nasals."""
-    with_nasals = phonetic(F.regexp_replace(value, r"(?i)\(n\)", "n"))
-    return F.array_distinct(F.concat(split_words(phonetic(value)), split_words(with_nasals)))
+    base = split_words(phonetic(value))
+    nasal = split_words(phonetic(F.regexp_replace(value, r"(?i)\(n\)", "n")))
+    marked = value.rlike(r"(?i)\(n\)")
+    return F.array_distinct(F.when(marked, F.concat(base, nasal)).otherwise(base))
 
 
 def consonant_index(phonetic_words: Column) -> Column:

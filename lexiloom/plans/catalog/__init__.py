@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("lexical", "structure")
+MODULES = ("lexical", "structure", "search", "text")
 
 
 def load() -> None:

@@ -18,6 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute whole rows when the files give fewer tasks than there are cores.
+
+    Line and token work is heavy per row; a table of many row groups is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def works(spark: SparkSession, sf_dir: str) -> DataFrame:
     lang = F.col("lang")
     return (
@@ -72,7 +81,7 @@ def attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf_dir: str, headings: bool = False) -> DataFrame:
     """One row per line; ``heading`` only on request, because it costs a join."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     if headings:
         quality = table(spark, sf_dir, "labels").select("doc_id", "quality")
         docs = docs.join(quality, "doc_id", "left")
