@@ -307,3 +307,93 @@ def attach_terms(
     )
     columns = ["line_id", *dictionary.columns]
     return few.select(*columns).unionByName(many.select(*columns)).dropDuplicates(["term_id", "line_id"])
+
+
+HEAVY = 1000
+
+
+def paragraph_crosswalk(lines: DataFrame, readings: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """Reading lines to canonical lines by the vote of their paragraph.
+
+    The unit with strictly most form matches wins; a line is accepted when it is the only one of its
+    form there.  ``readings``: reading_id, line_order, paragraph, text.
+
+    A form that occurs in many units would pair every paragraph with all of them.  Light forms
+    (at most ``heavy`` units) name the candidate units.  Heavy forms only add votes to these, and for
+    units reached by heavy forms alone the two best per distinct set of heavy forms are enough: any
+    other such unit has no more votes than they have.
+    """
+    par = ["reading_id", "paragraph"]
+    rows = readings.select(
+        "reading_id", "line_order", F.coalesce("paragraph", "line_order").alias("paragraph"), loose_key(F.col("text")).alias("form")
+    )
+    wanted = rows.select("form").distinct()
+    placed = lines.select("line_id", "text_unit_id", loose_key(F.col("text")).alias("form"))
+    form_units = (
+        placed.join(wanted, "form", "left_semi")
+        .groupBy("form", "text_unit_id")
+        .agg(F.count("*").alias("n"), F.min("line_id").alias("line_id"))
+    )
+    forms = form_units.groupBy("form").agg(
+        F.count("*").alias("units"), F.sum("n").alias("total"), F.min("line_id").alias("single")
+    )
+    asked = rows.groupBy(*par, "form").agg(F.count("*").alias("m")).join(forms.select("form", "units"), "form")
+    light, dense = asked.filter(F.col("units") <= heavy), asked.filter(F.col("units") > heavy)
+    votes = light.join(form_units, "form").groupBy(*par, "text_unit_id").agg(F.sum(F.col("m") * F.col("n")).alias("v"))
+    extra = (
+        dense.join(votes.select(*par, "text_unit_id"), par)
+        .join(form_units.select("form", "text_unit_id", "n"), ["form", "text_unit_id"])
+        .select(*par, "text_unit_id", (F.col("m") * F.col("n")).alias("v"))
+    )
+    reached = votes.unionByName(extra).groupBy(*par, "text_unit_id").agg(F.sum("v").alias("v"))
+    signed = dense.groupBy(*par).agg(
+        F.struct(F.bit_xor(F.xxhash64("form", "m")), F.bit_xor(F.xxhash64("m", "form")), F.count("*")).alias("sig")
+    )
+    sample = signed.groupBy("sig").agg(F.min(F.struct(*par)).alias("p")).select("sig", "p.*")
+    tallies = (
+        sample.join(dense, par).join(form_units, "form").groupBy("sig", "text_unit_id").agg(F.sum(F.col("m") * F.col("n")).alias("v"))
+    )
+    top = W.partitionBy("sig").orderBy(F.col("v").desc(), "text_unit_id")
+    leading = tallies.withColumn("r", F.row_number().over(top)).filter("r <= 2")
+    only_heavy = signed.join(leading, "sig").join(reached.select(*par, "text_unit_id"), [*par, "text_unit_id"], "left_anti")
+    everyone = reached.unionByName(only_heavy.select(*par, "text_unit_id", "v"))
+    ranked = everyone.groupBy(*par, "v").agg(F.count("*").alias("tied"), F.min("text_unit_id").alias("unit"))
+    best = ranked.groupBy(*par).agg(F.max_by(F.struct("tied", "unit"), "v").alias("b")).select(
+        *par, F.when(F.col("b.tied") == 1, F.col("b.unit")).alias("best_unit")
+    )
+    voted = rows.join(best, par, "left").join(forms.select("form", "total", "single"), "form", "left")
+    local = form_units.select("form", F.col("text_unit_id").alias("best_unit"), "n", F.col("line_id").alias("local"))
+    found = voted.join(local, ["form", "best_unit"], "left")
+    line = F.when(F.col("best_unit").isNotNull(), F.when(F.col("n") == 1, F.col("local"))).otherwise(
+        F.when(F.col("total") == 1, F.col("single"))
+    )
+    return found.select(
+        "reading_id",
+        "line_order",
+        line.alias("line_id"),
+        F.col("best_unit").alias("text_unit_id"),
+        F.when(line.isNotNull(), "verified_exact_within_paragraph_unit")
+        .when(F.col("best_unit").isNotNull(), "unit_only")
+        .otherwise("unmapped")
+        .alias("status"),
+    )
+
+
+def last_members(members: DataFrame) -> DataFrame:
+    """Marks the last member of every alignment as its anchor; a partial aggregate finds it."""
+    last = members.groupBy("alignment_id").agg(F.max("member_order").alias("_last"))
+    return members.join(last, "alignment_id").withColumn("is_anchor", F.col("member_order") == F.col("_last")).drop("_last")
+
+
+def backfill(rows: DataFrame, updates: DataFrame, key: str, column: str, only_missing: bool = True) -> DataFrame:
+    """Fills ``column`` by key; where stated, only values that are null or empty."""
+    new = updates.select(key, F.nullif(F.trim(column), F.lit("")).alias("_new"))
+    old = F.nullif(F.col(column), F.lit("")) if only_missing else F.lit(None).cast("string")
+    joined = rows.join(new, key, "left")
+    return joined.withColumn(column, F.coalesce(old, "_new", F.col(column))).drop("_new")
+
+
+def form_semi_join(rows: DataFrame, selected: DataFrame, key: Callable[[Column], Column] = loose_key) -> DataFrame:
+    """Only rows whose comparable text occurs in the selected readings."""
+    forms = selected.select(key(F.col("text")).alias("_form")).filter("_form <> ''").distinct()
+    return rows.withColumn("_form", key(F.col("text"))).join(forms, "_form", "left_semi").drop("_form")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("lexical", "structure", "search", "text")
+MODULES = ("lexical", "structure", "search", "text", "alignment")
 
 
 def load() -> None:

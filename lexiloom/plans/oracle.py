@@ -130,3 +130,39 @@ def loose_of_normal(x: str) -> str:
 
 def split_words(x: str) -> str:
     return f"list_filter(string_split({x}, ' '), lambda w: w <> '')"
+
+
+def _part(n: int) -> str:
+    return f"string_split(text, chr(10))[{n + 1}]"
+
+
+SUBSECTIONS = f"""subsections AS (
+  SELECT doc_id AS "RowID", source AS "BaniCode", CASE lang WHEN 'en' THEN 'english' WHEN 'fr' THEN 'panjabi' ELSE lang END AS "BaniLanguage",
+    doc_id // 100 AS "SectionId", doc_id // 2 AS "SubSectionId", {_part(0)} AS c0, {_part(1)} AS c1, {_part(2)} AS c2,
+    {_part(3)} AS c3, {_part(4)} AS c4, {_part(5)} AS c5 FROM documents)"""
+
+_KIND = "CASE WHEN line_order % 10 = 9 THEN 'passage' WHEN line_order % 3 = 0 THEN 'line' ELSE 'none' END"
+
+
+def _collection(code: str, prefix: str, where: str) -> str:
+    return f"""SELECT '{prefix}' || substr(line_id, 5) AS alignment_id, {code} AS collection_code,
+    CAST(substr(text_unit_id, 6) AS BIGINT) AS section_id, page_no AS subsection_id, line_order, line_id, text_unit_id, {_KIND} AS scope,
+    CASE WHEN {_KIND} = 'none' THEN '' ELSE upper(text) END AS translation FROM lines WHERE {where}"""
+
+
+ALIGNMENTS = f"""alignments AS (
+  {_collection("substr(contributor_id, 13)", "a", "TRUE")} UNION ALL
+  {_collection("substr(source_work_id, 8)", "b", "CAST(substr(text_unit_id, 6) AS BIGINT) % 2 = 0")})"""
+COLLECTIONS = """collections AS (
+  SELECT *, CAST(length(collection_code) AS INTEGER) AS collection_order FROM (
+    SELECT DISTINCT source AS collection_code, 'composition' AS collection_type FROM documents
+    UNION ALL SELECT DISTINCT lang, 'ceremonial' FROM documents))"""
+
+
+def loose_key(x: str) -> str:
+    compact = f"regexp_replace(replace(nfc_normalize({x}), '੍', 'ੑ'), '[{ZERO_WIDTH}{SPACE}]', '', 'g')"
+    return f"translate({compact}, '।॥|', '')"
+
+
+def compact_key(x: str) -> str:
+    return f"regexp_replace(replace(nfc_normalize({x}), '੍', 'ੑ'), '[{ZERO_WIDTH}{SPACE}]', '', 'g')"

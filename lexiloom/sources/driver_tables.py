@@ -183,3 +183,55 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).join(reference, "text").select(
         F.col("record_id").alias("alignment_id"), "line_id", "text_unit_id", (F.col("item_id") % 2 == 0).alias("has_translation")
     )
+
+
+def subsections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide provider rows: the first six lines of a document are its six fields."""
+    part = lambda n: F.get(F.split("text", "\n"), F.lit(n))
+    language = F.when(F.col("lang") == "en", "english").when(F.col("lang") == "fr", "panjabi").otherwise(F.col("lang"))
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("RowID"),
+        F.col("source").alias("BaniCode"),
+        language.alias("BaniLanguage"),
+        F.floor(F.col("doc_id") / 100).alias("SectionId"),
+        F.floor(F.col("doc_id") / 2).alias("SubSectionId"),
+        F.floor(F.col("doc_id") / 100).alias("SectionSequence"),
+        F.floor(F.col("doc_id") / 2).alias("SubSectionSequence"),
+        part(0).alias("SubSectionContent"),
+        part(1).alias("SubSectionLiteralTranslation"),
+        part(2).alias("SubSectionMeaningInterpretive"),
+        part(3).alias("SubSectionCommentary"),
+        part(4).alias("SubSectionPoeticalDimension"),
+        part(5).alias("Overview"),
+    )
+
+
+def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two collections over the lines, by source and (every second unit) by language; the last line
+    of a page carries the passage translation."""
+    base = lines(spark, sf_dir).withColumn("doc", F.substring("text_unit_id", 6, 20).cast("bigint"))
+    kind = F.when(F.col("line_order") % 10 == 9, "passage").when(F.col("line_order") % 3 == 0, "line").otherwise("none")
+
+    def collection(rows: DataFrame, code: Column, prefix: str) -> DataFrame:
+        return rows.select(
+            F.concat(F.lit(prefix), F.substring("line_id", 5, 60)).alias("alignment_id"),
+            code.alias("collection_code"),
+            F.col("doc").alias("section_id"),
+            F.col("page_no").alias("subsection_id"),
+            "line_order",
+            "line_id",
+            "text_unit_id",
+            kind.alias("scope"),
+            F.when(kind == "none", "").otherwise(F.upper("text")).alias("translation"),
+        )
+
+    first = collection(base, F.substring("contributor_id", 13, 20), "a")
+    second = collection(base.filter("doc % 2 = 0"), F.substring("source_work_id", 8, 20), "b")
+    return first.unionByName(second)
+
+
+def collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    by_source = docs.select(F.col("source").alias("collection_code"), F.lit("composition").alias("collection_type")).distinct()
+    by_lang = docs.select(F.col("lang").alias("collection_code"), F.lit("ceremonial").alias("collection_type")).distinct()
+    return by_source.unionByName(by_lang).withColumn("collection_order", F.length("collection_code"))
