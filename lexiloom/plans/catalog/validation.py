@@ -9,6 +9,7 @@ from ...operators import release as rl
 from ...operators import structure as st
 from ...operators import validate as va
 from ...operators.alignment import crosswalk
+from ...operators.reading import nearest_rank
 from ...operators.search import line_keys
 from ...sources import driver_tables as src
 from ..oracle import ALIGNMENTS, ATTRIBUTIONS, CONTRIBUTORS, LAYERS, LEX, LINES, REFERENCE, UNITS, with_
@@ -244,7 +245,7 @@ def layer_completeness(spark, sf):
 @query("A25_nearest_rank_percentile", "SELECT event_type, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type")
 def percentile(spark, sf):
     events = src.table(spark, sf, "events")
-    return events.groupBy("event_type").agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"))
+    return nearest_rank(events, "event_type", "value", 0.95).withColumnRenamed("percentile", "p95")
 
 
 @query(
