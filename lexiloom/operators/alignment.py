@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .containment import grams
 from ..functions.text import align_key, compact_key, compare_form, loose_key, whitespace_key
 
 
@@ -291,17 +292,11 @@ def attach_terms(
     text = lines.join(sizes, "text_unit_id").select("line_id", "text_unit_id", "_terms", key(F.col("text")).alias("_text"))
     few = text.filter(F.col("_terms") <= crowded).join(terms, "text_unit_id").filter(F.contains("_text", "_word"))
     busy = text.filter(F.col("_terms") > crowded)
-    positions = F.sequence(F.lit(1), F.greatest(F.length("_text"), F.lit(1)))
-    pieces = F.flatten(
-        F.transform(
-            F.array(F.lit(1), F.lit(2), F.lit(3)),
-            lambda n: F.transform(positions, lambda p: F.substring(F.col("_text"), p, n)),
-        )
-    )
-    grams = busy.select("line_id", "text_unit_id", F.explode(F.array_distinct(pieces)).alias("_gram"))
+    cut = F.flatten(F.array(*[grams(F.col("_text"), n) for n in (1, 2, 3)]))
+    listed = busy.select("line_id", "text_unit_id", F.explode(F.array_distinct(cut)).alias("_gram"))
     opened = terms.withColumn("_gram", F.substring("_word", 1, 3))
     many = (
-        opened.join(grams, ["text_unit_id", "_gram"])
+        opened.join(listed, ["text_unit_id", "_gram"])
         .join(busy.select("line_id", "_text"), "line_id")
         .filter(F.contains("_text", "_word"))
     )

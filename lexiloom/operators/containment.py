@@ -12,30 +12,33 @@ from pyspark.sql import functions as F
 GRAM = 3
 
 
-def _grams(value: Column, size: int) -> Column:
-    spots = F.sequence(F.lit(1), F.greatest(F.length(value) - (size - 1), F.lit(1)))
-    return F.array_distinct(F.transform(spots, lambda p: F.substring(value, p, F.lit(size))))
+def grams(value: Column, size: int) -> Column:
+    """Distinct overlapping pieces of ``size`` characters, found in one pass by a look-ahead."""
+    return F.array_distinct(F.regexp_extract_all(value, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
 def substring_join(queries: DataFrame, texts: DataFrame, needle: str, hay: str, text_id: str) -> DataFrame:
     """Inner join of ``queries`` and ``texts`` on contains(hay, needle).
 
-    ``text_id`` identifies a row of ``texts``.  Needles shorter than a gram use grams of their own length.
+    ``text_id`` identifies a row of ``texts``.  Needles shorter than a gram use grams of their own
+    length; which of the three lengths occur is asked first, so texts are cut no finer than needed.
     """
     needles = queries.filter((F.col(needle).isNotNull()) & (F.col(needle) != "")).select(needle).distinct()
-    hits = None
-    for size in range(1, GRAM + 1):
-        fits = F.length(needle) >= GRAM if size == GRAM else F.length(needle) == size
-        asked = needles.filter(fits).select(needle, F.explode(_grams(F.col(needle), size)).alias("_gram"))
-        held = texts.select(text_id, F.explode(_grams(F.col(hay), size)).alias("_gram"))
-        wanted = asked.select("_gram").distinct()
-        held = held.join(wanted, "_gram", "left_semi")
-        weights = held.groupBy("_gram").agg(F.count("*").alias("_df"))
-        chosen = (
-            asked.join(weights, "_gram", "left")
-            .groupBy(needle)
-            .agg(F.min_by("_gram", F.struct(F.coalesce("_df", F.lit(0)), "_gram")).alias("_gram"))
-        )
-        found = chosen.join(held, "_gram").select(needle, text_id)
-        hits = found if hits is None else hits.unionByName(found)
+    size = F.least(F.length(needle), F.lit(GRAM))
+    sizes = sorted(r[0] for r in needles.select(size.alias("n")).distinct().collect())
+    if not sizes:
+        return texts.join(queries.limit(0), F.lit(False))
+    by_size = F.when(size == sizes[0], grams(F.col(needle), sizes[0]))
+    for n in sizes[1:]:
+        by_size = by_size.when(size == n, grams(F.col(needle), n))
+    asked = needles.select(needle, F.explode(by_size).alias("_gram"))
+    cut = F.array_distinct(F.flatten(F.array(*[grams(F.col(hay), n) for n in sizes])))
+    held = texts.select(text_id, F.explode(cut).alias("_gram")).join(asked.select("_gram").distinct(), "_gram", "left_semi")
+    weights = held.groupBy("_gram").agg(F.count("*").alias("_df"))
+    chosen = (
+        asked.join(weights, "_gram", "left")
+        .groupBy(needle)
+        .agg(F.min_by("_gram", F.struct(F.coalesce("_df", F.lit(0)), "_gram")).alias("_gram"))
+    )
+    hits = chosen.join(held, "_gram").select(needle, text_id)
     return hits.join(texts, text_id).filter(F.contains(hay, needle)).join(queries, needle)

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("lexical", "structure", "search", "text", "alignment", "validation", "reading")
+MODULES = ("lexical", "structure", "search", "text", "alignment", "validation", "reading", "sources")
 
 
 def load() -> None:

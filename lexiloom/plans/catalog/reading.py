@@ -17,7 +17,8 @@ from ...operators.containment import substring_join
 from ...sources import driver_tables as src
 from .. import oracle as o
 from ..oracle import ALIGNMENTS, COLLECTIONS, CONTRIBUTORS, DICTIONARY, LAYERS, LEX, LINES, QUERY_TABLE, REFERENCE, TERMS, UNITS, with_
-from ..registry import query
+from ...session import cut_lineage
+from ..registry import query, stored
 from .alignment import _ENTRY, _READ, _TYPES, _UNPIVOT, entries, readings
 from .text import PLAIN
 
@@ -77,7 +78,9 @@ def translation_choice(spark, sf):
 
 
 def line_terms(spark, sf):
-    return al.attach_terms(src.lines(spark, sf), src.dictionary(spark, sf))
+    return stored(
+        spark, sf, "line-terms", lambda: cut_lineage(al.attach_terms(src.lines(spark, sf), src.dictionary(spark, sf)), "line-terms")
+    )
 
 
 @query(

@@ -8,12 +8,14 @@ from ...functions import roman as rm
 from ...functions import scoring as sc
 from ...functions.text import LATIN, PRIMARY, split_words
 from ...operators import search as se
+from ...operators.containment import substring_join
+from ...session import cut_lineage
 from ...sources import driver_tables as src
 from ..oracle import (
     BLOCK, LINES, QUERY_TABLE, REFERENCE, loose_of_normal, phonetic, phonetic_of_normal, primary_normal, roman_normal,
     split_words as words_sql, with_,
 )
-from ..registry import query
+from ..registry import query, stored
 
 
 def lines(spark, sf):
@@ -22,7 +24,8 @@ def lines(spark, sf):
 
 
 def index(spark, sf, script=PRIMARY):
-    return se.build_index(lines(spark, sf), script)
+    name = "search-index-" + ("default" if script is PRIMARY else "latin")
+    return stored(spark, sf, name, lambda: se.build_index(lines(spark, sf), script))
 
 
 def _skeleton(x: str) -> str:
@@ -108,31 +111,145 @@ def edit_distance(spark, sf):
     return w.select("line_id", sc.edit_distance(F.get("w", F.lit(0)), F.get("w", F.lit(1))).alias("distance"))
 
 
-def ordered_sql(wanted: str, available: str, minimum: float) -> str:
-    """The same recurrence, folded from the last wanted word with list_reduce; -1 marks no place."""
-    sims = f"list_transform({available}, lambda a: {_similar('x[2][1]', 'a')})"
-    step = f"""[list_transform(range(0, len({available}) + 1), lambda c: coalesce(list_max(list_transform(range(0, 7), lambda g:
-      CASE WHEN c + g < len({available}) AND sv[c + g + 1] >= {minimum}::DOUBLE AND acc[1][c + g + 2] >= 0 THEN
-      sv[c + g + 1] - least(0.12::DOUBLE, g * 0.025::DOUBLE) + acc[1][c + g + 2] END)), -1.0::DOUBLE))]"""
-    return sims, step
+@query("X20_ordered_alignment")
+def ordered_alignment(spark, sf):
+    ix = index(spark, sf)
+    asked = sc.with_query_keys(src.query_table(spark, sf), "query")
+    pairs = se.retrieve(asked, ix).select("query_id", "line_id").join(asked, "query_id").join(ix.keys.select("line_id", "roman_key"), "line_id")
+    score = sc.alignment(split_words(F.col("wanted_key")), split_words(F.col("roman_key")), F.lit(sc.ROMAN_MINIMUM))
+    scored = pairs.select("query_id", "line_id", score.alias("s"))
+    return scored.select("query_id", "line_id", F.round("s.straight", 6).alias("straight"), F.round("s.omitted", 6).alias("omitted"))
 
 
-@query(
-    "W3_best_score_per_line",
-    None,
-)
+_TIERS = """tiers AS (SELECT a.query_id, k.line_id, CASE WHEN k.rt = a.qn THEN 1000.0 WHEN starts_with(k.rt, a.qn) THEN 960.0
+  WHEN contains(k.rt, ' ' || a.qn || ' ') OR ends_with(k.rt, ' ' || a.qn) THEN 930.0 END::DOUBLE AS score
+  FROM retrieved r JOIN asked a USING (query_id) JOIN keys k USING (line_id))"""
+
+
+@query("X21_score_tiers", with_(*ROMAN, _TIERS) + "SELECT * FROM tiers WHERE score IS NOT NULL")
+def score_tiers(spark, sf):
+    ix = index(spark, sf)
+    asked = sc.with_query_keys(src.query_table(spark, sf), "query")
+    pairs = se.retrieve(asked, ix).select("query_id", "line_id").join(asked, "query_id")
+    scored = sc.score_pairs(pairs.join(ix.keys.select("line_id", *sc.CANDIDATE_KEYS), "line_id"))
+    return scored.select("query_id", "line_id", "score").filter(F.col("score").isin(1000.0, 960.0, 930.0))
+
+
+def scored(spark, sf):
+    return stored(
+        spark, sf, "scored-lines", lambda: cut_lineage(se.scored_lines(src.query_table(spark, sf), index(spark, sf)), "scored-lines")
+    )
+
+
+HIT = ("query_id", "text_unit_id", "line_id", "match_kind")
+
+
+@query("W3_best_score_per_line")
 def best_score_per_line(spark, sf):
-    scored = se.scored_lines(src.query_table(spark, sf), index(spark, sf))
-    return scored.select("query_id", "line_id", F.round("score", 6).alias("score"), "match_kind")
+    return scored(spark, sf).select("query_id", "line_id", F.round("score", 6).alias("score"), "match_kind")
 
 
-@query("K7_search", None)
+@query("F11_score_threshold")
+def score_threshold(spark, sf):
+    return scored(spark, sf).filter(F.col("score") >= se.MINIMUM_SCORE).groupBy("query_id").agg(F.count("*").alias("n"))
+
+
+@query("W4_first_hit_per_unit")
+def first_hit_per_unit(spark, sf):
+    return se.first_per_unit(scored(spark, sf), "source:en").select(*HIT, F.round("score", 6).alias("score"))
+
+
+@query("K7_search")
 def search(spark, sf):
     found = se.search(src.query_table(spark, sf), index(spark, sf), limit=60, preferred_work="source:en")
-    return found.select("query_id", "text_unit_id", "line_id", F.round("score", 6).alias("score"), "match_kind", "position")
+    return found.select(*HIT, F.round("score", 6).alias("score"), "position")
 
 
-@query("K7_search_primary", None)
+@query("K7_search_primary")
 def search_primary(spark, sf):
     found = se.search(src.query_table(spark, sf), index(spark, sf, LATIN), limit=60, preferred_work="source:en")
-    return found.select("query_id", "text_unit_id", "line_id", F.round("score", 6).alias("score"), "match_kind", "position")
+    return found.select(*HIT, F.round("score", 6).alias("score"), "position")
+
+
+_LETTERS = f"""letters AS (SELECT query_id, replace(qn, ' ', '') AS q FROM (SELECT record_id AS query_id, {roman_normal(
+    "array_to_string(list_transform(list_slice(string_split(" + "reference_text" + ", ' '), 1, 4), lambda w: substr(w, 1, 1)), '')")} AS qn FROM reference)),
+inits AS (SELECT line_id, array_to_string(list_transform(regexp_extract_all(lower(strip_accents(text)), '[a-z]+'), lambda w: substr(w, 1, 1)), '') AS i,
+  array_to_string(list_transform({words_sql(phonetic_of_normal(roman_normal('text')))}, lambda w: substr(w, 1, 1)), '') AS f FROM lines)"""
+
+
+def letter_queries(spark, sf):
+    words = F.slice(F.split("reference_text", " "), 1, 4)
+    letters = F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
+    return src.reference_lines(spark, sf).select(F.col("record_id").alias("query_id"), letters.alias("query"))
+
+
+@query(
+    "J25_first_letter_search",
+    with_(LINES, REFERENCE, _LETTERS)
+    + """SELECT query_id, line_id, CASE WHEN starts_with(f, q) THEN 790.0 ELSE 690.0 END::DOUBLE AS score FROM letters JOIN inits ON contains(i, q) WHERE q <> ''""",
+)
+def first_letter_search(spark, sf):
+    hits = se.initials_hits(letter_queries(spark, sf), index(spark, sf))
+    return hits.select("query_id", "line_id", "score")
+
+
+def sessions(spark, sf, limit):
+    found = se.search(src.query_table(spark, sf), index(spark, sf), limit=limit)
+    session = F.split("query_id", ":")[1].cast("bigint")
+    return found.withColumn("session_id", session).withColumn("result_type", F.lit("unit"))
+
+
+@query("T7_merged_alternatives")
+def merged_alternatives(spark, sf):
+    merged = se.merge_alternatives(sessions(spark, sf, 100), 100, ("result_type", "text_unit_id", "line_id"))
+    return merged.select("session_id", "text_unit_id", "line_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("T8_identify_units")
+def identify_units(spark, sf):
+    merged = se.merge_alternatives(sessions(spark, sf, 20), 5, ("text_unit_id",))
+    return merged.select("session_id", "text_unit_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("K13_transcript_identification")
+def transcript_identification(spark, sf):
+    from ..jobs import identify
+
+    asked = src.query_table(spark, sf).withColumn("session_id", F.split("query_id", ":")[1].cast("bigint"))
+    return identify(asked, index(spark, sf)).select("session_id", "rank", "text_unit_id", "verdict")
+
+
+@query("U5_result_families")
+def result_families(spark, sf):
+    units = se.top_per_query(se.first_per_unit(scored(spark, sf)), 60).select(
+        "query_id", "text_unit_id", F.col("line_id").alias("result_id"), "score", "position"
+    )
+    texts = src.layers(spark, sf).filter("text_unit_id IS NOT NULL").select("layer_id", "text_unit_id", F.lower("content").alias("hay"))
+    asked = src.query_table(spark, sf, 2).select("query_id", F.lower("query").alias("needle"))
+    family = substring_join(asked, texts, "needle", "hay", "layer_id").select(
+        "query_id", "text_unit_id", F.col("layer_id").alias("result_id"), F.lit(0.0).alias("score"), F.lit(0).alias("position")
+    )
+    merged = se.with_families(units, [family], 60)
+    modes = se.response_mode(merged).select("query_id", "mode")
+    return merged.join(modes, "query_id").select("query_id", "text_unit_id", "result_id", "family", "rank", "mode")
+
+
+@query("Q13_golden_search_regression")
+def golden_regression(spark, sf):
+    expected = src.members(spark, sf).select(F.col("alignment_id").alias("query_id"), F.col("text_unit_id").alias("expected_unit"))
+    found = se.search(src.query_table(spark, sf), index(spark, sf), limit=10)
+    hit = expected.join(found, (expected["query_id"] == found["query_id"]) & (F.col("expected_unit") == F.col("text_unit_id")), "left")
+    return hit.select(expected["query_id"], "expected_unit", F.col("position").isNotNull().alias("passed"))
+
+
+_KEYS = f"""SELECT line_id, rt AS roman_text, gt AS primary_text, array_to_string(list_sort(pw), ' ') AS phonetic, array_to_string(list_sort(cw), ' ') AS consonants
+  FROM (SELECT *, {primary_normal('text')} AS gt FROM keys)"""
+
+
+@query("K2_search_keys", with_(LINES, ROMAN_KEYS) + _KEYS)
+def search_keys(spark, sf):
+    keys = se.line_keys(lines(spark, sf), LATIN)
+    joined = lambda c: F.array_join(F.array_sort(c), " ")
+    return keys.select(
+        "line_id", "roman_text", "primary_text", joined("roman_phonetic").alias("phonetic"), joined("roman_consonants").alias("consonants")
+    )

@@ -147,7 +147,7 @@ _KIND = "CASE WHEN line_order % 10 = 9 THEN 'passage' WHEN line_order % 3 = 0 TH
 def _collection(code: str, prefix: str, where: str) -> str:
     return f"""SELECT '{prefix}' || substr(line_id, 5) AS alignment_id, {code} AS collection_code,
     CAST(substr(text_unit_id, 6) AS BIGINT) AS section_id, page_no AS subsection_id, line_order, line_id, text_unit_id, {_KIND} AS scope,
-    CASE WHEN {_KIND} = 'none' THEN '' ELSE upper(text) END AS translation FROM lines WHERE {where}"""
+    CASE WHEN {_KIND} = 'none' THEN '' ELSE 'T. ' || text END AS translation FROM lines WHERE {where}"""
 
 
 ALIGNMENTS = f"""alignments AS (

@@ -8,6 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+_STORED: dict[tuple[str, str, str], object] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], object]):
+    """A derived table that several queries read: built once per application, then kept in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        _STORED[key] = build()
+    return _STORED[key]
+
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 

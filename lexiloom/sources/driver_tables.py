@@ -222,7 +222,7 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
             "line_id",
             "text_unit_id",
             kind.alias("scope"),
-            F.when(kind == "none", "").otherwise(F.upper("text")).alias("translation"),
+            F.when(kind == "none", "").otherwise(F.concat(F.lit("T. "), "text")).alias("translation"),
         )
 
     first = collection(base, F.substring("contributor_id", 13, 20), "a")
