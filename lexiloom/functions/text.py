@@ -11,7 +11,6 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -52,14 +51,19 @@ NFC_MAYBE = r"[^\x{0000}-\x{02FF}\x{0964}\x{0965}\x{0A00}-\x{0A7F}\x{2010}-\x{20
 NFD_MAYBE = r"[^\x{0000}-\x{00BF}\x{2010}-\x{2027}]"
 
 
+def _normalised(form: str, values: pa.Array) -> pa.Array:
+    """Batch normalisation (pyarrow's own kernel does not recompose under NFC)."""
+    return pa.array([None if v is None else unicodedata.normalize(form, v) for v in values.to_pylist()], pa.string())
+
+
 @F.arrow_udf(StringType())
 def _nfc(values: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(values, "NFC")
+    return _normalised("NFC", values)
 
 
 @F.arrow_udf(StringType())
 def _nfd(values: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(values, "NFD")
+    return _normalised("NFD", values)
 
 
 def nfc(value: Column) -> Column:

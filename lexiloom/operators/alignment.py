@@ -257,7 +257,7 @@ def positional(groups: DataFrame, heading: Callable[[Column], Column] = is_headi
     ``groups``: group_id, refs array<string>, translations array<string>.
     """
     gap = F.size("refs") - F.size("translations")
-    headed = F.forall(F.slice("refs", F.lit(1), F.greatest(gap, F.lit(0))), heading)
+    headed = F.forall(F.slice("refs", F.lit(1), F.greatest(gap, F.lit(0))), lambda line: heading(line))
     shift = F.when(F.size("translations") == 0, F.lit(None)).when(gap == 0, 0).when(gap.between(1, 2) & headed, gap)
     prepared = groups.withColumns({"shift": shift.cast("int"), "n": F.size("refs")})
     rows = prepared.select("*", F.posexplode("refs").alias("line_index", "reference"))
