@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .containment import grams
 from ..functions.text import align_key, compact_key, compare_form, loose_key, whitespace_key
 
@@ -304,7 +305,7 @@ def attach_terms(
     return few.select(*columns).unionByName(many.select(*columns)).dropDuplicates(["term_id", "line_id"])
 
 
-HEAVY = 1000
+HEAVY = 50
 
 
 def paragraph_crosswalk(lines: DataFrame, readings: DataFrame, heavy: int = HEAVY) -> DataFrame:
@@ -319,15 +320,22 @@ def paragraph_crosswalk(lines: DataFrame, readings: DataFrame, heavy: int = HEAV
     other such unit has no more votes than they have.
     """
     par = ["reading_id", "paragraph"]
-    rows = readings.select(
-        "reading_id", "line_order", F.coalesce("paragraph", "line_order").alias("paragraph"), loose_key(F.col("text")).alias("form")
+    rows = cut_lineage(
+        readings.select(
+            "reading_id",
+            "line_order",
+            F.coalesce("paragraph", "line_order").alias("paragraph"),
+            F.md5(loose_key(F.col("text"))).alias("form"),
+        ),
+        "reading-forms",
     )
     wanted = rows.select("form").distinct()
-    placed = lines.select("line_id", "text_unit_id", loose_key(F.col("text")).alias("form"))
-    form_units = (
+    placed = lines.select("line_id", "text_unit_id", F.md5(loose_key(F.col("text"))).alias("form"))
+    form_units = cut_lineage(
         placed.join(wanted, "form", "left_semi")
         .groupBy("form", "text_unit_id")
-        .agg(F.count("*").alias("n"), F.min("line_id").alias("line_id"))
+        .agg(F.count("*").alias("n"), F.min("line_id").alias("line_id")),
+        "form-units",
     )
     forms = form_units.groupBy("form").agg(
         F.count("*").alias("units"), F.sum("n").alias("total"), F.min("line_id").alias("single")

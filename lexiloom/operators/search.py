@@ -171,7 +171,8 @@ def retrieve(queries: DataFrame, index: SearchIndex) -> DataFrame:
     of the two rarest, so these words' postings are enough, and exact.
     """
     asked = query_words(queries.select("query_id", "query"), index.script).filter(F.size("words") > 0)
-    tokens, ranked = _ranked_words(asked, index)
+    # small next to the corpus and read by every step below: kept, not recomputed
+    tokens, ranked = (cut_lineage(df, "query-words") for df in _ranked_words(asked, index))
 
     def verified(rank: int, which: DataFrame, missing: int) -> DataFrame:
         seeds = tokens.join(ranked.filter(F.col("rank") == rank), ["query_id", "word_no"]).select("query_id", "field", "token")
@@ -182,7 +183,7 @@ def retrieve(queries: DataFrame, index: SearchIndex) -> DataFrame:
         kept = full.filter(_matched_words() == needed)
         return kept.select("query_id", "line_id", needed.alias("matched_words"), F.size("words").alias("n_words"))
 
-    strict = verified(1, asked, 0)
+    strict = cut_lineage(verified(1, asked, 0), "search-hits")
     open_queries = asked.filter(F.size("words") >= OMISSION_FROM).join(
         strict.select("query_id").distinct(), "query_id", "left_anti"
     )

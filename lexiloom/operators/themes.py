@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_term, excerpt, fold_space, plain_text
@@ -63,15 +64,24 @@ def theme_search(queries: DataFrame, layers: DataFrame, themes: DataFrame, pages
 
     ``pages``: text_unit_id, first_page; breaks ties of equal scores.
     """
-    from pyspark.sql import Window as W
-
-    hits = triggered(queries, themes).drop("terms").join(evidence(layers, themes), "theme").join(pages, "text_unit_id")
-    own = F.when(contains_term(F.col("plain"), F.trim(F.lower("query"))), OWN_WORD).otherwise(0)
-    scored = hits.withColumn("score", F.lit(BASE) + F.size("matched") * PER_TERM + own).filter(F.col("score") >= MINIMUM)
+    fired = triggered(queries, themes).select("query_id", "theme", F.trim(F.lower("query")).alias("asked"))
+    # the answer depends on the folded query only, so it is found once per different query
+    found = evidence(layers, themes).join(pages, "text_unit_id").join(fired.select("theme", "asked").distinct(), "theme")
+    own = F.when(contains_term(F.col("plain"), F.col("asked")), OWN_WORD).otherwise(0)
+    scored = found.select(
+        "asked", "theme", "layer_id", "text_unit_id", "first_page", (F.lit(BASE) + F.size("matched") * PER_TERM + own).alias("score")
+    ).filter(F.col("score") >= MINIMUM)
     order = F.struct(-F.col("score"), "first_page", "layer_id")
-    best = scored.groupBy("query_id", "text_unit_id").agg(
-        F.min_by(F.struct("theme", "layer_id", "score", "first_page", "matched", "plain"), order).alias("h")
-    ).select("query_id", "text_unit_id", "h.*")
-    ranked = W.partitionBy("query_id").orderBy(F.col("score").desc(), "first_page", "layer_id")
+    best = scored.groupBy("asked", "theme", "text_unit_id").agg(
+        F.min_by(F.struct("layer_id", "score", "first_page"), order).alias("h")
+    ).select("asked", "theme", "text_unit_id", "h.*")
+    ranked = W.partitionBy("asked").orderBy(F.col("score").desc(), "first_page", "layer_id")
     top = best.withColumn("position", F.row_number().over(ranked)).filter(F.col("position") <= min(limit, SHOWN))
-    return top.withColumn("excerpt", excerpt(F.col("plain"), F.array_sort("matched"))).drop("plain", "matched")
+    # only the rows shown fetch their text again
+    terms = themes.select("theme", "terms")
+    texts = layers.select("layer_id", "content").join(top.select("layer_id").distinct(), "layer_id", "left_semi")
+    plain = texts.select("layer_id", plain_text(F.col("content")).alias("plain"))
+    shown = top.join(plain, "layer_id").join(terms, "theme")
+    matched = F.filter("terms", lambda t: contains_term(F.col("plain"), t))
+    cut = shown.withColumn("excerpt", excerpt(F.col("plain"), matched)).drop("plain", "terms")
+    return cut.join(fired.select("query_id", "asked"), "asked").drop("asked")
