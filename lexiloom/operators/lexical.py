@@ -137,9 +137,8 @@ def ranked_forms_page(
         words = F.filter(words, lambda w: F.startswith(w, F.lit(letter)))
     weighted = _weighted_forms(lines, words)
     counts = weighted.groupBy("form").agg(F.sum("n").alias("frequency"), F.sum("l").alias("distinct_lines"))
-    total = counts.agg(F.count("*").alias("total")).select(F.lit(1).alias("k"), "total")
     page = counts.orderBy(F.col("frequency").desc(), "form").offset(offset).limit(limit)
-    return page.withColumn("k", F.lit(1)).join(total, "k").drop("k")
+    return page.withColumn("total", counts.agg(F.count("*")).scalar())
 
 
 def grouped_frequency(lines: DataFrame, forms: Sequence[str], script: Script = PRIMARY) -> DataFrame:
@@ -183,8 +182,7 @@ def related_form_frequency(lines: DataFrame, forms: Sequence[str], script: Scrip
     )
     listed = lines.sparkSession.createDataFrame([(f,) for f in wanted], "form string")
     filled = listed.join(per_form, "form", "left").na.fill(0)
-    combined = filled.agg(F.sum("raw_frequency").alias("combined_raw_frequency")).withColumn("k", F.lit(1))
-    return filled.withColumn("k", F.lit(1)).join(combined, "k").drop("k")
+    return filled.withColumn("combined_raw_frequency", filled.agg(F.sum("raw_frequency")).scalar())
 
 
 def prefix_forms(lines: DataFrame, prefix: str, script: Script = PRIMARY, limit: int | None = 12) -> DataFrame:
