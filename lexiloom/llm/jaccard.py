@@ -279,3 +279,13 @@ def near_duplicate_classes(docs: DataFrame, words: int, num: int, den: int) -> D
 @query("op9_token_group_join")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(table(spark, sf_dir, "documents"), 3, 90, 100).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each_class(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The documents without those that a smaller doc_id of their class stands for, all columns as they are.
+
+    Rows that repeat a doc_id stay or go together; rows without doc_id and documents without words stay.
+    """
+    classes = near_duplicate_classes(docs, words, num, den)
+    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -204,8 +204,11 @@ def assign(entities: DataFrame) -> DataFrame:
         drawn = cut_lineage(kept.union(again), "drawn")
 
 
-def replace(docs: DataFrame) -> DataFrame:
-    """The documents with ``text`` replaced; all columns as they are, plus n_entities as the last one."""
+def replace(docs: DataFrame, length: str | None = None) -> DataFrame:
+    """The documents with ``text`` replaced; other columns as they are, plus n_entities as the last one.
+
+    ``length`` names a column that holds the text's code points and is kept in step.
+    """
     entities = _entities(docs)
     pairs = F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\0", "kind", "canonical"), "surrogate"))).alias("_names")
     names = entities.join(assign(entities), ["kind", "canonical"]).groupBy(F.col("digest").alias("_digest")).agg(pairs)
@@ -229,7 +232,11 @@ def replace(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], names=[*batch.schema.names[:-1], "n_entities"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(run, f"{kinds}, n_entities long")
+    replaced = joined.mapInArrow(run, f"{kinds}, n_entities long")
+    if length is None:
+        return replaced
+    own = F.when(F.col("n_entities") > 0, F.char_length("text")).otherwise(F.col(length)).cast(docs.schema[length].dataType)
+    return replaced.withColumn(length, own)
 
 
 @query("op4_surrogates")
