@@ -35,7 +35,7 @@ from .common import query, table, whole_text
 TABLE_BITS = 17
 LABELS = 100_000
 RATIO = 1.5
-ERRORS = 5.0
+ERRORS = 4.0
 TEMPERATURE = 0.05
 LONG_RUN = 4
 BINS = 4096
