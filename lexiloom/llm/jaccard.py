@@ -26,7 +26,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,10 +33,9 @@ from ..session import cut_lineage
 from .common import query, table, whole_text
 from .components import components
 
-LEVEL_BITS = 20  # slots of the table of frequent tokens
-FREQUENT = 16  # rows from which a token counts as frequent
+LEVEL_BITS = 18  # slots of the table of frequent tokens
+FREQUENT = 16  # rows beyond the usual load of a slot from which its tokens count as frequent
 GROUP_MEMBERS = 32
-MEMO_WORDS = 1 << 19
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -67,13 +65,19 @@ class Threshold:
         return F.least(a, b) * self.den >= F.greatest(a, b) * self.num
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+CHUNK = 1 << 20
+BASE = 0xD6E8FEB86659FD93
+_POWERS: list[np.ndarray] = []  # BASE^i and BASE^-i modulo 2^64
 
 
-_WORDS = _Words()
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if not _POWERS or len(_POWERS[0]) < n:
+        _POWERS[:] = [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(max(n, 2 * CHUNK), x, np.uint64)))) for x in (BASE, pow(BASE, -1, 1 << 64))]
+    return _POWERS[0][:n], _POWERS[1][:n]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -81,57 +85,103 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingle_sets(texts, words: int) -> Iterator[np.ndarray]:
+def _word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word of adjoining texts that begin at ``starts``, and the number of its text."""
+    up, down = _powers(len(data) + 1)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * up[:-1])))
+    inside = ~SPACE[data]
+    goes_on = inside & np.concatenate((np.zeros(1, bool), inside[:-1]))
+    goes_on[starts[starts < len(data)]] = False  # a text begins a word even if the one before ends in one
+    begin = np.flatnonzero(inside & ~goes_on)
+    end = np.flatnonzero(inside & ~np.concatenate((goes_on[1:], np.zeros(1, bool)))) + 1
+    return _mixed((sums[end] - sums[begin]) * down[begin]), np.searchsorted(starts, begin, "right") - 1
+
+
+def _sets_of_chunk(data: np.ndarray, starts: np.ndarray, words: int) -> Iterator[np.ndarray]:
+    hashes, owner = _word_hashes(data, starts)
+    held = np.bincount(owner, minlength=len(starts))
+    count = max(0, len(hashes) - words + 1)
+    value = np.full(count, words, np.uint64)
+    for i in range(words):
+        value = _mixed(value * np.uint64(ODD[0]) + hashes[i : i + count])
+    whole = owner[:count] == owner[words - 1 : words - 1 + count]
+    value = value[whole]
+    ends = np.cumsum(np.maximum(0, held - words + 1))
+    first_word = np.cumsum(held) - held
+    for i, (n, end) in enumerate(zip(held.tolist(), ends.tolist(), strict=True)):
+        if n >= words:
+            yield np.unique(value[end - n + words - 1 : end])
+        else:
+            short = np.full(min(n, 1), n, np.uint64)
+            for w in hashes[first_word[i] : first_word[i] + n]:
+                short = _mixed(short * np.uint64(ODD[0]) + w)
+            yield short
+
+
+def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
     """Sorted distinct n-gram hashes of each text.  Only A-Z is lower-cased; words are split at ASCII white space."""
-    for text in texts:
-        split = (text or "").encode().lower().split()
-        if len(_WORDS) > MEMO_WORDS:
-            _WORDS.clear()
-        hashes = np.fromiter(map(_WORDS.__getitem__, split), np.uint64, len(split))
-        n = min(words, len(split))
-        if not n:
-            yield hashes
-            continue
-        count = len(split) - n + 1
-        value = np.full(count, n, np.uint64)
-        for i in range(n):
-            value = _mixed(value * np.uint64(ODD[0]) + hashes[i : i + count])
-        yield np.unique(value)
+    texts = texts.cast(pa.large_string()).fill_null("")
+    if not len(texts):
+        return
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data or b"", np.uint8)
+    low = 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + CHUNK, "right")) - 1)
+        high = min(high, len(texts))
+        yield from _sets_of_chunk(data[offsets[low] : offsets[high]], offsets[low:high] - offsets[low], words)
+        low = high
 
 
 def _digest(tokens: np.ndarray) -> bytes:
     return hashlib.md5(tokens.tobytes(), usedforsecurity=False).digest()
 
 
-def _nodes(docs: DataFrame, words: int) -> DataFrame:
+def _nodes_and_counts(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, n_shingles, node, null, null) of every row; and of each task one row of counts of tokens by slot."""
     rows = docs.select("doc_id", whole_text().alias("text"))
+    names = ["doc_id", "n_shingles", "node", "slots", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, kind = np.zeros(1 << LEVEL_BITS, np.int64), None
         for batch in batches:
-            sets = [(len(s), _digest(s)) for s in shingle_sets(batch.column(1).to_pylist(), words)]
-            columns = [batch.column(0), pa.array([s[0] for s in sets], pa.int64()), pa.array([s[1] for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "node"])
+            kind, sizes, nodes, slots = batch.schema.field(0).type, [], [], []
+            for found in shingle_sets(batch.column(1), words):
+                sizes.append(len(found))
+                nodes.append(_digest(found))
+                slots.append(_slots(found))
+            if slots:
+                counts += np.bincount(np.concatenate(slots), minlength=len(counts))
+            none = [pa.nulls(len(sizes), pa.list_(pa.int64()))] * 2
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), *none], names=names)
+        at = np.flatnonzero(counts)
+        if len(at):
+            lists = [pa.array([x], pa.list_(pa.int64())) for x in (at, counts[at])]
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), *lists], names=names)
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return cut_lineage(rows.mapInArrow(run, f"doc_id {kind}, n_shingles long, node binary, slots array<long>, counts array<long>"), "nodes")
+
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles long, node binary")
+def _slots(tokens: np.ndarray) -> np.ndarray:
+    return (tokens & np.uint64((1 << LEVEL_BITS) - 1)).astype(np.int64)
 
 
 def _prefix_rows(docs: DataFrame, how: Threshold, levels) -> DataFrame:
-    """(token, node, size) of every prefix token; levels: broadcast table of frequency levels, or None."""
+    """(token, node, size) of every prefix token; levels: broadcast table of frequency levels by slot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens, nodes, sizes, counts = [], [], [], []
-            for found in shingle_sets(batch.column(0).to_pylist(), how.words):
+            for found in shingle_sets(batch.column(0), how.words):
                 if not len(found):
                     continue
                 n = how.prefix(len(found))
-                if levels is not None:
-                    level = levels.value[(found & np.uint64((1 << LEVEL_BITS) - 1)).astype(np.int64)]
-                    if level.any():
-                        found = found[np.lexsort((found, level))]
-                    nodes.append(_digest(np.sort(found)))
-                else:
-                    nodes.append(_digest(found))
+                nodes.append(_digest(found))
+                level = levels.value[_slots(found)]
+                if level.any():
+                    found = found[np.lexsort((found, level))]
                 tokens.append(found[:n])
                 sizes.append(len(found))
                 counts.append(n)
@@ -145,15 +195,15 @@ def _prefix_rows(docs: DataFrame, how: Threshold, levels) -> DataFrame:
     return docs.select(whole_text().alias("text")).mapInArrow(run, "token long, node binary, size long")
 
 
-def _frequency_levels(docs: DataFrame, how: Threshold) -> np.ndarray:
-    """log2 of how often a token is met in prefixes by hash order, by slot.  At most 2^LEVEL_BITS rows reach the driver."""
-    counted = _prefix_rows(docs, how, None).groupBy("token").count().where(F.col("count") >= FREQUENT)
-    slot = F.col("token").bitwiseAND((1 << LEVEL_BITS) - 1)
-    rows = counted.groupBy(slot.cast("int").alias("slot")).agg(F.max(F.floor(F.log2("count"))).cast("int").alias("level"))
-    found = rows.toArrow()
-    levels = np.zeros(1 << LEVEL_BITS, np.uint8)
-    levels[found.column("slot").to_numpy()] = found.column("level").to_numpy()
-    return levels
+def _frequency_levels(counted: DataFrame) -> np.ndarray:
+    """By slot, log2 of the rows that its most frequent token has beyond what all slots hold.  2^LEVEL_BITS rows reach the driver."""
+    pairs = counted.where("slots is not null").select(F.explode(F.arrays_zip("slots", "counts")).alias("p")).select(F.col("p.slots").alias("slot"), F.col("p.counts").alias("n"))
+    found = pairs.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << LEVEL_BITS)
+    counts[found.column("slot").to_numpy()] = found.column("n").to_numpy()
+    usual = np.median(counts)
+    beyond = counts - usual - 4 * np.sqrt(usual)
+    return np.where(beyond >= FREQUENT, np.log2(np.maximum(beyond, 1)), 0).astype(np.uint8)
 
 
 def _sets_of(docs: DataFrame, how: Threshold, wanted: DataFrame) -> DataFrame:
@@ -170,7 +220,7 @@ def _sets_of(docs: DataFrame, how: Threshold, wanted: DataFrame) -> DataFrame:
         bits = shared.value
         for batch in batches:
             nodes, tokens = [], []
-            for found in shingle_sets(batch.column(0).to_pylist(), how.words):
+            for found in shingle_sets(batch.column(0), how.words):
                 digest = _digest(found)
                 head = int.from_bytes(digest[:3])
                 if bits[head >> 3] >> (7 - (head & 7)) & 1:
@@ -256,8 +306,9 @@ def near_duplicate_classes(docs: DataFrame, words: int, num: int, den: int) -> D
     """doc_id, n_shingles, node, component_id for every row."""
     how = Threshold(words, num, den)
     spark = docs.sparkSession
-    nodes = cut_lineage(_nodes(docs, words), "nodes")
-    levels = spark.sparkContext.broadcast(_frequency_levels(docs, how))
+    counted = _nodes_and_counts(docs, words)
+    nodes = counted.where("slots is null").select("doc_id", "n_shingles", "node")
+    levels = spark.sparkContext.broadcast(_frequency_levels(counted))
     prefix = _prefix_rows(docs, how, levels)
     key = F.xxhash64("node")
     repeated = prefix.groupBy("token").agg(F.min(key).alias("low"), F.max(key).alias("high")).where("low <> high").select("token")
