@@ -123,7 +123,7 @@ def _suspects(docs: DataFrame, bits, masks: tuple[str, ...]) -> DataFrame:
             order = np.argsort(at, kind="stable")
             at, hashes = at[order], hashes[order].view(np.int64)
             texts_hit, first = np.unique(owner[at], return_index=True)
-            last = np.append(first[1:], len(at))
+            last = np.append(first[1:], len(at))[: len(first)]
             names = ["digest", "tokens", "hashes", "positions"]
             columns = [
                 pa.array([hashlib.md5(texts[d].encode(), usedforsecurity=False).hexdigest() for d in texts_hit], pa.string()),

@@ -10,7 +10,7 @@ The table of entities is distributed; a document's part of it is joined to its t
 documents share is one row, and what is grouped is bounded by one text.
 
 Edge cases: a null text stays null, an empty one empty; repeated rows change alike; numbers that fail their check (Luhn, octets above
-255) are no entities; an empty table gives no rows; extra columns are kept by ``replace``.
+255) are no entities; an empty table gives no rows; extra columns are kept by ``replace``, save one named n_entities.
 """
 
 from __future__ import annotations
@@ -209,6 +209,7 @@ def replace(docs: DataFrame, length: str | None = None) -> DataFrame:
 
     ``length`` names a column that holds the text's code points and is kept in step.
     """
+    docs = docs.drop("n_entities")
     entities = _entities(docs)
     pairs = F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\0", "kind", "canonical"), "surrogate"))).alias("_names")
     names = entities.join(assign(entities), ["kind", "canonical"]).groupBy(F.col("digest").alias("_digest")).agg(pairs)

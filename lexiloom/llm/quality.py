@@ -131,22 +131,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, tuple[np.ndarra
 
 
 def scored(docs: DataFrame, ratio: np.ndarray, labels: tuple[np.ndarray, np.ndarray], columns: tuple[str, ...]) -> DataFrame:
-    """The named columns, log_weight, noise (standard Gumbel, by id and text) and label (1, 0, or -1 for none)."""
+    """The named columns as the struct ``kept``, log_weight, noise (standard Gumbel, by id and text) and label (1, 0, or -1 for none)."""
     shared = docs.sparkSession.sparkContext.broadcast((ratio, labels))
-    rows = docs.select(*columns, F.col("doc_id").cast("long").alias("_id"), whole_text().alias("_text"))
+    rows = docs.select(F.struct(*columns).alias("kept"), F.col("doc_id").cast("long").alias("id"), whole_text().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio, labels = shared.value
         for batch in batches:
-            ids, texts = batch.column("_id").to_pylist(), batch.column("_text").to_pylist()
+            ids, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
             weight = [log_weight(features(t), ratio) for t in texts]
             draws = np.array([xxhash.xxh3_64_intdigest(f"{i}\0{t}", seed=7) for i, t in zip(ids, texts, strict=True)], np.uint64)
             noise = -np.log(-np.log(((draws >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)))
             extra = [pa.array(weight, pa.float64()), pa.array(noise, pa.float64()), pa.array(_label_of(*labels, ids), pa.int32())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *extra], names=[*columns, "log_weight", "noise", "label"])
+            yield pa.RecordBatch.from_arrays([batch.column("kept"), *extra], names=["kept", "log_weight", "noise", "label"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(columns)])
-    return rows.mapInArrow(run, f"{kinds}, log_weight double, noise double, label int")
+    return rows.mapInArrow(run, f"kept {rows.schema['kept'].dataType.simpleString()}, log_weight double, noise double, label int")
 
 
 def best_cut(scores: DataFrame) -> float:
@@ -188,7 +187,7 @@ def _key():
 def _selection(docs: DataFrame, labels: DataFrame):
     """The fitted ratios, the label sample, the scores of all documents, and the smallest key that is kept."""
     ratio, sample = fit(docs, labels)
-    scores = cut_lineage(scored(docs, ratio, sample, ("doc_id",)).withColumn("key", _key()), "scores")
+    scores = cut_lineage(scored(docs, ratio, sample, ("doc_id",)).select("kept.doc_id", "log_weight", "label", _key().alias("key")), "scores")
     k = scores.where(F.col("log_weight") >= best_cut(scores)).count()
     return ratio, sample, scores, kth_largest(scores, k) if k else np.inf
 
@@ -196,7 +195,7 @@ def _selection(docs: DataFrame, labels: DataFrame):
 def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The sampled documents, all columns as they are."""
     ratio, sample, _, least = _selection(docs, labels)
-    return scored(docs, ratio, sample, tuple(docs.columns)).where(_key() >= least).select(*docs.columns)
+    return scored(docs, ratio, sample, tuple(docs.columns)).where(_key() >= least).select("kept.*")
 
 
 @query("op7_importance_resampling")
