@@ -142,14 +142,18 @@ def map_layers(layers: DataFrame, group_units: DataFrame) -> DataFrame:
 RUN_MAX = 5
 
 
-def line_runs(lines: DataFrame, key: Callable[[Column], Column] = compact_key, longest: int = RUN_MAX) -> DataFrame:
+BLOCK = 4096
+
+
+def line_runs(
+    lines: DataFrame, key: Callable[[Column], Column] = compact_key, longest: int = RUN_MAX, block: int = BLOCK
+) -> DataFrame:
     """All runs of 1..longest consecutive lines of a unit, with the joined key.
 
     A unit may hold a third of all rows, so the window is not over the unit: every line is sent to
-    its block of ``BLOCK`` ordinals and, when it is among the first of a block, also to the block
+    its block of ``block`` ordinals and, when it is among the first of a block, also to the block
     before as look-ahead.  Runs start only at a block's own lines.
     """
-    block = 4096
     ordinal = _unit_ordinals(lines)
     own = ordinal.select("*", F.floor(F.col("ordinal") / block).alias("blk"), F.lit(True).alias("own"))
     ahead = own.filter((F.col("ordinal") % block < longest - 1) & (F.col("blk") > 0)).withColumns(
@@ -188,8 +192,8 @@ def _unit_ordinals(lines: DataFrame) -> DataFrame:
     )
 
 
-def within_unit(lines: DataFrame, references: DataFrame) -> DataFrame:
-    """Provider line -> one line (exact, then loose) or the single run of 2..5 lines of the unit.
+def within_unit(lines: DataFrame, references: DataFrame, longest: int = RUN_MAX) -> DataFrame:
+    """Provider line -> one line (exact, then loose) or the single run of 2..longest lines of the unit.
 
     ``references``: record_id, text_unit_id, reference_text.  Returns the accepted first and last line.
     """
@@ -200,7 +204,7 @@ def within_unit(lines: DataFrame, references: DataFrame) -> DataFrame:
         loose_key(F.col("reference_text")).alias("loose"),
     )
     units = refs.select("text_unit_id").distinct()
-    runs = line_runs(lines.join(units, "text_unit_id", "left_semi"))
+    runs = line_runs(lines.join(units, "text_unit_id", "left_semi"), longest=longest)
     runs = runs.withColumn("loose_run", F.translate("run_key", "।॥|", ""))
     # one row per (unit, key, kind): how many runs, and the run when it is the only one
     kinds = runs.select(
@@ -284,11 +288,14 @@ def attach_terms(
 ) -> DataFrame:
     """Dictionary terms on the lines of their location that contain the headword.
 
-    A location with few terms is a plain equi-join with ``contains`` as residual.  In a crowded one
+    A headword whose key is empty stands on every line of its location.  The others are searched for:
+    a location with few terms is a plain equi-join with ``contains`` as residual.  In a crowded one
     that would pair everything with everything, so there a headword first looks up its opening
     characters among the character pieces of the lines; both ways give the same rows.
     """
-    terms = dictionary.withColumn("_word", key(F.col("headword")))
+    keyed = dictionary.withColumn("_word", key(F.col("headword")))
+    blank = keyed.filter("_word = ''").join(lines.select("line_id", "text_unit_id"), "text_unit_id")
+    terms = keyed.filter("_word <> ''")
     sizes = terms.groupBy("text_unit_id").agg(F.count("*").alias("_terms"))
     text = lines.join(sizes, "text_unit_id").select("line_id", "text_unit_id", "_terms", key(F.col("text")).alias("_text"))
     few = text.filter(F.col("_terms") <= crowded).join(terms, "text_unit_id").filter(F.contains("_text", "_word"))
@@ -302,7 +309,7 @@ def attach_terms(
         .filter(F.contains("_text", "_word"))
     )
     columns = ["line_id", *dictionary.columns]
-    return few.select(*columns).unionByName(many.select(*columns)).dropDuplicates(["term_id", "line_id"])
+    return few.select(*columns).unionByName(many.select(*columns)).unionByName(blank.select(*columns)).dropDuplicates(["term_id", "line_id"])
 
 
 HEAVY = 50
@@ -312,7 +319,8 @@ def paragraph_crosswalk(lines: DataFrame, readings: DataFrame, heavy: int = HEAV
     """Reading lines to canonical lines by the vote of their paragraph.
 
     The unit with strictly most form matches wins; a line is accepted when it is the only one of its
-    form there.  ``readings``: reading_id, line_order, paragraph, text.
+    form there.  Without a winner a line that is the only one of its form anywhere is accepted, with
+    its own unit.  ``readings``: reading_id, line_order, paragraph, text.
 
     A form that occurs in many units would pair every paragraph with all of them.  Light forms
     (at most ``heavy`` units) name the candidate units.  Heavy forms only add votes to these, and for
@@ -338,7 +346,10 @@ def paragraph_crosswalk(lines: DataFrame, readings: DataFrame, heavy: int = HEAV
         "form-units",
     )
     forms = form_units.groupBy("form").agg(
-        F.count("*").alias("units"), F.sum("n").alias("total"), F.min("line_id").alias("single")
+        F.count("*").alias("units"),
+        F.sum("n").alias("total"),
+        F.min("line_id").alias("single"),
+        F.min_by("text_unit_id", "line_id").alias("single_unit"),
     )
     asked = rows.groupBy(*par, "form").agg(F.count("*").alias("m")).join(forms.select("form", "units"), "form")
     light, dense = asked.filter(F.col("units") <= heavy), asked.filter(F.col("units") > heavy)
@@ -364,7 +375,7 @@ def paragraph_crosswalk(lines: DataFrame, readings: DataFrame, heavy: int = HEAV
     best = ranked.groupBy(*par).agg(F.max_by(F.struct("tied", "unit"), "v").alias("b")).select(
         *par, F.when(F.col("b.tied") == 1, F.col("b.unit")).alias("best_unit")
     )
-    voted = rows.join(best, par, "left").join(forms.select("form", "total", "single"), "form", "left")
+    voted = rows.join(best, par, "left").join(forms.select("form", "total", "single", "single_unit"), "form", "left")
     local = form_units.select("form", F.col("text_unit_id").alias("best_unit"), "n", F.col("line_id").alias("local"))
     found = voted.join(local, ["form", "best_unit"], "left")
     line = F.when(F.col("best_unit").isNotNull(), F.when(F.col("n") == 1, F.col("local"))).otherwise(
@@ -374,7 +385,7 @@ def paragraph_crosswalk(lines: DataFrame, readings: DataFrame, heavy: int = HEAV
         "reading_id",
         "line_order",
         line.alias("line_id"),
-        F.col("best_unit").alias("text_unit_id"),
+        F.coalesce("best_unit", F.when(line.isNotNull(), F.col("single_unit"))).alias("text_unit_id"),
         F.when(line.isNotNull(), "verified_exact_within_paragraph_unit")
         .when(F.col("best_unit").isNotNull(), "unit_only")
         .otherwise("unmapped")

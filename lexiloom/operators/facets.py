@@ -38,8 +38,10 @@ def facet_filter(lines: DataFrame, facets: Facets, annotations: Annotations | No
         rows = rows.filter(F.col("heading") == facets.heading)
     if facets.contributors:
         rows = rows.filter(F.col("contributor_id").isin(list(facets.contributors)))
-    if annotations is None or not (facets.annotated_only or facets.coverage or facets.layer_types):
+    if not (facets.annotated_only or facets.coverage or facets.layer_types):
         return rows
+    if annotations is None:
+        raise ValueError("a facet on annotations needs the annotation tables")
     coverage = facets.coverage or "any"
     if coverage == "translation":
         return rows.join(annotations.members.filter("has_translation"), "line_id", "left_semi")

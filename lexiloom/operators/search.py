@@ -25,10 +25,9 @@ from ..functions.text import PRIMARY, Script, has_script, loose_of_normal, nfc,
 from ..session import cut_lineage
 from .containment import substring_join
 
-# Fixed values of the search: acceptance, first-letter scores, words looked at, words needed to drop one.
+# Fixed values of the search: acceptance, first-letter scores, words needed to drop one.
 MINIMUM_SCORE = 575.0
 INITIALS_START, INITIALS_INSIDE = 790.0, 690.0
-MAX_WORDS = 12
 OMISSION_FROM = 4
 LINE_COLUMNS = ("line_id", "text_unit_id", "source_work_id", "page_no", "line_order", "text", "romanised")
 FIELDS = ("roman", "roman_phonetic", "roman_consonants", "primary", "primary_loose")
@@ -85,11 +84,11 @@ def build_index(lines: DataFrame, script: Script = PRIMARY, stored: bool = True)
 
 
 def query_words(queries: DataFrame, script: Script = PRIMARY) -> DataFrame:
-    """Adds ``words``: array of (exact, second, third) prefixes, one entry per query word (at most 12)."""
+    """Adds ``words``: array of (exact, second, third) prefixes, one entry per query word."""
     raw = F.col("query")
     primary = has_script(raw, script)
     normal = F.when(primary, primary_normal(raw, script)).otherwise(roman_normal(raw))
-    words = F.slice(split_words(normal), 1, MAX_WORDS)
+    words = split_words(normal)
 
     def options(word: Column) -> Column:
         keyed = phonetic_of_normal(word)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import contains_term, excerpt, fold_space, plain_text
 
 # Fixed values of theme search.
-BASE, PER_TERM, OWN_WORD, MINIMUM, SHOWN, MAX_WORDS = 650, 70, 120, 700, 8, 6
+BASE, PER_TERM, OWN_WORD, MINIMUM, SHOWN = 650, 70, 120, 700, 8
 THEME_TYPES = ("literal_translation_en", "interpretive_transcreation_en", "commentary_en", "poetical_dimension_en")
 
 # Fixed values: (theme, aliases, search terms).
@@ -33,9 +33,9 @@ def theme_table(spark: SparkSession, themes=THEMES) -> DataFrame:
 
 
 def triggered(queries: DataFrame, themes: DataFrame) -> DataFrame:
-    """Queries of Latin letters, spaces and hyphens, at most six words, that are an alias."""
+    """Queries of Latin letters, spaces and hyphens that are an alias."""
     folded = fold_space(F.lower("query"))
-    plain = ~F.col("query").rlike(r"[^A-Za-z\s-]") & (folded != "") & (F.size(F.split(folded, " ")) <= MAX_WORDS)
+    plain = ~F.col("query").rlike(r"[^A-Za-z\s-]") & (folded != "")
     aliases = themes.select("theme", "terms", F.explode("aliases").alias("alias"))
     return queries.filter(plain).withColumn("alias", folded).join(aliases, "alias").drop("alias")
 
@@ -76,7 +76,7 @@ def theme_search(queries: DataFrame, layers: DataFrame, themes: DataFrame, pages
         F.min_by(F.struct("layer_id", "score", "first_page"), order).alias("h")
     ).select("asked", "theme", "text_unit_id", "h.*")
     ranked = W.partitionBy("asked").orderBy(F.col("score").desc(), "first_page", "layer_id")
-    top = best.withColumn("position", F.row_number().over(ranked)).filter(F.col("position") <= min(limit, SHOWN))
+    top = best.withColumn("position", F.row_number().over(ranked)).filter(F.col("position") <= limit)
     # only the rows shown fetch their text again
     terms = themes.select("theme", "terms")
     texts = layers.select("layer_id", "content").join(top.select("layer_id").distinct(), "layer_id", "left_semi")

@@ -200,8 +200,8 @@ fu AS (SELECT form, text_unit_id, COUNT(*) AS n, MIN(line_id) AS line_id FROM pl
 votes AS (SELECT r.reading_id, r.paragraph, fu.text_unit_id, SUM(fu.n) AS v FROM readings r JOIN fu USING (form) GROUP BY 1, 2, 3),
 best AS (SELECT reading_id, paragraph, MIN(text_unit_id) AS best_unit FROM (
   SELECT *, rank() OVER (PARTITION BY reading_id, paragraph ORDER BY v DESC) AS rk FROM votes) WHERE rk = 1 GROUP BY 1, 2 HAVING COUNT(*) = 1),
-tot AS (SELECT form, SUM(n) AS total, MIN(line_id) AS single FROM fu GROUP BY 1),
-walked AS (SELECT r.reading_id, r.line_order, b.best_unit, CASE WHEN b.best_unit IS NOT NULL THEN CASE WHEN fu.n = 1 THEN fu.line_id END
+tot AS (SELECT form, SUM(n) AS total, MIN(line_id) AS single, arg_min(text_unit_id, line_id) AS single_unit FROM fu GROUP BY 1),
+walked AS (SELECT r.reading_id, r.line_order, b.best_unit, coalesce(b.best_unit, CASE WHEN t.total = 1 THEN t.single_unit END) AS text_unit_id, CASE WHEN b.best_unit IS NOT NULL THEN CASE WHEN fu.n = 1 THEN fu.line_id END
   WHEN t.total = 1 THEN t.single END AS line_id FROM readings r LEFT JOIN best b USING (reading_id, paragraph)
   LEFT JOIN fu ON fu.form = r.form AND fu.text_unit_id = b.best_unit LEFT JOIN tot t ON t.form = r.form)"""
 
@@ -215,7 +215,7 @@ def readings(spark, sf):
 @query(
     "J17_paragraph_vote_crosswalk",
     with_(LINES, _READ)
-    + """SELECT reading_id, line_order, line_id, best_unit AS text_unit_id, CASE WHEN line_id IS NOT NULL THEN 'verified_exact_within_paragraph_unit'
+    + """SELECT reading_id, line_order, line_id, text_unit_id, CASE WHEN line_id IS NOT NULL THEN 'verified_exact_within_paragraph_unit'
   WHEN best_unit IS NOT NULL THEN 'unit_only' ELSE 'unmapped' END AS status FROM walked""",
 )
 def paragraph_vote(spark, sf):
@@ -224,7 +224,7 @@ def paragraph_vote(spark, sf):
 
 @query(
     "W7_unique_maximum_vote",
-    with_(LINES, _READ) + "SELECT reading_id, best_unit AS text_unit_id, CAST(COUNT(*) AS BIGINT) AS n FROM walked WHERE best_unit IS NOT NULL GROUP BY 1, 2",
+    with_(LINES, _READ) + "SELECT reading_id, text_unit_id, CAST(COUNT(*) AS BIGINT) AS n FROM walked WHERE text_unit_id IS NOT NULL GROUP BY 1, 2",
 )
 def unique_maximum(spark, sf):
     # a low bound sends most forms down the path for heavy ones

@@ -92,7 +92,8 @@ def brute_votes(lines, readings):
         for r in mine:
             found = [i for i, u in units.get(r[3], []) if best is None or u == best]
             line = found[0] if len(found) == 1 else None
-            out[(r[0], r[1])] = (line, best)
+            home = best or (units[r[3]][0][1] if line else None)
+            out[(r[0], r[1])] = (line, home)
     return out
 
 
@@ -108,14 +109,22 @@ def test_paragraph_vote_equals_brute_force_for_any_bound(spark, heavy):
     assert got == brute_votes(lines, readings)
 
 
+def test_a_tied_vote_keeps_the_unit_of_an_accepted_line(spark):
+    lines = make_lines(spark, [("l1", "u1", 1, 1, "alpha", None), ("l2", "u2", 2, 1, "beta", None)])
+    asked = spark.createDataFrame([("r", 1, 1, "alpha"), ("r", 2, 1, "beta")], "reading_id string, line_order int, paragraph int, text string")
+    got = {r.line_order: (r.line_id, r.text_unit_id) for r in al.paragraph_crosswalk(lines, asked).collect()}
+    assert got == {1: ("l1", "u1"), 2: ("l2", "u2")}
+
+
 def test_crowded_locations_give_the_same_terms(spark):
     rng = random.Random(3)
     alphabet = "abcd"
     word = lambda k: "".join(rng.choice(alphabet) for _ in range(k))
     lines = make_lines(spark, [(f"l{n}", f"u{n % 2}", n, 1, " ".join(word(4) for _ in range(5)), None) for n in range(30)])
-    terms = spark.createDataFrame([(f"t{n}", f"u{n % 2}", word(rng.randint(1, 5))) for n in range(60)], "term_id string, text_unit_id string, headword string")
+    terms = spark.createDataFrame([(f"t{n}", f"u{n % 2}", word(rng.randint(1, 5))) for n in range(60)] + [("blank", "u0", " \u200b")], "term_id string, text_unit_id string, headword string")
     pairs = lambda bound: {(r.term_id, r.line_id) for r in al.attach_terms(lines, terms, crowded=bound).collect()}
     assert pairs(0) == pairs(1000) != set()
+    assert {line for term, line in pairs(0) if term == "blank"} == {f"l{n}" for n in range(0, 30, 2)}
 
 
 def test_substring_join_equals_brute_force(spark):
@@ -129,13 +138,21 @@ def test_substring_join_equals_brute_force(spark):
     assert got == sorted((q, t) for q, n in needles for t, h in texts if n in h)
 
 
-def test_runs_cross_block_edges(spark, monkeypatch):
+@pytest.mark.parametrize("block", [5, 7, 4096])
+def test_runs_cross_block_edges(spark, block):
     lines = make_lines(spark, [(f"l{n:02}", "u", n, n // 4, f"t{n}", None) for n in range(23)])
-    runs = {(r.first_line_id, r.last_line_id): r.run_key for r in al.line_runs(lines).collect()}
+    runs = {(r.first_line_id, r.last_line_id): r.run_key for r in al.line_runs(lines, block=block).collect()}
     assert len(runs) == sum(23 - k for k in range(5))
     assert runs[("l03", "l07")] == "t3t4t5t6t7"
 
 
+def test_longer_runs_on_request(spark):
+    lines = make_lines(spark, [(f"l{n}", "u", n, 1, f"t{n}", None) for n in range(8)])
+    asked = spark.createDataFrame([("p", "u", "".join(f"t{n}" for n in range(1, 7)))], "record_id string, text_unit_id string, reference_text string")
+    assert [r.first_line_id for r in al.within_unit(lines, asked, longest=6).collect()] == ["l1"]
+    assert [r.first_line_id for r in al.within_unit(lines, asked).collect()] in ([], [None])
+
+
 def test_positional_alignment_rules(spark):
     rows = [
         ("equal", ["a", "b"], ["A", "B"]),
