@@ -273,8 +273,8 @@ def aligned_forms(hits: DataFrame, fold, key) -> DataFrame:
     )
 
 
-def with_families(units: DataFrame, families: list[DataFrame], limit: int) -> DataFrame:
-    """Unit hits, then analysis hits of units not shown yet, in family order, cut at ``limit``.
+def all_families(units: DataFrame, families: list[DataFrame]) -> DataFrame:
+    """Unit hits (family 0), and analysis hits of units that are none of them (families from 1).
 
     Every input: query_id, text_unit_id, result_id, score, position.
     """
@@ -283,17 +283,27 @@ def with_families(units: DataFrame, families: list[DataFrame], limit: int) -> Da
     for number, family in enumerate(families, 1):
         unseen = family.join(shown, ["query_id", "text_unit_id"], "left_anti")
         out = out.unionByName(unseen.withColumn("family", F.lit(number)))
+    return out
+
+
+def with_families(units: DataFrame, families: list[DataFrame], limit: int) -> DataFrame:
+    """All families in order, cut at ``limit`` per query."""
     order = W.partitionBy("query_id").orderBy("family", "position", "result_id")
-    ranked = out.withColumn("rank", F.row_number().over(order))
+    ranked = all_families(units, families).withColumn("rank", F.row_number().over(order))
     return ranked.filter(F.col("rank") <= limit)
 
 
-def response_mode(results: DataFrame) -> DataFrame:
-    """Label per query: 'english' when analysis hits outnumber unit hits, else 'latin'."""
+def response_mode(results: DataFrame, queries: DataFrame, script: Script = PRIMARY) -> DataFrame:
+    """Label per query: 'primary' for one in the primary script, 'english' when analysis hits outnumber unit hits, else 'latin'.
+
+    ``results``: all hits, before any cut.  ``queries``: query_id, query.
+    """
     counted = results.groupBy("query_id").agg(
         F.count_if(F.col("family") == 0).alias("unit_hits"), F.count_if(F.col("family") > 0).alias("analysis_hits")
     )
-    return counted.withColumn("mode", F.when(F.col("analysis_hits") > F.col("unit_hits"), "english").otherwise("latin"))
+    asked = queries.select("query_id", has_script(F.col("query"), script).alias("is_primary"))
+    label = F.when(F.col("is_primary"), "primary").when(F.col("analysis_hits") > F.col("unit_hits"), "english").otherwise("latin")
+    return counted.join(asked, "query_id").withColumn("mode", label).drop("is_primary")
 
 
 def merge_alternatives(hits: DataFrame, limit: int, key: tuple[str, ...]) -> DataFrame:

@@ -230,7 +230,7 @@ def result_families(spark, sf):
         "query_id", "text_unit_id", F.col("layer_id").alias("result_id"), F.lit(0.0).alias("score"), F.lit(0).alias("position")
     )
     merged = se.with_families(units, [family], 60)
-    modes = se.response_mode(merged).select("query_id", "mode")
+    modes = se.response_mode(se.all_families(units, [family]), src.query_table(spark, sf)).select("query_id", "mode")
     return merged.join(modes, "query_id").select("query_id", "text_unit_id", "result_id", "family", "rank", "mode")
 
 

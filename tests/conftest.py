@@ -24,6 +24,7 @@ LINE_SCHEMA = (
 @pytest.fixture(scope="session")
 def golden_lines(spark):
     """The three-line fixture: 16 tokens, 13 of them lexical."""
+    # Fixed values
     texts = ["ਸੁਣਿਐ ਸਿਧ ਪੀਰ ਸੁਰਿ ਨਾਥ ॥", "ਸੁਣਿਐ ਧਰਤਿ ਧਵਲ ਆਕਾਸ ॥", "ਸੁਣਿਐ ਦੀਪ ਲੋਅ ਪਾਤਾਲ ॥"]
     rows = [
         (f"line:{n}", str(n), "source:G", "unit:8", "contributor:1", n, 2, text, None, None, None)

@@ -6,7 +6,7 @@ from conftest import make_lines
 from lexiloom.operators import search as se
 from lexiloom.operators import themes as th
 
-# known lines with a romanisation; the queries are spellings a reader would use
+# Known lines with a romanisation, spellings a reader would use, and the lines they must find.
 LINES = [
     ("l1", "u1", 1, 1, "ਅਨੰਦੁ ਭਇਆ ਮੇਰੀ ਮਾਏ ਸਤਿਗੁਰੂ ਮੈ ਪਾਇਆ ॥", "anandh bhiaa mayree maae sathiguroo mai paaiaa"),
     ("l2", "u2", 1, 2, "ਜੋ ਮਾਗਹਿ ਠਾਕੁਰ ਅਪੁਨੇ ਤੇ ਸੋਈ ਸੋਈ ਦੇਵੈ ॥", "jo maageh Thaakur apunay thay soiee soiee dhayvai"),
@@ -95,3 +95,22 @@ def test_theme_search_scores(spark):
     rows = th.theme_search(queries, layers, th.theme_table(spark), pages).collect()
     # ego, pride and self-centred match: 650 + 3 * 70 + 120
     assert [(r.text_unit_id, r.layer_id, r.score) for r in rows] == [("u1", "a", 980)]
+
+
+def test_mode_is_taken_before_the_cut(spark):
+    hits = lambda q, units, at: [(q, f"u{n}", f"r{at}{n}", 1.0, n) for n in units]
+    schema = "query_id string, text_unit_id string, result_id string, score double, position int"
+    units = spark.createDataFrame(hits("a", range(4), 0) + hits("b", range(4), 0) + hits("c", range(4), 0), schema)
+    family = spark.createDataFrame(hits("a", range(2, 10), 1) + hits("b", range(2, 6), 1) + hits("c", range(2, 10), 1), schema)
+    asked = spark.createDataFrame([("a", "life"), ("b", "life"), ("c", "ਸਿਧ")], "query_id string, query string")
+    modes = {r.query_id: r["mode"] for r in se.response_mode(se.all_families(units, [family]), asked).collect()}
+    assert modes == {"a": "english", "b": "latin", "c": "primary"}
+    assert {q: n for q, n in se.with_families(units, [family], 5).groupBy("query_id").count().collect()} == {"a": 5, "b": 5, "c": 5}
+
+
+def test_all_words_of_a_long_query_count(spark):
+    text = " ".join(f"ab{chr(97 + n)}" for n in range(13))
+    lines = make_lines(spark, [("l1", "u1", 1, 1, "", text)])
+    asked = spark.createDataFrame([("whole", text), ("other", text[:-3] + "zzz")], "query_id string, query string")
+    words = {r.query_id: len(r.words) for r in se.query_words(asked).collect()}
+    assert words == {"whole": 13, "other": 13} and lines.count() == 1
