@@ -245,12 +245,14 @@ def any_annotation(spark, sf):
 @query(
     "J8_orphan_layers",
     with_(UNITS, LAYERS)
-    + """SELECT y.layer_id, y.text_unit_id FROM layers y LEFT JOIN units u USING (text_unit_id)
+    + """SELECT y.layer_id, y.text_unit_id FROM layers y LEFT JOIN (SELECT * FROM units WHERE source_work_id <> 'source:en') u USING (text_unit_id)
   WHERE u.text_unit_id IS NULL AND y.text_unit_id IS NOT NULL""",
 )
 def orphan_layers(spark, sf):
+    """Layers whose unit is none of the release, which here lacks one work."""
     mapped = src.layers(spark, sf).filter("text_unit_id IS NOT NULL")
-    return mapped.join(src.units(spark, sf), "text_unit_id", "left_anti").select("layer_id", "text_unit_id")
+    held = src.units(spark, sf).filter("source_work_id <> 'source:en'")
+    return mapped.join(held, "text_unit_id", "left_anti").select("layer_id", "text_unit_id")
 
 
 def _facet(name, facets, condition):

@@ -136,9 +136,16 @@ def levels(spark, sf):
     return va.hierarchy(tree(spark, sf), "id", "parent")
 
 
-@query("Q6_all_errors", with_(LINES) + """SELECT 'none' AS "check", CAST(0 AS BIGINT) AS n WHERE FALSE""")
+@query(
+    "Q6_all_errors",
+    with_(LINES, UNITS)
+    + """SELECT 'unit.work' AS "check", COUNT(*) AS n FROM units WHERE source_work_id = 'source:fr' HAVING COUNT(*) > 0
+  UNION ALL SELECT 'line.work', COUNT(*) FROM lines WHERE source_work_id = 'source:fr' HAVING COUNT(*) > 0""",
+)
 def all_errors(spark, sf):
+    """A release that lacks one work: its units and lines name nothing."""
     works, people, units, attributions, lines = model(spark, sf)
+    works = works.filter("source_work_id <> 'source:fr'")
     errors = va.corpus_errors(works, people, units, attributions, lines)
     return errors.groupBy("check").agg(F.count("*").alias("n"))
 
@@ -179,11 +186,19 @@ def gates(spark, sf):
     return va.expectations(measures, _RULES)
 
 
-@query("Q10_index_completeness", with_(LINES) + "SELECT CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS surplus, CAST(0 AS BIGINT) AS repeated FROM (SELECT 1)")
+@query(
+    "Q10_index_completeness",
+    with_(LINES)
+    + """SELECT COUNT(*) FILTER (source_work_id = 'source:fr') AS missing, COUNT(*) FILTER (source_work_id = 'source:de') AS surplus,
+  COUNT(*) FILTER (source_work_id = 'source:es') AS repeated FROM lines""",
+)
 def index_complete(spark, sf):
+    """An index without one work, with foreign rows for another, and a third one indexed twice."""
     lines = src.lines(spark, sf)
-    keys = line_keys(lines.withColumn("romanised", F.col("text")), LATIN)
-    return va.completeness(lines, keys, "line_id")
+    keys = line_keys(lines.withColumn("romanised", F.col("text")), LATIN).select("line_id", "source_work_id")
+    foreign = keys.filter("source_work_id = 'source:de'").withColumn("line_id", F.concat("line_id", F.lit("#")))
+    twice = keys.filter("source_work_id = 'source:es'")
+    return va.completeness(lines, keys.filter("source_work_id <> 'source:fr'").unionByName(foreign).unionByName(twice), "line_id")
 
 
 @query(

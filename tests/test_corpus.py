@@ -207,3 +207,18 @@ def test_backups(spark):
     rows = [('{"format":"reader-backup","version":1,"personal":{},"preferences":{}}',), ("junk",), ('{"format":"reader-backup","version":9,"personal":{},"preferences":{}}',)]
     got = snapshots.backup_verdicts(spark.createDataFrame(rows, "body string"), "body").collect()
     assert [r.accepted for r in got] == [True, False, False]
+
+
+def test_a_cyclic_corpus_fails_with_the_units_of_the_cycle(spark):
+    units = spark.createDataFrame(
+        [("u1", "w", None, "section"), ("u2", "w", "u3", "section"), ("u3", "w", "u2", "section"), ("u4", "w", "u2", "section")],
+        "text_unit_id string, source_work_id string, parent_id string, unit_type string",
+    )
+    works = spark.createDataFrame([("w",)], "source_work_id string")
+    people = spark.createDataFrame([("c",)], "contributor_id string")
+    claims = spark.createDataFrame([("a", "c", "textUnit", "u1")], "attribution_id string, contributor_id string, target_type string, target_id string")
+    lines = spark.createDataFrame([("l", "w", "u1", "text")], "line_id string, source_work_id string, text_unit_id string, text string")
+    found = {(r["check"], r.entity_id) for r in va.corpus_errors(works, people, units, claims, lines).collect()}
+    assert found == {("unit.cycle", u) for u in ("u2", "u3", "u4")}
+    with pytest.raises(va.ValidationError, match="unit.cycle"):
+        va.assert_no_errors(va.corpus_errors(works, people, units, claims, lines))
