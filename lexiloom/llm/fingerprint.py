@@ -27,8 +27,9 @@ from .common import query, table, whole_text
 PIECE_END = r"(?<=[.!?|;:])\s+|\n+"
 TABLES = 3
 FIRST_CELLS = 8  # cells of each table of the fingerprint
-LOAD = 0.55  # cells of each table per digest of either side, in the first retry
-ROUNDS = 12
+LOAD = 0.7  # cells of each table per digest of either side, in the first retry
+ROUNDS = 9
+WORTH_PEELING = 5  # cells with one digest from which the first size is tried; with fewer it gets stuck
 BLOCKS_PER_PARTITION = 4
 
 
@@ -88,20 +89,20 @@ def _peeled(cells: DataFrame, seed: int) -> DataFrame:
     """(id, side, differing, stuck): digests recovered from the difference sketch of each pair, and cells that are left.
 
     cells: (id, side, per_table, table, cell, count, key, check).  A round looks at one table, in which a digest has one cell only, so no
-    digest is taken out twice.  Recovered digests stay as rows of table -1.
+    digest is taken out twice.  What is recovered is counted, and its digests XORed, in a row of table -1.
     """
     names = ["id", "side", "per_table", "table", "cell", "count", "key", "check"]
+
+    def row(of_table: Column, cell: Column, count: Column) -> Column:
+        return F.struct(of_table.alias("table"), cell.cast("long").alias("cell"), count.cast("long").alias("count"), F.col("key"), F.col("check"))
+
     for i in range(ROUNDS):
         own = i % TABLES
         key, count, size = F.col("key"), F.col("count"), F.col("per_table")
         alone = (F.col("table") == own) & (F.abs(count) == 1) & (F.col("check") == _check(key)) & (F.col("cell") == _cell(key, F.lit(own), seed, size))
-
-        def row(of_table, cell, n, k, c):
-            return F.struct(F.lit(of_table).alias("table") if isinstance(of_table, int) else of_table.alias("table"), cell.alias("cell"), n.alias("count"), k.alias("key"), c.alias("check"))
-
-        taken = [row(-1, key, count, key, F.col("check"))]
-        taken += [row(t, _cell(key, F.lit(t), seed, size), -count, key, F.col("check")) for t in range(TABLES) if t != own]
-        same = row(F.col("table"), F.col("cell"), count, key, F.col("check"))
+        taken = [row(F.lit(-1), F.lit(0), F.lit(1))]
+        taken += [row(F.lit(t), _cell(key, F.lit(t), seed, size), -count) for t in range(TABLES) if t != own]
+        same = row(F.col("table"), F.col("cell"), count)
         cells = (
             cells.select("id", "side", "per_table", F.explode(F.when(alone, F.array(*taken)).otherwise(F.array(same))).alias("r"))
             .select("id", "side", "per_table", "r.*")
@@ -111,40 +112,62 @@ def _peeled(cells: DataFrame, seed: int) -> DataFrame:
             .select(*names)
         )
     found = F.col("table") == -1
-    return cells.groupBy("id", "side").agg(F.count_if(found).alias("differing"), F.count_if(~found).alias("stuck"))
+    return cells.groupBy("id", "side").agg(F.coalesce(F.sum(F.when(found, F.col("count"))), F.lit(0)).alias("differing"), F.count_if(~found).alias("stuck"))
 
 
-def _first_sketches(versions: DataFrame) -> DataFrame:
-    """(id, table, cell, and count, key, check of the text, its edited version and its successor): sketches of the first size."""
-    tagged = [_tagged(name, i) for i, name in enumerate(("own", "changed", "following"))]
-    rows = versions.repartition("id").select("id", F.explode(F.concat(*tagged)).alias("d")).select("id", "d.key", "d.version", F.explode(F.array(*map(F.lit, range(TABLES)))).alias("table"))
-    rows = rows.withColumn("cell", _cell(F.col("key"), F.col("table"), 0, F.lit(FIRST_CELLS)))
-    sums = []
-    for i in range(3):
-        mine = F.col("version") == i
-        sums += [F.count_if(mine).alias(f"count{i}"), F.bit_xor(F.when(mine, F.col("key")).otherwise(F.lit(0))).alias(f"key{i}"), F.bit_xor(F.when(mine, _check(F.col("key"))).otherwise(F.lit(0))).alias(f"check{i}")]
-    return rows.groupBy("id", "table", "cell").agg(*sums)
+def sketch(keys: Column) -> Column:
+    """The sketch of the first size: an array of (count, key, check), table after table."""
+    size = FIRST_CELLS
+    places = [_cell_of(t) for t in range(TABLES)]
+    placed = F.transform(keys, lambda k: F.struct(k.alias("key"), _check(k).alias("check"), *(p(k).alias(f"c{t}") for t, p in enumerate(places))))
+    none = F.struct(F.lit(0).cast("long").alias("count"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("check"))
 
+    def cell(number: Column) -> Column:
+        def add(so_far: Column, p: Column) -> Column:
+            more = F.struct((so_far["count"] + 1).alias("count"), so_far["key"].bitwiseXOR(p["key"]).alias("key"), so_far["check"].bitwiseXOR(p["check"]).alias("check"))
+            return F.when((p["c0"] == number) | (p["c1"] == number) | (p["c2"] == number), more).otherwise(so_far)
 
-def _tagged(name: str, version: int) -> Column:
-    return F.transform(F.col(name), lambda k: F.struct(k.alias("key"), F.lit(version).alias("version")))
+        return F.aggregate(placed, none, add)
 
+    return F.transform(F.sequence(F.lit(0), F.lit(TABLES * size - 1)), cell)
 
-def _written(version: int) -> Column:
-    """A sketch as text: its filled cells by place, with count, key and check."""
-    cells = F.filter(F.array_sort(F.collect_list(F.struct("table", "cell", f"count{version}", f"key{version}", f"check{version}"))), lambda c: c[f"count{version}"] != 0)
-    shown = F.transform(cells, lambda c: F.concat_ws(".", c["table"].cast("string"), c["cell"].cast("string"), c[f"count{version}"].cast("string"), F.hex(c[f"key{version}"]), F.hex(c[f"check{version}"])))
+
+def _cell_of(of_table: int):
+    return lambda key: _cell(key, F.lit(of_table), 0, F.lit(FIRST_CELLS)) + of_table * FIRST_CELLS
+
+
+def written(cells: Column) -> Column:
+    """A sketch as text: its filled cells by number, with count, key and check."""
+    shown = F.transform(cells, lambda c, i: F.when(c["count"] > 0, F.concat_ws(".", i.cast("string"), c["count"].cast("string"), F.hex(c["key"]), F.hex(c["check"]))))
     return F.concat(F.lit("iblt1:"), F.array_join(shown, ";"))
 
 
+def subtracted(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: F.struct((x["count"] - y["count"]).alias("count"), x["key"].bitwiseXOR(y["key"]).alias("key"), x["check"].bitwiseXOR(y["check"]).alias("check")))
+
+
+def _compared(a: str, b: str) -> Column:
+    """(equal, cells): whether nothing is left of the subtraction, and its cells where peeling them can get anywhere."""
+    cells = subtracted(F.col(a), F.col(b))
+    single = F.size(F.filter(cells, lambda c: (F.abs(c["count"]) == 1) & (c["check"] == _check(c["key"]))))
+    equal = F.forall(cells, lambda c: (c["count"] == 0) & (c["key"] == 0))
+    return F.struct(equal.alias("equal"), F.when(~equal & (single >= WORTH_PEELING), cells).alias("cells"))
+
+
 def _pairs(versions: DataFrame) -> DataFrame:
-    """(id, side, digests of the one, digests of the other): side 1 the edited version, side 2 the successor."""
-    both = F.array(*(F.struct(F.lit(i).alias("side"), F.col(name).alias("other")) for i, name in ((1, "changed"), (2, "following"))))
-    return versions.select("id", "own", F.explode(both).alias("p")).select("id", "p.side", "own", "p.other")
+    """(id, side, equal, cells, own, other): side 1 the edited version, side 2 the successor."""
+    both = F.array(*(F.struct(F.lit(i).alias("side"), F.col(c)["equal"].alias("equal"), F.col(c)["cells"].alias("cells"), F.col(name).alias("other")) for i, c, name in ((1, "to_changed", "changed"), (2, "to_following", "following"))))
+    return versions.select("id", "own", F.explode(both).alias("p")).select("id", "p.side", "p.equal", "p.cells", "own", "p.other")
+
+
+def _first_cells(pairs: DataFrame) -> DataFrame:
+    size = FIRST_CELLS
+    rows = pairs.where("cells is not null").repartition("id").select("id", "side", F.posexplode("cells").alias("place", "c")).where("c.count <> 0 or c.key <> 0")
+    return rows.select("id", "side", F.lit(size).cast("long").alias("per_table"), F.floor(F.col("place") / size).cast("int").alias("table"), (F.col("place") % size).cast("long").alias("cell"), "c.*")
 
 
 def _difference_cells(pairs: DataFrame, attempt: int) -> DataFrame:
-    """Cells of the subtracted sketches of pairs, ``attempt`` doublings larger than the first retry."""
+    """Cells of the subtracted sketches of pairs, ``attempt`` - 1 doublings larger than the first retry."""
     per_table = (F.ceil((F.size("own") + F.size("other")) * F.lit(LOAD * 2 ** (attempt - 1))) + 4).cast("long")
     signed = F.concat(F.transform("own", lambda k: F.struct(k.alias("key"), F.lit(1).cast("long").alias("sign"))), F.transform("other", lambda k: F.struct(k.alias("key"), F.lit(-1).cast("long").alias("sign"))))
     rows = pairs.repartition("id").select("id", "side", per_table.alias("per_table"), F.explode(signed).alias("d")).select("id", "side", "per_table", "d.*", F.explode(F.array(*map(F.lit, range(TABLES)))).alias("table"))
@@ -153,26 +176,18 @@ def _difference_cells(pairs: DataFrame, attempt: int) -> DataFrame:
     return sums.where((F.col("count") != 0) | (F.col("key") != 0))
 
 
-def differences(versions: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(id, side, differing) for all pairs, the number of digests in which they differ."""
-    sides = [
-        F.struct(F.lit(i).alias("side"), (F.col("count0") - F.col(f"count{i}")).alias("count"), F.col("key0").bitwiseXOR(F.col(f"key{i}")).alias("key"), F.col("check0").bitwiseXOR(F.col(f"check{i}")).alias("check"))
-        for i in (1, 2)
-    ]
-    cells = sketches.repartition("id").select("id", "table", "cell", F.explode(F.array(*sides)).alias("s"))
-    cells = cells.select("id", "s.side", F.lit(FIRST_CELLS).cast("long").alias("per_table"), "table", "cell", "s.count", "s.key", "s.check").where("count <> 0 or key <> 0")
-    solved = [cut_lineage(_peeled(cells, 0).where("stuck = 0").select("id", "side", "differing"), "solved")]
-    # pairs without any cell left are equal; they are no row of the peeled cells
-    some = cells.select("id", "side").distinct()
-    pairs = _pairs(versions)
-    open_pairs = cut_lineage(pairs.join(some, ["id", "side"], "left_semi").join(solved[0], ["id", "side"], "left_anti"), "open-pairs")
+def differences(versions: DataFrame) -> DataFrame:
+    """(id, side, differing) of the pairs that differ: the number of digests in one of the two only."""
+    pairs = _pairs(versions).where("not equal")
+    solved = [cut_lineage(_peeled(_first_cells(pairs), 0).where("stuck = 0").select("id", "side", "differing"), "solved")]
     attempt = 1
-    while open_pairs.limit(1).count():
-        done = cut_lineage(_peeled(_difference_cells(open_pairs, attempt), attempt).where("stuck = 0").select("id", "side", "differing"), "solved")
-        solved.append(done)
-        open_pairs = cut_lineage(open_pairs.join(done, ["id", "side"], "left_anti"), "open-pairs")
+    while True:
+        done = reduce(DataFrame.union, solved)
+        left = pairs.select("id", "side", "own", "other").join(done, ["id", "side"], "left_anti")
+        if not left.limit(1).count():
+            return done
+        solved.append(cut_lineage(_peeled(_difference_cells(left, attempt), attempt).where("stuck = 0").select("id", "side", "differing"), "solved"))
         attempt += 1
-    return reduce(DataFrame.union, solved)
 
 
 def likeness(own: Column, other: Column, differing: Column) -> Column:
@@ -182,33 +197,35 @@ def likeness(own: Column, other: Column, differing: Column) -> Column:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    changed = edited(F.col("text"), F.col("next_text"))
-    followed = with_next(docs).withColumn("edited", changed)
+    names = ("own", "changed", "following")
+    followed = with_next(docs).withColumn("edited", edited(F.col("text"), F.col("next_text")))
+    sets = followed.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        *(pieces(F.col(text)).alias(name) for text, name in zip(("text", "edited", "next_text"), names, strict=True)),
+    )
+    sketches = sets.select("*", *(sketch(F.col(name)).alias(f"{name}_cells") for name in names))
     versions = cut_lineage(
-        followed.select(
+        sketches.select(
             F.monotonically_increasing_id().alias("id"),
-            "doc_id",
-            F.char_length("text").cast("long").alias("n_chars"),
-            F.sha2("edited", 256).alias("edited_sha256"),
-            pieces(F.col("text")).alias("own"),
-            pieces(F.col("edited")).alias("changed"),
-            pieces(F.col("next_text")).alias("following"),
+            *sets.columns,
+            written(F.col("own_cells")).alias("fingerprint"),
+            written(F.col("changed_cells")).alias("edited_fingerprint"),
+            _compared("own_cells", "changed_cells").alias("to_changed"),
+            _compared("own_cells", "following_cells").alias("to_following"),
         ),
         "versions",
     )
-    sketches = cut_lineage(_first_sketches(versions.select("id", "own", "changed", "following")), "sketches")
-    texts = sketches.groupBy("id").agg(_written(0).alias("fingerprint"), _written(1).alias("edited_fingerprint"))
-    differing = differences(versions.select("id", "own", "changed", "following"), sketches)
+    differing = differences(versions)
     by_id = differing.groupBy("id").agg(*(F.max(F.when(F.col("side") == i, F.col("differing"))).alias(f"differing{i}") for i in (1, 2)))
-    sizes = versions.select("id", "doc_id", "n_chars", "edited_sha256", *(F.size(c).alias(f"n_{c}") for c in ("own", "changed", "following")))
-    rows = sizes.join(texts, "id", "left").join(by_id, "id", "left")
-    none = F.lit("iblt1:")
-    return rows.select(
+    sizes = versions.select("id", "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *(F.size(c).alias(f"n_{c}") for c in names))
+    return sizes.join(by_id, "id", "left").select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        F.coalesce("fingerprint", none).alias("fingerprint"),
-        F.coalesce("edited_fingerprint", none).alias("edited_fingerprint"),
+        "fingerprint",
+        "edited_fingerprint",
         likeness(F.col("n_own"), F.col("n_changed"), F.coalesce("differing1", F.lit(0))).alias("near_edited"),
         likeness(F.col("n_own"), F.col("n_following"), F.coalesce("differing2", F.lit(0))).alias("near_next"),
     )
