@@ -122,14 +122,16 @@ def sketch(keys: Column) -> Column:
     placed = F.transform(keys, lambda k: F.struct(k.alias("key"), _check(k).alias("check"), *(p(k).alias(f"c{t}") for t, p in enumerate(places))))
     none = F.struct(F.lit(0).cast("long").alias("count"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("check"))
 
-    def cell(number: Column) -> Column:
+    def cell(all_placed: Column, number: Column) -> Column:
         def add(so_far: Column, p: Column) -> Column:
             more = F.struct((so_far["count"] + 1).alias("count"), so_far["key"].bitwiseXOR(p["key"]).alias("key"), so_far["check"].bitwiseXOR(p["check"]).alias("check"))
             return F.when((p["c0"] == number) | (p["c1"] == number) | (p["c2"] == number), more).otherwise(so_far)
 
-        return F.aggregate(placed, none, add)
+        return F.aggregate(all_placed, none, add)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(TABLES * size - 1)), cell)
+    # bound to a variable, so that the places are found once and not for every cell
+    numbers = F.sequence(F.lit(0), F.lit(TABLES * size - 1))
+    return F.transform(F.array(placed), lambda all_placed: F.transform(numbers, lambda n: cell(all_placed, n)))[0]
 
 
 def _cell_of(of_table: int):
