@@ -7,9 +7,10 @@
    costs time where tokens collide.
 3. Star step: every node is compared with the pivot of its tokens.  A group of thousands of near copies becomes one component in time
    linear in its size.
-4. Token-group matrix: nodes of a component are partitioned into groups of similar size; a group stores the union of its members'
-   prefix tokens.  Query nodes meet groups of *other* components through that matrix, the overlap with the union bounds the overlap
-   with every member, and only groups that the bound cannot exclude are opened; their members are counted, then verified exactly.
+4. Token-group matrix: nodes of similar size that share their first common token are partitioned into groups of about GROUP_MEMBERS; a
+   group stores the union of its members' prefix tokens.  Query nodes meet groups with members of *other* components through that
+   matrix, the overlap with the union bounds the overlap with every member, and only groups that the bound cannot exclude are opened;
+   their members are counted, then verified exactly.
 
 Links inside a component would not change it, so they are never expanded; every link between components is found.
 
@@ -252,11 +253,20 @@ def _verified(pairs: DataFrame, docs: DataFrame, how: Threshold) -> DataFrame:
     return cut_lineage(both.select("u", "v", "left_tokens", "right_tokens").mapInArrow(run, "u binary, v binary"), "verified")
 
 
+def _with_held(rows: DataFrame) -> DataFrame:
+    """Rows of (token, node) with ``held``, how many of them the node has: no two nodes share more tokens than either holds."""
+    return rows.join(rows.groupBy("node").agg(F.count("*").alias("held")), "node")
+
+
 def _star_pairs(shared: DataFrame, how: Threshold) -> DataFrame:
-    """(u, v): a node and the pivot with which it shares most tokens, where enough are shared."""
-    pivots = shared.groupBy("token").agg(F.min(F.struct("node", "size")).alias("pivot"))
+    """(u, v): a node and the pivot with which it shares most tokens, where enough are shared.
+
+    The pivot of a token is its node with most shared tokens: among near copies, the one with fewest words of its own.
+    """
+    rows = _with_held(shared)
+    pivots = rows.groupBy("token").agg(F.max(F.struct("held", "node", "size")).alias("pivot"))
     met = (
-        shared.join(pivots, "token")
+        rows.join(pivots, "token")
         .where((F.col("node") != F.col("pivot.node")) & how.sizes_fit(F.col("size"), F.col("pivot.size")))
         .groupBy("node", "size", "pivot")
         .agg(F.count("*").alias("common"))
@@ -271,25 +281,31 @@ def _group_matrix_pairs(shared: DataFrame, how: Threshold) -> DataFrame:
     shared: (token, node, size, component).
     """
     several = shared.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    rows = cut_lineage(shared.join(several, "token", "left_semi"), "matrix-rows")
-    members = rows.select("node", "size", "component").distinct()
+    rows = cut_lineage(_with_held(shared.join(several, "token", "left_semi")), "matrix-rows")
     band = F.floor(F.log(F.col("size")) / F.log(F.lit(1.05)))
-    counts = members.groupBy("component", band.alias("band")).agg(F.count("*").alias("held"))
-    members = members.withColumn("band", band).join(counts, ["component", "band"])
-    cut = F.pmod(F.xxhash64("node"), F.ceil(F.col("held") / GROUP_MEMBERS))
-    members = cut_lineage(members.select("node", "size", "component", F.xxhash64("component", "band", cut).alias("group")), "groups")
-    spans = members.groupBy("group", "component").agg(F.min("size").alias("least"), F.max("size").alias("most"))
+    like = ["lead", "band", "level"]
+    members = rows.groupBy("node", "size", "component", "held").agg(F.min("token").alias("lead"))
+    members = members.withColumns({"band": band, "level": F.floor(F.log2("held"))})
+    counts = members.groupBy(*like).agg(F.count("*").alias("alike"))
+    cut = F.pmod(F.xxhash64("node"), F.ceil(F.col("alike") / GROUP_MEMBERS))
+    members = cut_lineage(members.join(counts, like).select("node", "size", "component", "held", F.xxhash64(*like, cut).alias("group")), "groups")
+    spans = members.groupBy("group").agg(
+        F.min("size").alias("least"), F.max("size").alias("most"), F.max("component").alias("last"), F.max("held").alias("most_held")
+    )
     matrix = rows.join(members.select("node", "group"), "node").select("token", "group").distinct().join(spans, "group")
     a, low, high = F.col("size"), F.greatest(F.col("least"), F.ceil(F.col("size") * how.num / how.den)), F.least(F.col("most"), F.floor(F.col("size") * how.den / how.num))
+    least = F.least(how.needed(a, low), how.needed(a, high)) - F.when(low < high, 1).otherwise(0)  # sizes between may need one less
     opened = (
-        rows.join(matrix.withColumnRenamed("component", "other"), "token")
-        .where((F.col("component") < F.col("other")) & (low <= high))
-        .groupBy("node", "size", "group", "least", "most")
+        rows.join(matrix, "token")
+        .where((F.col("component") < F.col("last")) & (low <= high) & (F.least("held", "most_held") >= least))
+        .groupBy("node", "size", "component", "group", "least", "most")
         .agg(F.count("*").alias("bound"))
-        .where(F.col("bound") >= F.least(how.needed(a, low), how.needed(a, high)) - F.when(low < high, 1).otherwise(0))  # sizes between may need one less
-        .select("node", "size", "group")
+        .where(F.col("bound") >= least)
+        .select("node", "size", "component", "group")
     )
-    pairs = opened.join(members.select("group", F.col("node").alias("v"), F.col("size").alias("v_size")), "group").where(how.sizes_fit(a, F.col("v_size")))
+    inside = members.select("group", F.col("node").alias("v"), F.col("size").alias("v_size"), F.col("component").alias("v_component"), F.col("held").alias("v_held"))
+    fits = how.sizes_fit(a, F.col("v_size")) & (F.col("v_held") >= how.needed(a, F.col("v_size")))
+    pairs = opened.join(inside, "group").where((F.col("component") < F.col("v_component")) & fits)
     pairs = cut_lineage(pairs.select(F.col("node").alias("u"), "v", "size", "v_size"), "opened")
     left, right = (rows.select("token", F.col("node").alias(x)) for x in "uv")
     return (
