@@ -3,9 +3,11 @@
 Two generative models over hashed features: the target (documents labelled good: quality 1, not toxic) and the raw text (all
 documents).  Features of a document are its distinct hashed words, punctuation runs and bigrams, and how long it repeats itself.  The
 importance weight of a document is the product over its features of target probability over raw probability.  Counts are hashed
-into two tables, and of a feature's two ratios the weaker one holds, so that a chance collision decides nothing.  A ratio counts only
-where it differs from 1 by more than RATIO and by more than ERRORS standard errors: what labels cannot tell apart stays neutral, in
-long documents too.
+into two tables, and of a feature's two ratios the weaker one holds, so that a chance collision decides nothing.  A ratio counts where
+it differs from 1 by more than RATIO, and is shrunken by 1 - EVIDENCE / deviance, where the deviance is that of the feature's labelled
+good and bad documents from the share of good ones.  It grows with the labelled documents that have the feature, whatever part of the
+corpus they are; what labels cannot tell apart stays neutral, in long documents too.  A labelled document is scored without its own
+counts, so that the cut that is chosen on labels holds for the others.
 
 Sampling is Gumbel top-k: k documents with the largest log weight + TEMPERATURE * Gumbel noise, which draws k documents without
 replacement in proportion to weight^(1/TEMPERATURE).  k is the number of documents whose log weight reaches the cut that separates
@@ -35,7 +37,7 @@ from .common import query, table, whole_text
 TABLE_BITS = 17
 LABELS = 100_000
 RATIO = 1.5
-ERRORS = 4.0
+EVIDENCE = 9.0
 TEMPERATURE = 0.05
 LONG_RUN = 4
 BINS = 4096
@@ -101,33 +103,46 @@ def _label_of(ids: np.ndarray, good: np.ndarray, doc_ids: list) -> list[int]:
     return np.where(ids[at] == wanted, good[at], -1).tolist() if len(ids) else [-1] * len(wanted)
 
 
+def log_ratios(raw: np.ndarray, good: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """The shrunken log ratio of each slot; the last slot holds the numbers of documents."""
+    (raw, n), (good, n_good), (bad, n_bad) = ((np.maximum(x[:-1], 0), x[-1]) for x in (raw, good, bad))
+    if n_good <= 0 or n_bad <= 0:
+        return np.zeros(len(raw), np.float32)
+    ratio = np.log((good + 1) / (raw * (n_good / n) + 1))
+    usual = (good + bad) * (n_good / (n_good + n_bad))
+    unusual = good + bad - usual
+    deviance = 2 * sum(x * np.log(np.maximum(x, 1) / np.where(x > 0, e, 1)) for x, e in ((good, usual), (bad, unusual)))
+    counts = (np.abs(ratio) > np.log(RATIO)) & (ratio * (good - usual) > 0) & (deviance > EVIDENCE)
+    return np.where(counts, ratio * (1 - EVIDENCE / np.where(counts, deviance, 1)), 0).astype(np.float32)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
-    """Log ratio of each feature slot, and the label sample.  2^(TABLE_BITS + 1) counts reach the driver, whatever the corpus."""
+    """Log ratios of the feature slots, and the label sample.  2^(TABLE_BITS + 1) counts reach the driver, whatever the corpus.
+
+    The rows of the ratios are by label: for bad and good documents, from whose counts one such document is taken off, and for others.
+    """
     sample = docs.sparkSession.sparkContext.broadcast(_label_sample(labels))
     size = 2 << TABLE_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)  # the last slot counts documents
+        raw, good, bad = np.zeros((3, size + 1), np.int64)  # the last slot counts documents
         for batch in batches:
             for text, label in zip(batch.column(1).to_pylist(), _label_of(*sample.value, batch.column(0).to_pylist()), strict=True):
                 both = slots(features(text))
-                for counts in (raw, target) if label == 1 else (raw,):
+                for counts in ((raw, bad), (raw, good), (raw,))[label]:
                     for own in both:
                         counts[own] += 1
                     counts[size] += 1
         at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(target[at])], names=["slot", "raw", "target"])
+        columns = [pa.array(at.astype(np.int32)), *(pa.array(x[at]) for x in (raw, good, bad))]
+        yield pa.RecordBatch.from_arrays(columns, names=["slot", "raw", "good", "bad"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(run, "slot int, raw long, target long")
-    found = rows.groupBy("slot").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
-    raw, target = np.zeros(size + 1), np.zeros(size + 1)
-    at = found.column("slot").to_numpy()
-    raw[at], target[at] = found.column("raw").to_numpy(), found.column("target").to_numpy()
-    expected = raw[:size] * (target[size] / max(1.0, raw[size]))
-    ratio = np.log((target[:size] + 1) / (expected + 1))
-    certain = np.abs(target[:size] - expected) > ERRORS * np.sqrt(expected + 1)
-    ratio[~(certain & (np.abs(ratio) > np.log(RATIO)))] = 0
-    return (ratio if target[size] else np.zeros(size)), sample.value
+    rows = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(run, "slot int, raw long, good long, bad long")
+    found = rows.groupBy("slot").agg(*(F.sum(c).alias(c) for c in ("raw", "good", "bad"))).toArrow()
+    counts = np.zeros((3, size + 1))
+    counts[:, found.column("slot").to_numpy()] = [found.column(c).to_numpy() for c in ("raw", "good", "bad")]
+    raw, good, bad = counts
+    return np.stack([log_ratios(raw - 1, good, bad - 1), log_ratios(raw - 1, good - 1, bad), log_ratios(raw, good, bad)]), sample.value
 
 
 def scored(docs: DataFrame, ratio: np.ndarray, labels: tuple[np.ndarray, np.ndarray], columns: tuple[str, ...]) -> DataFrame:
@@ -139,27 +154,32 @@ def scored(docs: DataFrame, ratio: np.ndarray, labels: tuple[np.ndarray, np.ndar
         ratio, labels = shared.value
         for batch in batches:
             ids, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
-            weight = [log_weight(features(t), ratio) for t in texts]
+            marks = _label_of(*labels, ids)
+            weight = [log_weight(features(t), ratio[label]) for t, label in zip(texts, marks, strict=True)]
             draws = np.array([xxhash.xxh3_64_intdigest(f"{i}\0{t}", seed=7) for i, t in zip(ids, texts, strict=True)], np.uint64)
             noise = -np.log(-np.log(((draws >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)))
-            extra = [pa.array(weight, pa.float64()), pa.array(noise, pa.float64()), pa.array(_label_of(*labels, ids), pa.int32())]
+            extra = [pa.array(weight, pa.float64()), pa.array(noise, pa.float64()), pa.array(marks, pa.int32())]
             yield pa.RecordBatch.from_arrays([batch.column("kept"), *extra], names=["kept", "log_weight", "noise", "label"])
 
     return rows.mapInArrow(run, f"kept {rows.schema['kept'].dataType.simpleString()}, log_weight double, noise double, label int")
 
 
 def best_cut(scores: DataFrame) -> float:
-    """The log weight that separates labelled good from labelled bad best; weights are rounded to 0.05, so the rows are few."""
+    """The log weight that separates labelled good from labelled bad best, in the middle of the gap between them.
+
+    Weights are rounded to 0.05, so the rows are few.
+    """
     rows = scores.where("label >= 0").groupBy(F.round(F.greatest("log_weight", F.lit(-100.0)) * 20).alias("w"), "label").count().toArrow().to_pylist()
     total = {x: sum(r["count"] for r in rows if r["label"] == x) for x in (0, 1)}
     if not total[0] or not total[1]:
         return -np.inf
     kept, best = {0: 0, 1: 0}, (-1.0, 0.0)
-    for w in sorted({r["w"] for r in rows}, reverse=True):
+    levels = sorted({r["w"] for r in rows}, reverse=True)
+    for w, lower in zip(levels, [*levels[1:], levels[-1] - 1], strict=True):
         for r in rows:
             if r["w"] == w:
                 kept[r["label"]] += r["count"]
-        best = max(best, (kept[1] / total[1] - kept[0] / total[0], (w - 0.5) / 20))
+        best = max(best, (kept[1] / total[1] - kept[0] / total[0], (w + lower) / 40))
     return best[1]
 
 

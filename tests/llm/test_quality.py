@@ -52,3 +52,26 @@ def test_kth_largest_is_exact_with_ties(spark, k):
     values = [random.choice((random.gauss(0, 1), 0.5, -1e9, 1e-12)) for _ in range(1000)]
     df = spark.createDataFrame([(v,) for v in values], "key double")
     assert kth_largest(df, k) == sorted(values, reverse=True)[k - 1]
+
+
+def test_rare_toxic_words_and_marks_count_in_small_tables(spark, make_docs):
+    random.seed(9)
+    words, abuse = [f"w{i}" for i in range(300)], [f"abuse{i}" for i in range(10)]
+    rows, labels, bad = [], [], set()
+    for i in range(1000):
+        text = [random.choice(words) for _ in range(random.randint(20, 400))]
+        if i % 25 in (3, 11):
+            text[5:5] = random.sample(abuse, 3)
+        elif i % 25 == 7:
+            text = [w + "###" for w in text]
+        if i % 25 in (3, 11, 7):
+            bad.add(i)
+        if i % 5 < 2 or i % 50 == 7:
+            labels.append((i, int(i % 25 != 7), int(i % 25 in (3, 11))))
+        rows.append((i, " ".join(text)))
+    # the words are in fewer documents than four standard errors of the raw counts ask for
+    assert max(sum(a in t.split() for _, t in rows) for a in abuse) * len([x for x in labels if x[1] and not x[2]]) / 1000 < 17
+    marked = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in resample(make_docs(rows), marked).select("doc_id").collect()}
+    assert len(kept & bad) <= 0.05 * len(bad)
+    assert len({i for i, _ in rows} - bad - kept) <= 0.01 * len(rows)
