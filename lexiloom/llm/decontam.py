@@ -1,14 +1,15 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Fixed masks of 12 words look at 8 of them, so a window still meets its source when words under the holes were substituted.  Hashes of
-the benchmark's windows fill a bit table of fixed size that goes with the tasks; a document's windows that pass it are joined to the
+Masks look at some words of a window, so it still meets its source when words under the holes were substituted.  A family of masks
+belongs to the item's length, and together its masks hit every arrangement of substitutions that the law below allows.  Hashes of the
+benchmark's windows fill a bit table of fixed size that goes with the tasks; a document's windows that pass it are joined to the
 benchmark's windows by hash, which gives (document, item, shift) candidates, and each candidate is verified word by word around the
 hit: some stretch of min(item length, 20) words must agree in at least 80 % of its places.
 
 Decisions belong to texts, so copies of a text are decided once.
 
-Edge cases: a null or empty text and an item of fewer than 5 words match nothing; items of 5 to 11 words use a mask of 5 words without
-holes; repeated rows and items count once; an empty benchmark leaves every document clean; extra columns are kept by ``clean``.
+Edge cases: a null or empty text and an item of fewer than 5 words match nothing; documents meet
+only the masks of lengths that the benchmark has; repeated rows and items count once; an empty benchmark leaves every document clean; extra columns are kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -26,8 +27,13 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .common import query, table, whole_text
 
-MASKS = ("110110101011", "111010011101", "101101110011")
-SHORT_MASK = "11111"
+# By least item length n: whatever n / 5 words of n words in a row are substituted, one of the masks looks at none of them.
+FAMILIES = {
+    20: ("1110110111", "11100010001111", "1110000100101011", "110110010111", "1110101100000101", "11010101010011", "1101100010100011"),
+    15: ("11110111", "11100100111", "110010101011", "1001011001011", "1101100001011", "100100110111"),
+    10: ("111011", "11000111", "110110001"),
+    5: ("1111", "10111", "11011", "11101"),
+}
 STRETCH = 20
 AGREEMENT = 0.8
 TABLE_BITS = 25
@@ -63,6 +69,11 @@ def window_hashes(tokens: np.ndarray, mask: str) -> np.ndarray:
     return value ^ (value >> np.uint64(29))
 
 
+def masks_of(length: int) -> tuple[str, ...]:
+    """The masks for an item of so many words; none below 5 words."""
+    return next((masks for least, masks in FAMILIES.items() if length >= least), ())
+
+
 def _slots(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = np.uint64((1 << TABLE_BITS) - 1)
     return (hashes & low).astype(np.int64), (hashes >> np.uint64(TABLE_BITS) & low).astype(np.int64)
@@ -76,7 +87,7 @@ def _benchmark_windows(items: DataFrame) -> DataFrame:
             out: dict[str, list] = {"item": [], "tokens": [], "hashes": [], "positions": []}
             for text in batch.column(0).to_pylist():
                 tokens = words_of(text)
-                windows = [window_hashes(tokens, m) for m in (MASKS if len(tokens) >= len(MASKS[0]) else (SHORT_MASK,))]
+                windows = [np.empty(0, np.uint64), *(window_hashes(tokens, m) for m in masks_of(len(tokens)))]
                 out["item"].append(hashlib.md5(text.encode(), usedforsecurity=False).hexdigest())
                 out["tokens"].append(tokens.tobytes())
                 out["hashes"].append(np.concatenate(windows).view(np.int64))
@@ -119,7 +130,7 @@ def _suspects(docs: DataFrame, bits, masks: tuple[str, ...]) -> DataFrame:
                 at = at[(held[second[at] >> 3] >> (second[at] & 7).astype(np.uint8) & 1).astype(bool)]
                 at = at[owner[at] == owner[at + len(mask) - 1]]
                 hits.append((at, hashes[at]))
-            at, hashes = (np.concatenate(x) for x in zip(*hits, strict=True))
+            at, hashes = (np.concatenate(x) for x in zip((np.empty(0, np.int64), np.empty(0, np.uint64)), *hits, strict=True))
             order = np.argsort(at, kind="stable")
             at, hashes = at[order], hashes[order].view(np.int64)
             texts_hit, first = np.unique(owner[at], return_index=True)
@@ -166,8 +177,9 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     benchmark = _benchmark_windows(items)
     bits = spark.sparkContext.broadcast(_bit_table(benchmark))
-    short = benchmark.where(F.length("tokens") < 8 * len(MASKS[0])).limit(1).count()
-    suspects = _suspects(docs, bits, MASKS + (SHORT_MASK,) * short)
+    least = F.coalesce(*(F.when(F.length("tokens") >= 8 * n, n) for n in FAMILIES), F.lit(0)).alias("least")
+    masks = [m for row in benchmark.select(least).distinct().collect() for m in masks_of(row.least)]
+    suspects = _suspects(docs, bits, tuple(masks))
 
     def windows(rows: DataFrame, key: str, position: str) -> DataFrame:
         pairs = F.explode(F.arrays_zip("hashes", "positions")).alias("w")

@@ -1,9 +1,10 @@
+import itertools
 import random
 
 import numpy as np
 import pytest
 
-from lexiloom.llm.decontam import agreement, clean, leaks, words_of
+from lexiloom.llm.decontam import agreement, clean, leaks, masks_of, words_of
 
 from .conftest import AWKWARD
 
@@ -60,3 +61,25 @@ def test_empty_tables(spark, make_docs):
 def test_agreement_counts_words_outside_as_unequal():
     assert agreement(np.array([1, 2], np.uint64), np.array([1, 2, 3, 4], np.uint64), 0) == 0.5
     assert agreement(np.array([], np.uint64), np.array([], np.uint64), 0) == 0.0
+
+
+@pytest.mark.parametrize("n", range(5, 21))
+def test_masks_hit_every_arrangement_of_the_law(n):
+    least = -(-4 * n // 5)
+    shifts = [sum(1 << (s + i) for i, c in enumerate(m) if c == "1") for m in masks_of(n) for s in range(n - len(m) + 1)]
+    missed = [x for x in itertools.combinations(range(n), n - least) if all(sum(1 << i for i in x) & s for s in shifts)]
+    assert not missed
+
+
+def test_substitutions_at_steps_of_five_and_six(spark, make_docs):
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in (*range(5, 21), 31, 59)]
+    docs = []
+    for n, text in items:
+        for step in (5, 6):
+            for phase in range(step):
+                words = ["zz" if k % step == phase else w for k, w in enumerate(text.split())]
+                docs.append((len(docs), "some words before " + " ".join(words) + " and after"))
+    bad = brute(docs, items)
+    kept = clean(make_docs(docs), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - bad
+    assert {d for d, t in docs if "i31x1" in t or "i59x1" in t} <= bad
