@@ -40,9 +40,10 @@ SYLLABLES = {
 TITLES = "|".join(sorted(FEMALE + MALE + NEUTRAL, key=len, reverse=True))
 PATTERN = regex.compile(
     rf"""(?P<email>[\w.+-]+@(?:[\w-]+\.)+[A-Za-z]{{2,}})
-    |(?P<secret>\b(?:api[_-]?key|access[_-]?key|token|secret|passwd|password)\b["']?\s*[:=]\s*["']?(?P<value>[A-Za-z0-9+/_\-]{{16,}}))
+    |(?P<secret>(?<![^\W_])(?i:api[_-]?key|access[_-]?key|token|secret(?:[_-]?key)?|passwd|password)\b["']?\s*[:=]\s*(?:(?P<quote>["'])(?P<value>(?:(?!(?P=quote))[^\r\n])+)(?P=quote)
+        |["']?(?P<value>[A-Za-z0-9+/_\-]{{16,}}|(?=[A-Za-z+/_\-]*\d)(?=[\d+/_\-]*[A-Za-z])[A-Za-z0-9+/_\-]{{6,}})))
     |(?P<ip>(?<![\d.])(?:\d{{1,3}}\.){{3}}\d{{1,3}}(?![\d.]*\d))
-    |(?P<phone>(?<![\w.])(?:\+\d{{1,3}}[ .-]?)?\(\d{{2,4}}\)[ .-]?\d{{3,4}}[ .-]?\d{{3,4}}(?!\w)|(?<![\w.])\+\d{{1,3}}(?:[ .-]\d{{2,4}}){{2,4}}(?!\w)|(?<![\w.-])\d{{3}}-\d{{3}}-\d{{4}}(?![\w-]))
+    |(?P<phone>(?<![\w.])(?:\+\d{{1,3}}[ .-]?)?\(\d{{2,4}}\)[ .-]?\d{{3,4}}[ .-]?\d{{3,4}}(?!\w)|(?<![\w.])\+\d{{1,3}}(?:[ .-]\d{{2,4}}){{2,4}}(?!\w)|(?<![\w.])\+\d{{8,15}}(?!\w)|(?<![\w.-])\d{{3}}(?:-\d{{3}}-|\.\d{{3}}\.)\d{{4}}(?![\w-]|\.\d))
     |(?P<card>(?<![\w.])\d(?:[ -]?\d){{12,18}}(?!\w))
     |(?P<person>\b(?P<title>{TITLES})\b\.?\ (?P<names>\p{{Lu}}[\p{{Ll}}\p{{M}}]+(?:\ \p{{Lu}}[\p{{Ll}}\p{{M}}]+)?))""",
     regex.VERBOSE,
@@ -67,12 +68,22 @@ def _script(name: str) -> str:
     return next((s for s in SYLLABLES if regex.search(rf"\p{{{s}}}", name)), "Latin")
 
 
+def _card_end(found: str) -> int:
+    """Where the longest valid number of 13 to 19 digits ends with which the run of digit groups begins; 0 if there is none."""
+    for end in (len(found), *(i for i in range(len(found) - 1, 12, -1) if found[i] in " -")):
+        digits = "".join(c for c in found[:end] if c.isdecimal())
+        if len(digits) >= 13 and len(set(digits)) > 1 and _luhn(digits) % 10 == 0:
+            return end
+    return 0
+
+
 def mentions(text: str) -> Iterator[Mention]:
     """Entities from left to right.  A person's names are entities of their own, so that a family shares its surrogate."""
     if not HINT.search(text):
         return
-    for m in PATTERN.finditer(text):
-        kind, found = m.lastgroup, None
+    at = 0
+    while m := PATTERN.search(text, at):
+        at, found = m.end(), None
         for kind in ("email", "secret", "ip", "phone", "card", "person"):
             if (found := m[kind]) is not None:
                 break
@@ -87,15 +98,18 @@ def mentions(text: str) -> Iterator[Mention]:
         elif kind == "phone":
             yield Mention(m.start(), m.end(), kind, digits)
         elif kind == "card":
-            if len(set(digits)) > 1 and _luhn(digits) % 10 == 0:
-                yield Mention(m.start(), m.end(), kind, digits)
+            if size := _card_end(found):
+                at = m.start() + size
+                yield Mention(m.start(), at, kind, "".join(c for c in found[:size] if c.isdecimal()))
+            elif separator := regex.search("[ -]", found):  # a number before the card, or before a phone number
+                at = m.start() + separator.end()
         else:
             gender = "f" if m["title"] in FEMALE else "m" if m["title"] in MALE else ""
-            at, parts = m.start("names"), m["names"].split(" ")
+            start, parts = m.start("names"), m["names"].split(" ")
             for i, part in enumerate(parts):
                 given = len(parts) == 2 and i == 0
-                yield Mention(at, at + len(part), "given-" + gender if given else "family", part.lower())
-                at += len(part) + 1
+                yield Mention(start, start + len(part), "given-" + gender if given else "family", part.lower())
+                start += len(part) + 1
 
 
 class _Draws:
@@ -146,7 +160,10 @@ def surrogate(kind: str, canonical: str, attempt: int) -> str:
     if kind == "phone":
         return "".join(c if i < len(canonical) - 10 else str(draws.below(10)) for i, c in enumerate(canonical))
     if kind == "secret":
-        return _classwise(canonical, draws)
+        # short values have few surrogates of their length, marks alone have none
+        drawn = sum(c.isalpha() or c in "0123456789" for c in canonical)
+        more = attempt // 4 if drawn < 16 else 0
+        return _classwise(canonical if drawn else "x" * len(canonical), draws) + "".join(str(draws.below(10)) for _ in range(more))
     inner, last = SYLLABLES[_script(canonical)]
     gender = kind.removeprefix("given-") if kind.startswith("given-") else ""
     return "".join(draws.pick(inner) for _ in range(2 + attempt // 4)) + draws.pick(last[gender])
@@ -224,7 +241,8 @@ def replace(docs: DataFrame, length: str | None = None) -> DataFrame:
                 if names.is_valid:
                     held = dict(names.as_py())
                     for m in mentions(text):
-                        parts += [text[done : m.start], rendered(text[m.start : m.end], held[f"{m.kind}\0{m.canonical}"])]
+                        new = held[f"{m.kind}\0{m.canonical}"]
+                        parts += [text[done : m.start], new if m.kind == "secret" else rendered(text[m.start : m.end], new)]
                         count, done = count + 1, m.end
                 texts.append("".join([*parts, text[done:]]) if count else text)
                 counts.append(count)

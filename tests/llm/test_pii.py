@@ -55,3 +55,28 @@ def test_collisions_are_drawn_again(spark, monkeypatch):
 
 def test_empty(make_docs):
     assert replace(make_docs([])).count() == 0
+
+
+def test_secrets_in_capitals_short_and_with_longer_names():
+    def values(text):
+        return [text[m.start : m.end] for m in mentions(text) if m.kind == "secret"]
+
+    assert values('TOKEN = "9233A8ECD01F44B19233A8EC"!!') == ["9233A8ECD01F44B19233A8EC"]
+    assert values("password: hunter2, My_Api_Key=abcdef1234567890 x-secret-key: 'p@ss \"word'") == ["hunter2", "abcdef1234567890", 'p@ss "word']
+    assert not values("Password: required, token: none, mytokens = 12345678901234567890")
+
+
+def test_phones_without_separators_and_numbers_next_to_cards():
+    def found(text):
+        return [(m.kind, text[m.start : m.end]) for m in mentions(text)]
+
+    assert found("+15551234567, 555.123.4567.") == [("phone", "+15551234567"), ("phone", "555.123.4567")]
+    card = ("card", "4845168114407329")
+    assert found("4845168114407329 123") == found("4845168114407329 7 of") == found("12 4845168114407329") == [card]
+    assert found("4845168114407329 555-123-4567") == [card, ("phone", "555-123-4567")]
+
+
+def test_surrogates_of_short_secrets_are_enough(make_docs):
+    texts = [f'password = "{c}"' for c in [*"0123456789", "--"]]
+    rows = replace(make_docs(list(enumerate(texts)))).collect()
+    assert len({r.text for r in rows}) == len(texts) and not {r.text for r in rows} & set(texts)
