@@ -18,7 +18,7 @@ rows; extra columns are ignored; a text of any length is read in parts, but one
 from __future__ import annotations
 
 import hashlib
-import os
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .common import query, table, whole_text
 
-LANE = 1 << 10  # characters from which a text is cut
+LANE = 1 << 9  # characters from which a text is cut
 GROUP = 1 << 20  # characters merged at once
 HOT_PAIRS = 1 << 17
 B_BITS = 32  # a pair of ids is one number: A's id, then B's
@@ -43,17 +43,18 @@ AFTER_WORD = re.compile(rb"[0-9A-Za-z] ")
 
 @dataclass(frozen=True)
 class Tokenizers:
-    """The two files, as text and bytes; they are of fixed size and go to the tasks as a broadcast."""
+    """The two files, as text and bytes, and the pattern of A's pre-tokens; of fixed size, they go to the tasks as a broadcast."""
 
     a: str
     b: bytes
+    pattern: str
 
     @staticmethod
     def public(a: str = "byte_bpe_50k.json", b: str = "piece_bpe_32k.model") -> Tokenizers:
         import public_tokenizers
 
         with open(public_tokenizers.path(a), encoding="utf-8") as first, open(public_tokenizers.path(b), "rb") as second:
-            return Tokenizers(first.read(), second.read())
+            return Tokenizers(first.read(), second.read(), public_tokenizers.PATTERN)
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -67,17 +68,21 @@ class Pair:
     """Both tokenizers loaded, with the bytes, lengths and decimal digits of every id."""
 
     def __init__(self, files: Tokenizers):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has one task per core
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.a = Tokenizer.from_str(files.a)
-        self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=files.b)
-        alphabet = _byte_alphabet()
-        self.a_bytes = [b""] * self.a.get_vocab_size()
-        for token, i in self.a.get_vocab().items():
-            self.a_bytes[i] = bytes(alphabet.get(c, 0) for c in token)
+        model, alphabet = json.loads(files.a)["model"], _byte_alphabet()
+        merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        if merged != sorted(merged):
+            raise ValueError("the ids of A are not in the order of its merges")
+        special = {x["id"] for x in json.loads(files.a)["added_tokens"]}
+        self.a_bytes = [b""] * (max(model["vocab"].values()) + 1)
+        for token, i in model["vocab"].items():
+            if i not in special:
+                self.a_bytes[i] = bytes(map(alphabet.__getitem__, token))
+        # with ids in that order, A is the encoder by ranks, which takes a quarter of the time
+        self.a = tiktoken.Encoding("a", pat_str=files.pattern, mergeable_ranks={x: i for i, x in enumerate(self.a_bytes) if x}, special_tokens={})
         self.b_bytes = []
         for i in range(self.b.vocab_size()):
             piece = self.b.id_to_piece(i)
@@ -88,7 +93,7 @@ class Pair:
         self.digits, self.widths = _decimals(max(len(self.a_bytes), len(self.b_bytes)))
 
     def encode_a(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        return list(map(self.a.encode_ordinary, texts))
 
     def encode_b(self, texts: list[str]) -> list[list[int]]:
         return self.b.encode(texts, num_threads=1)

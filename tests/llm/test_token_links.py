@@ -121,3 +121,9 @@ def test_empty(spark, make_docs):
 def test_a_hot_text_and_a_wide_one(spark, make_docs):
     docs = [(i, "the same text for a third of all") for i in range(40)] + sample(20)
     assert rows(aligned(make_docs(docs, parts=5))) == brute(docs)
+
+
+def test_encoder_by_ranks_gives_the_ids_of_the_file():
+    points = [c for c in (*range(0x3000), *range(0x3000, 0x110000, 37)) if not 0xD800 <= c <= 0xDFFF]
+    texts = [f" a{chr(c)}a1{chr(c)}1!{chr(c)}! {chr(c)}  {chr(c)}{chr(c)} x" for c in points] + [" " + t for _, t in sample(50)]
+    assert loaded(Tokenizers.public()).encode_a(texts) == [x.ids for x in plain()[0].encode_batch(texts, add_special_tokens=False)]
