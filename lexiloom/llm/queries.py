@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .common import ORACLES, QUERIES
 
-MODULES = ("sharding", "bpe", "jaccard", "decontam", "quality", "pii", "suffix", "fingerprint", "extraction", "warc", "token_links", "targeting")
+MODULES = ("sharding", "bpe", "jaccard", "decontam", "quality", "pii", "suffix", "fingerprint", "extraction", "warc", "token_links", "neighbour_graph", "targeting")
 
 for _name in MODULES:
     import_module(f"{__package__}.{_name}")
