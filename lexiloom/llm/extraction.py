@@ -257,10 +257,10 @@ def fit(pages: DataFrame, seed: int = 11) -> Labeller:
 
 def main_texts(model: Labeller, pages: list[list[Leaf]]) -> list[str]:
     out = [""] * len(pages)
-    order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
+    order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: -len(pages[i]))
     at = 0
     while at < len(order):
-        group = order[at : at + max(1, min(256, 4096 // len(pages[order[at]])))]
+        group = order[at : at + max(1, min(256, 4096 // len(pages[order[at]])))]  # the first is the longest: a group has 4096 blocks, or one page
         at += len(group)
         logits, _ = model.forward(*_padded([vectors(pages[i]) for i in group]))
         for i, row in zip(group, logits, strict=True):

@@ -16,6 +16,7 @@ Edge cases: a null text stays null, an empty one empty; repeated rows change ali
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,9 +39,9 @@ SYLLABLES = {
     "Greek": ("βα δε δα κα κε λα λε λι μα με μι να νε ρα ρε ρι σα σε τα τε τι".split(), {"f": ["να", "ρα", "λια", "τα"], "m": ["νορ", "ραμ", "λος", "των"], "": ["δεν", "σερ", "μελ", "ριν"]}),
 }
 TITLES = "|".join(sorted(FEMALE + MALE + NEUTRAL, key=len, reverse=True))
+EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]++@(?:[\w-]++\.)+[A-Za-z]{2,}")  # by the standard engine, which is linear in runs of labels
 PATTERN = regex.compile(
-    rf"""(?P<email>[\w.+-]+@(?:[\w-]+\.)+[A-Za-z]{{2,}})
-    |(?P<secret>(?<![^\W_])(?i:api[_-]?key|access[_-]?key|token|secret(?:[_-]?key)?|passwd|password)\b["']?\s*[:=]\s*(?:(?P<quote>["'])(?P<value>(?:(?!(?P=quote))[^\r\n])+)(?P=quote)
+    rf"""(?P<secret>(?<![^\W_])(?i:api[_-]?key|access[_-]?key|token|secret(?:[_-]?key)?|passwd|password)\b["']?\s*[:=]\s*(?:(?P<quote>["'])(?P<value>(?:(?!(?P=quote))[^\r\n])+)(?P=quote)
         |["']?(?P<value>[A-Za-z0-9+/_\-]{{16,}}|(?=[A-Za-z+/_\-]*\d)(?=[\d+/_\-]*[A-Za-z])[A-Za-z0-9+/_\-]{{6,}})))
     |(?P<ip>(?<![\d.])(?:\d{{1,3}}\.){{3}}\d{{1,3}}(?![\d.]*\d))
     |(?P<phone>(?<![\w.])(?:\+\d{{1,3}}[ .-]?)?\(\d{{2,4}}\)[ .-]?\d{{3,4}}[ .-]?\d{{3,4}}(?!\w)|(?<![\w.])\+\d{{1,3}}(?:[ .-]\d{{2,4}}){{2,4}}(?!\w)|(?<![\w.])\+\d{{8,15}}(?!\w)|(?<![\w.-])\d{{3}}(?:-\d{{3}}-|\.\d{{3}}\.)\d{{4}}(?![\w-]|\.\d))
@@ -81,16 +82,24 @@ def mentions(text: str) -> Iterator[Mention]:
     """Entities from left to right.  A person's names are entities of their own, so that a family shares its surrogate."""
     if not HINT.search(text):
         return
-    at = 0
-    while m := PATTERN.search(text, at):
-        at, found = m.end(), None
-        for kind in ("email", "secret", "ip", "phone", "card", "person"):
-            if (found := m[kind]) is not None:
-                break
+    at, emails, other = 0, EMAIL.finditer(text), PATTERN.search(text)
+    email = next(emails, None)
+    while True:
+        while email and email.start() < at:
+            email = next(emails, None)
+        if other and other.start() < at:
+            other = PATTERN.search(text, at)
+        if email and (not other or email.start() <= other.start()):
+            at = email.end()
+            yield Mention(email.start(), at, "email", email[0].lower())
+            continue
+        if not other:
+            return
+        m, at = other, other.end()
+        kind = next(k for k in ("secret", "ip", "phone", "card", "person") if m[k] is not None)
+        found = m[kind]
         digits = "".join(c for c in found if c.isdecimal())
-        if kind == "email":
-            yield Mention(m.start(), m.end(), kind, found.lower())
-        elif kind == "secret":
+        if kind == "secret":
             yield Mention(*m.span("value"), kind, m["value"])
         elif kind == "ip":
             if all(int(x) < 256 for x in found.split(".")):

@@ -24,17 +24,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import leaves
+from .blocks import leaves, markup
 from .common import query, table, whole_text
 
 VERSION = "WARC/1.1"
 DATE = "2000-01-01T00:00:00Z"  # of responses whose capture time is not known
 SOURCE = "source_id string, record_id string, target_uri string, warc_date string, payload_digest string, block_digest string, block binary"
 DERIVED = "source_id string, warc_type string, record_id string, refers_to string, concurrent_to string, target_uri string, warc_date string, content_type string, content_length long, block_digest string, source_block_digest string, source_payload_digest string, source_headers string, block string"
-LINK = re.compile(r"""<(a|link|img|script|iframe)\b(?:[^>"']|"[^"]*"|'[^']*')*?\b(?:href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.IGNORECASE)
-TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title|\Z)", re.IGNORECASE | re.DOTALL)
+# Attributes that hold links, by element
+LINKS = {
+    **dict.fromkeys("a area base link".split(), ("href",)),
+    **dict.fromkeys("audio embed iframe img input script source track".split(), ("src",)),
+    "video": ("src", "poster"),
+    "form": ("action",),
+    "object": ("data",),
+    "blockquote": ("cite",),
+    "q": ("cite",),
+}
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
 CHARSET = re.compile(rb"""charset\s*=\s*["']?([\w.:-]+)""", re.IGNORECASE)
-LANGUAGE = re.compile(r"""<html\b[^>]*\blang\s*=\s*["']?([\w-]+)""", re.IGNORECASE)
 
 
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
@@ -97,22 +105,43 @@ def _derived_id(record_id: str, kind: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, record_id + kind)}>"
 
 
+def _facts(page: str, base: str) -> tuple[str | None, str | None, list[dict]]:
+    """Title, language and links of a page; what stands in comments and scripts is no markup."""
+    title = language = opened = None
+    links = []
+    for m in markup(page):
+        if m.tag == "title" and title is None:
+            if opened is None and not m.closes:
+                opened = m.end
+            elif opened is not None and m.closes:
+                title = page[opened : m.start]
+        if m.tag is None or m.closes or "=" not in m.attributes or (m.tag not in LINKS and m.tag != "html"):
+            continue
+        for name, *values in ATTRIBUTE.findall(m.attributes):
+            value = html.unescape(next((v for v in values if v), "")).strip()
+            if name.lower() in LINKS.get(m.tag, ()):
+                links.append({"tag": m.tag, "url": _absolute(base, value)})
+            elif m.tag == "html" and name.lower() == "lang" and language is None:
+                language = value
+    if opened is not None and title is None:
+        title = page[opened:]
+    return " ".join(html.unescape(title).split()) if title is not None else None, language, links
+
+
 def derivatives(source: dict) -> list[dict]:
     """The metadata and the conversion record of one response."""
     status, fields, body = split_http(source["block"] or b"")
     page, charset = decoded(fields, body)
     text = "\n".join(leaf.text for leaf in leaves(page))
-    title = TITLE.search(page)
-    language = LANGUAGE.search(page)
-    links = [{"tag": m[1].lower(), "url": _absolute(source["target_uri"], html.unescape(m[2] or m[3] or m[4] or "").strip())} for m in LINK.finditer(page)]
+    title, language, links = _facts(page, source["target_uri"])
     ids = {k: _derived_id(source["record_id"], k) for k in ("metadata", "conversion")}
     facts = {
         "status": status,
         "headers": [list(f) for f in fields],
         "payload_length": len(body),
         "charset": charset,
-        "title": " ".join(html.unescape(title[1]).split()) if title else None,
-        "language": language[1] if language else None,
+        "title": title,
+        "language": language,
         "links": links,
         "conversion": ids["conversion"],
     }
@@ -159,6 +188,9 @@ def serialized(record: dict) -> bytes:
         "WARC-Target-URI": record["target_uri"],
         "WARC-Date": record["warc_date"],
         "WARC-Block-Digest": record["block_digest"],
+        "WARC-Source-Block-Digest": record["source_block_digest"],
+        "WARC-Source-Payload-Digest": record["source_payload_digest"],
+        "WARC-Source-Headers": json.dumps(record["source_headers"]),  # one line, whatever it holds
         "Content-Type": record["content_type"],
         "Content-Length": str(len(raw)),
     }

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import time
 
 import pytest
 
@@ -32,6 +33,36 @@ def test_leaves_tolerate_broken_markup():
     assert leaves("") == [] == leaves("<p><script>x")
 
 
+def test_reading_time_is_linear_in_broken_pages():
+    n = 1 << 20
+    for unit in ("<a ", '<a "', "<a '\"", "<p class=\"x' ", "<script", "<!--", "<title ", "<html lang", "<a href=", "<", "<a<", "<a b='>\" "):
+        page = unit * (n // len(unit))
+        start = time.process_time()
+        leaves(page)
+        warc._facts(page, "http://e/")
+        assert time.process_time() - start < 10, unit
+
+
+def test_quoted_and_unpaired_signs():
+    assert [leaf.text for leaf in leaves("<p title='a > b'>one</p><p class=\"x<y\">two</p>")] == ["one", "two"]
+    assert [leaf.text for leaf in leaves("<p>it <b class=it's>is</b> so</p>")] == ["it is so"]
+
+
+def test_groups_of_pages_are_bounded_by_their_longest(model, monkeypatch):
+    sizes, forward = [], model.forward
+    monkeypatch.setattr(type(model), "forward", lambda self, *padded: sizes.append(padded[0].shape[:2]) or forward(*padded))
+    pages = [leaves("<p>word</p>" * 12)] * 100 + [leaves("<p>word</p>" * 3000)]
+    main_texts(model, pages)
+    assert max(a * b for a, b in sizes) <= 4096
+
+
+def test_links_of_elements_outside_comments_and_scripts():
+    page = "<html lang='de'><!-- <a href='/no'> --><script src=s.js>'<a href=/no2>'</script><form action='/f'><map><area href=/ar></map><video poster=p.png src='v.mp4'><source src=w.mp4></video>"
+    title, language, links = warc._facts(page, "http://e/")
+    assert (title, language) == (None, "de")
+    assert [(x["tag"], x["url"]) for x in links] == [("script", "http://e/s.js"), ("form", "http://e/f"), ("area", "http://e/ar"), ("video", "http://e/p.png"), ("video", "http://e/v.mp4"), ("source", "http://e/w.mp4")]
+
+
 def test_main_text(spark, model):
     rows = [(1, "http://e/1", PAGE), (1, "http://e/1", PAGE), (2, None, None), (3, "u", ""), (None, "u", "<nav>x</nav>")]
     got = sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in extract(make_pages(spark, rows), model).toArrow().to_pylist())
@@ -65,6 +96,9 @@ def test_warc_records(spark):
     assert sources["1"]["payload_digest"] == "sha256:" + hashlib.sha256(PAGE.encode()).hexdigest()
     data = b"".join(map(warc.serialized, rows))
     assert [(f["WARC-Record-ID"], b.decode()) for f, b in warc.parsed(data)] == [(r["record_id"], r["block"]) for r in rows]
+    for (fields, _), r in zip(warc.parsed(data), rows, strict=True):
+        assert (fields["WARC-Source-Block-Digest"], fields["WARC-Source-Payload-Digest"]) == (r["source_block_digest"], r["source_payload_digest"])
+        assert json.loads(fields["WARC-Source-Headers"]) == r["source_headers"]
 
 
 def test_http_heads():

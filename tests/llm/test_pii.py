@@ -80,3 +80,13 @@ def test_surrogates_of_short_secrets_are_enough(make_docs):
     texts = [f'password = "{c}"' for c in [*"0123456789", "--"]]
     rows = replace(make_docs(list(enumerate(texts)))).collect()
     assert len({r.text for r in rows}) == len(texts) and not {r.text for r in rows} & set(texts)
+
+
+def test_search_time_is_linear():
+    import time
+
+    n = 1 << 18
+    for text in ("a@" + "b." * n, "x" * n + " 1", "a@b." * (n // 4), "1" * n, "token=" * (n // 6), "Mr " * (n // 3)):
+        start = time.process_time()
+        list(mentions(text))
+        assert time.process_time() - start < 5, text[:10]
