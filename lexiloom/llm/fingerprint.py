@@ -1,6 +1,6 @@
 """Document fingerprints as invertible Bloom lookup tables, in DataFrame operations only.
 
-A text is the set of digests of its paragraphs; long paragraphs are cut at sentence ends.  A sketch has TABLES tables of cells; a digest
+A text is the set of digests of its paragraphs, cut at sentence ends; longer pieces are cut at places that depend on their words.  A sketch has TABLES tables of cells; a digest
 goes into one cell of each table, which holds a count, the XOR of its digests and the XOR of their check hashes.  Sketches subtract
 cell by cell: what two versions share cancels, and peeling (a cell with one digest gives it away and frees the cells of the other
 tables) recovers the digests in which they differ.  Peeling that gets stuck is repeated with a larger sketch for those pairs only,
@@ -9,8 +9,8 @@ until every pair is solved.  The fingerprint is the sketch of the first size, as
 A document meets its edited version and its successor by doc_id.  Documents are cut into blocks at approximate quantiles of doc_id;
 only the first text of each block travels to the block before it, so order costs one shuffle and no task holds more than a block.
 
-Edge cases: null and empty texts are the empty set; two empty sets have likeness 1; rows with equal doc_id follow each other by text,
-rows without doc_id come first; a single row is its own successor; an empty table gives no rows; extra columns are ignored.
+Edge cases: null and empty texts are the empty set; two empty sets have likeness 1; rows with equal doc_id follow each other by a hash of
+their text, in several blocks if they are many, rows without doc_id come first; a single row is its own successor; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +25,9 @@ from ..session import cut_lineage
 from .common import query, table, whole_text
 
 PIECE_END = r"(?<=[.!?|;:])\s+|\n+"
+LONG_PIECE = 256  # characters from which a piece is cut further, at places that its content gives
+WORDS_PER_CUT = 8
+LONG_WORD = r"(.{16,63}?[aeiou0-9аеиоуا\u3041-\u3096\u4E00-\u5FFF\uAC00-\uBFFF]|.{64})"
 TABLES = 3
 FIRST_CELLS = 8  # cells of each table of the fingerprint
 LOAD = 0.7  # cells of each table per digest of either side, in the first retry
@@ -34,40 +37,67 @@ BLOCKS_PER_PARTITION = 4
 
 
 def pieces(text: Column) -> Column:
-    """Sorted distinct digests of the paragraphs and sentences of a text."""
-    parts = F.filter(F.split(text, PIECE_END), lambda p: F.length(p) > 0)
-    return F.array_sort(F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p))))
+    """Sorted distinct digests of the paragraphs and sentences of a text, long ones cut further."""
+    parts = F.flatten(F.transform(F.split(text, PIECE_END), _cut))
+    return F.array_sort(F.array_distinct(F.transform(F.filter(parts, lambda p: F.length(p) > 0), lambda p: F.xxhash64(p))))
 
 
-def _blocks(docs: DataFrame) -> tuple[DataFrame, int]:
-    """The rows with a block number that does not fall with doc_id; cuts are quantiles, found in two levels."""
+def _cut(piece: Column) -> Column:
+    """A long piece is cut after every word of certain hashes, and a word as long as that after certain letters, so an edit leaves the other cuts."""
+
+    def marked(word: Column) -> Column:
+        long_word = F.regexp_replace(word, LONG_WORD, "$1\n")
+        word = F.when(F.length(word) > LONG_PIECE, long_word).otherwise(word)
+        return F.when(F.pmod(F.xxhash64(word), F.lit(WORDS_PER_CUT)) == 0, F.concat(word, F.lit("\n"))).otherwise(word)
+
+    words = F.transform(F.split(piece, r"\s+"), marked)  # no line end is left in a piece
+    return F.when(F.length(piece) <= LONG_PIECE, F.array(piece)).otherwise(F.split(F.array_join(words, " "), r"\n\s?"))
+
+
+ID, TIE = "id_or_least", "tie"
+
+
+def _blocks(docs: DataFrame) -> DataFrame:
+    """The rows with a block number that does not fall in the order of doc_id and then of ``tie``, a hash of the text.
+
+    Cuts are quantiles of doc_id, found in two levels.  An id that fills several blocks is cut further by the hash.
+    """
+    rows = docs.withColumns({ID: F.coalesce("doc_id", F.lit(-(1 << 63))), TIE: F.xxhash64("text")})
     count = BLOCKS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shares = [i / count for i in range(1, count)]
-    cuts = docs.agg(F.percentile_approx("doc_id", shares, 20 * count)).first()[0] or []
-    cuts = sorted(set(cuts))
+    found = rows.agg(F.percentile_approx(ID, shares, 20 * count)).first()[0] or []
+    cuts = sorted(set(found))
+    if not cuts:
+        return rows.withColumn("block", F.lit(0).cast("long"))
     width = max(1, int(len(cuts) ** 0.5))
     groups = [cuts[i : i + width] for i in range(0, len(cuts), width)]
-    if not groups:
-        return docs.withColumn("block", F.lit(0)), 1
     heads = F.array(*(F.lit(g[0]).cast("long") for g in groups))
     nested = F.array(*(F.array(*(F.lit(c).cast("long") for c in g)) for g in groups))
-    outer = F.size(F.filter(heads, lambda c: c <= F.col("doc_id")))
-    inner = F.size(F.filter(F.try_element_at(nested, outer), lambda c: c <= F.col("doc_id")))
-    block = F.when(F.col("doc_id").isNull() | (outer == 0), 0).otherwise((outer - 1) * width + inner)
-    return docs.withColumn("block", block.cast("int")), len(cuts) + 1
+    outer = F.size(F.filter(heads, lambda c: c <= F.col(ID)))
+    inner = F.size(F.filter(F.try_element_at(nested, outer), lambda c: c <= F.col(ID)))
+    block = F.when(outer == 0, 0).otherwise((outer - 1) * width + inner).cast("long")
+    parts = F.lit(1)
+    for c in cuts:
+        if (n := found.count(c)) > 1:
+            parts = F.when(F.col(ID) == c, n).otherwise(parts)
+    part = F.when(parts > 1, F.floor((F.col(TIE) / 2.0**64 + 0.5) * parts)).otherwise(count)  # ids after the one that is cut come last
+    return rows.withColumn("block", block * (count + 1) + F.least(part, F.lit(count)).cast("long"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text and next_text: the text that follows in doc_id order; the last row is followed by the first."""
-    rows, _ = _blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")))
-    keyed = rows.withColumn("first_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    least = keyed.groupBy("block").agg(F.min("first_id").alias("first_id"))
-    heads = keyed.join(least, ["block", "first_id"]).groupBy("block").agg(F.min("text").alias("head"))
+    """doc_id, text and next_text: the text that follows in the order of doc_id, then of a hash of the text; the last row is followed by the first.
+
+    The texts are shuffled once.  The first row of each block is found by its numbers, which go to all tasks: a fixed number of blocks per
+    partition.
+    """
+    rows = _blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")))
+    least = rows.groupBy("block").agg(F.min(F.struct(ID, TIE)).alias("least")).select("block", f"least.{ID}", f"least.{TIE}")
+    heads = rows.join(F.broadcast(least), ["block", ID, TIE]).groupBy("block").agg(F.min("text").alias("head"))
     order = Window.orderBy("block")  # one small row per block
-    after = heads.select("block").select("block", F.coalesce(F.lead("block").over(order), F.first("block").over(order)).alias("after"))
+    after = least.select("block", F.coalesce(F.lead("block").over(order), F.first("block").over(order)).alias("after"))
     follow = after.join(heads.withColumnRenamed("block", "after"), "after").select("block", "head")
-    inside = Window.partitionBy("block").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    return rows.withColumn("follow", F.lead("text").over(inside)).join(follow, "block").select("doc_id", "text", F.coalesce("follow", "head").alias("next_text"))
+    inside = Window.partitionBy("block").orderBy(ID, TIE, "text")
+    return rows.withColumn("follow", F.lead("text").over(inside)).join(F.broadcast(follow), "block").select("doc_id", "text", F.coalesce("follow", "head").alias("next_text"))
 
 
 def edited(text: Column, following: Column) -> Column:

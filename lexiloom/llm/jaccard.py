@@ -9,8 +9,9 @@
    linear in its size.
 4. Token-group matrix: nodes of similar size that share their first common token are partitioned into groups of about GROUP_MEMBERS; a
    group stores the union of its members' prefix tokens.  Query nodes meet groups with members of *other* components through that
-   matrix, the overlap with the union bounds the overlap with every member, and only groups that the bound cannot exclude are opened;
-   their members are counted, then verified exactly.
+   matrix, and only by tokens that are rare enough in both to have as many shared ones behind them as a link needs; then the overlap
+   with the union bounds the overlap with every member, and only groups that the bound cannot exclude are opened; their members are
+   counted, then verified exactly.
 
 Links inside a component would not change it, so they are never expanded; every link between components is found.
 
@@ -29,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import cut_lineage
 from .common import query, table, whole_text
@@ -275,13 +277,25 @@ def _star_pairs(shared: DataFrame, how: Threshold) -> DataFrame:
     return met.groupBy("node").agg(F.max(F.struct("common", "pivot")).alias("best")).select(F.col("node").alias("u"), F.col("best.pivot.node").alias("v"))
 
 
+def _ranked(shared: DataFrame) -> DataFrame:
+    """Rows (token, node, size, component) of tokens that lie in several components, with ``held``, how many the node has, and ``slack``.
+
+    The tokens of a node are ordered by the number of nodes that have them, rare first; slack counts a token and those after it.  If two
+    nodes share k tokens, the rarest shared one has a slack of k or more in both.
+    """
+    tokens = shared.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("nodes"))
+    rows = shared.join(tokens.where("low <> high").select("token", "nodes"), "token")
+    own = Window.partitionBy("node")
+    rows = rows.withColumns({"held": F.count("*").over(own), "rank": F.row_number().over(own.orderBy("nodes", "token"))})
+    return cut_lineage(rows.select("token", "node", "size", "component", "held", (F.col("held") - F.col("rank") + 1).alias("slack")), "matrix-rows")
+
+
 def _group_matrix_pairs(shared: DataFrame, how: Threshold) -> DataFrame:
     """(u, v) of different components that the token-group matrix and the count of common prefix tokens leave open.
 
     shared: (token, node, size, component).
     """
-    several = shared.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    rows = cut_lineage(_with_held(shared.join(several, "token", "left_semi")), "matrix-rows")
+    rows = _ranked(shared)
     band = F.floor(F.log(F.col("size")) / F.log(F.lit(1.05)))
     like = ["lead", "band", "level"]
     members = rows.groupBy("node", "size", "component", "held").agg(F.min("token").alias("lead"))
@@ -292,30 +306,23 @@ def _group_matrix_pairs(shared: DataFrame, how: Threshold) -> DataFrame:
     spans = members.groupBy("group").agg(
         F.min("size").alias("least"), F.max("size").alias("most"), F.max("component").alias("last"), F.max("held").alias("most_held")
     )
-    matrix = rows.join(members.select("node", "group"), "node").select("token", "group").distinct().join(spans, "group")
+    matrix = rows.join(members.select("node", "group"), "node").groupBy("token", "group").agg(F.max("slack").alias("group_slack")).join(spans, "group")
+    matrix = cut_lineage(matrix, "matrix")
     a, low, high = F.col("size"), F.greatest(F.col("least"), F.ceil(F.col("size") * how.num / how.den)), F.least(F.col("most"), F.floor(F.col("size") * how.den / how.num))
     least = F.least(how.needed(a, low), how.needed(a, high)) - F.when(low < high, 1).otherwise(0)  # sizes between may need one less
-    opened = (
-        rows.join(matrix, "token")
-        .where((F.col("component") < F.col("last")) & (low <= high) & (F.least("held", "most_held") >= least))
-        .groupBy("node", "size", "component", "group", "least", "most")
-        .agg(F.count("*").alias("bound"))
-        .where(F.col("bound") >= least)
-        .select("node", "size", "component", "group")
-    )
+    meets = (F.col("component") < F.col("last")) & (low <= high) & (F.least("held", "most_held") >= least) & (F.least("slack", "group_slack") >= least)
+    met = rows.join(matrix, "token").where(meets).select("node", "size", "component", "group", least.alias("needed")).distinct()
+    tokens = cut_lineage(rows.groupBy("node").agg(F.collect_list("token").alias("tokens")), "node-tokens")  # at most a node's prefix
+    unions = matrix.groupBy("group").agg(F.collect_list("token").alias("union"))
+    bound = F.size(F.array_intersect("tokens", "union"))
+    opened = met.join(tokens, "node").join(unions, "group").where(bound >= F.col("needed")).select("node", "size", "component", "group")
     inside = members.select("group", F.col("node").alias("v"), F.col("size").alias("v_size"), F.col("component").alias("v_component"), F.col("held").alias("v_held"))
     fits = how.sizes_fit(a, F.col("v_size")) & (F.col("v_held") >= how.needed(a, F.col("v_size")))
     pairs = opened.join(inside, "group").where((F.col("component") < F.col("v_component")) & fits)
     pairs = cut_lineage(pairs.select(F.col("node").alias("u"), "v", "size", "v_size"), "opened")
-    left, right = (rows.select("token", F.col("node").alias(x)) for x in "uv")
-    return (
-        pairs.join(left, "u")
-        .join(right, ["v", "token"])
-        .groupBy("u", "v", "size", "v_size")
-        .agg(F.count("*").alias("common"))
-        .where(F.col("common") >= how.needed(a, F.col("v_size")))
-        .select("u", "v")
-    )
+    left, right = (tokens.select(F.col("node").alias(x), F.col("tokens").alias(f"{x}_tokens")) for x in "uv")
+    common = F.size(F.array_intersect("u_tokens", "v_tokens"))
+    return pairs.join(left, "u").join(right, "v").where(common >= how.needed(a, F.col("v_size"))).select("u", "v")
 
 
 def near_duplicate_classes(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
