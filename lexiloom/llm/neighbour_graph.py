@@ -45,9 +45,9 @@ class Settings:
     bucket: int = 400  # nodes of a bucket
     first: int = 24  # neighbours that a bucket gives a node
     rounds: int = 8
-    settled: float = 0.02  # share of new neighbours at which rounds end
+    settled: float = 0.05  # share of new neighbours at which rounds end
     beam: int = 320
-    expand: int = 32  # nodes of a beam expanded in a step
+    expand: int = 80  # nodes of a beam expanded in a step
     entries: int = 1024  # sampled nodes, at the nearest of which queries begin
     seed: int = 7
 
@@ -211,7 +211,7 @@ def improved(graph: DataFrame, points: DataFrame, how: Settings, step: int) -> D
     drawn = F.pmod(F.xxhash64("u", "v", F.lit(step)), F.lit(1 << 20)) * F.col("n") < F.lit(how.degree << 20)
     back = edges.join(pointing, "v").where(drawn).select(F.col("v").alias("m"), F.col("u").alias("member"), "fresh")
     lists = edges.select(F.col("u").alias("m"), F.col("v").alias("member"), "fresh").union(back)
-    lists = lists.groupBy("m", "member").agg(F.max("fresh").alias("fresh")).groupBy("m").agg(F.collect_list(F.struct("member", "fresh")).alias("members"))
+    lists = lists.groupBy("m").agg(F.collect_set(F.struct("member", "fresh")).alias("members"))
     lists = lists.where(F.exists("members", lambda x: x["fresh"])).select("m", F.explode("members").alias("x")).select("m", F.col("x.member").alias("node"), F.col("x.fresh").alias("fresh"))
     worst = graph.select(F.col("u").alias("node"), F.when(F.size("scores") >= how.degree, F.element_at("scores", -1)).otherwise(F.lit(float("-inf"))).cast("float").alias("worst"))
     known = points.join(worst, "node")
@@ -225,8 +225,7 @@ def improved(graph: DataFrame, points: DataFrame, how: Settings, step: int) -> D
             borders = np.searchsorted(row, np.arange(len(batch) + 1))
             for a, b in zip(borders[:-1], borders[1:], strict=True):
                 scores = vectors[a:b] @ vectors[a:b].T
-                good = (scores > worst[a:b, None]) & (fresh[a:b, None] | fresh[a:b])
-                np.fill_diagonal(good, False)
+                good = (scores > worst[a:b, None]) & (fresh[a:b, None] | fresh[a:b]) & (node[a:b, None] != node[a:b])
                 i, j = np.nonzero(good)
                 out.append((node[a:b][i], node[a:b][j], scores[i, j]))
             if out:
