@@ -20,23 +20,28 @@ from ..functions.roman import (
     roman_initials_indexed,
     roman_normal,
 )
-from ..functions.scoring import CANDIDATE_KEYS, score_pairs, with_candidate_keys, with_query_keys
+from ..functions.scoring import CANDIDATE_KEYS, OMISSION_FROM, with_candidate_keys, with_query_keys
 from ..functions.text import PRIMARY, Script, has_script, loose_of_normal, nfc, primary_normal, split_words
-from ..session import cut_lineage
+from ..session import bucketed, cut_lineage
 from .containment import substring_join
+from .word_match import score_pairs
 
-# Fixed values of the search: acceptance, first-letter scores, words needed to drop one.
+# Fixed values of the search: acceptance, first-letter scores.
 MINIMUM_SCORE = 575.0
 INITIALS_START, INITIALS_INSIDE = 790.0, 690.0
-OMISSION_FROM = 4
 LINE_COLUMNS = ("line_id", "text_unit_id", "source_work_id", "page_no", "line_order", "text", "romanised")
 FIELDS = ("roman", "roman_phonetic", "roman_consonants", "primary", "primary_loose")
+# The lines of one token lie in this many buckets, so that a token of a third of all lines is not one task.
+SALTS = 16
+# Query prefixes meet the vocabulary by equality of up to this many characters.
+HEAD = 12
 
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """keys: one row per line with its word arrays; postings: (field, token, line_id) with the
-    token's document frequency in ``vocabulary``."""
+    """keys: one row per line with its word arrays; postings: (field, token, salt, line_id) with the
+    token's document frequency in ``vocabulary``.  Stored, the postings are bucketed by (field, token, salt) and
+    the keys by line_id, so that a search moves its own rows only."""
 
     keys: DataFrame
     postings: DataFrame
@@ -67,16 +72,19 @@ def line_keys(lines: DataFrame, script: Script = PRIMARY) -> DataFrame:
 def postings(keys: DataFrame) -> DataFrame:
     named = F.array(*[F.struct(F.lit(f).alias("field"), F.array_distinct(f).alias("tokens")) for f in FIELDS])
     fields = keys.select("line_id", F.inline(named))
-    return fields.select("field", F.explode("tokens").alias("token"), "line_id").filter("token <> ''")
+    salt = F.pmod(F.hash("line_id"), F.lit(SALTS)).alias("salt")
+    return fields.select("field", F.explode("tokens").alias("token"), salt, "line_id").filter("token <> ''")
 
 
 def build_index(lines: DataFrame, script: Script = PRIMARY, stored: bool = True) -> SearchIndex:
-    """With ``stored`` the keys and the vocabulary are written to the shared folder once, because
-    retrieval, verification and the initials all read them."""
+    """With ``stored`` keys, postings and vocabulary are written once, because retrieval, verification and the
+    initials all read them."""
     keys = line_keys(lines, script)
     if stored:
-        keys = cut_lineage(keys, "search-keys")
+        keys = bucketed(keys, "search_keys", ["line_id"])
     posted = postings(keys)
+    if stored:
+        posted = bucketed(posted, "search_postings", ["field", "token", "salt"])
     vocabulary = posted.groupBy("field", "token").agg(F.count("*").alias("df"))
     if stored:
         vocabulary = cut_lineage(vocabulary, "search-vocabulary")
@@ -142,13 +150,14 @@ def _ranked_words(asked: DataFrame, index: SearchIndex) -> tuple[DataFrame, Data
             )
         ),
     ).filter("prefix <> ''")
-    # prefixes meet the vocabulary, never the postings, on their first one or two characters
-    short = index.vocabulary.select("*", F.explode(F.array_distinct(F.array(
-        F.substring("token", 1, 1), F.substring("token", 1, 2)))).alias("head"))
+    # prefixes meet the vocabulary, never the postings; each distinct prefix once
+    sizes = F.sequence(F.lit(1), F.least(F.length("token"), F.lit(HEAD)))
+    heads = F.transform(sizes, lambda n: F.substring(F.col("token"), F.lit(1), n))
+    opened = index.vocabulary.select("*", F.explode(heads).alias("head"))
+    prefixes = options.select("field", "prefix").distinct().withColumn("head", F.substring("prefix", 1, HEAD))
+    begun = prefixes.join(opened, ["field", "head"]).filter(F.startswith("token", F.col("prefix"))).drop("head")
     tokens = (
-        options.withColumn("head", F.substring("prefix", 1, 2))
-        .join(short, ["field", "head"])
-        .filter(F.startswith("token", F.col("prefix")))
+        options.join(begun, ["field", "prefix"])
         .select("query_id", "word_no", "field", "token", "df")
         .distinct()
     )
@@ -175,7 +184,8 @@ def retrieve(queries: DataFrame, index: SearchIndex) -> DataFrame:
 
     def verified(rank: int, which: DataFrame, missing: int) -> DataFrame:
         seeds = tokens.join(ranked.filter(F.col("rank") == rank), ["query_id", "word_no"]).select("query_id", "field", "token")
-        near = seeds.join(which.select("query_id"), "query_id", "left_semi").join(index.postings, ["field", "token"])
+        salted = seeds.join(which.select("query_id"), "query_id", "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        near = salted.join(index.postings, ["field", "token", "salt"])
         pairs = near.select("query_id", "line_id").distinct()
         full = pairs.join(which, "query_id").join(index.keys.select("line_id", *FIELDS), "line_id")
         needed = F.size("words") - missing
@@ -218,7 +228,7 @@ def scored_lines(queries: DataFrame, index: SearchIndex) -> DataFrame:
     asked = with_query_keys(queries.select("query_id", "query"), "query", index.script)
     pairs = retrieve(queries, index).select("query_id", "line_id").join(asked, "query_id")
     compared = pairs.join(index.keys.select("line_id", *CANDIDATE_KEYS), "line_id")
-    scored = score_pairs(compared, index.script).select("query_id", "line_id", "score", "match_kind")
+    scored = score_pairs(compared, index.script)
     both = scored.unionByName(initials_hits(queries, index)).filter(F.col("score") >= MINIMUM_SCORE)
     # text wins a tie: it is looked at first
     preference = F.struct("score", F.when(F.col("match_kind") == "first-letters", 0).otherwise(1))

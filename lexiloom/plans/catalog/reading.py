@@ -16,7 +16,7 @@ from ...operators import themes as th
 from ...operators.containment import substring_join
 from ...sources import driver_tables as src
 from .. import oracle as o
-from ..oracle import ALIGNMENTS, COLLECTIONS, CONTRIBUTORS, DICTIONARY, LAYERS, LEX, LINES, QUERY_TABLE, REFERENCE, TERMS, UNITS, with_
+from ..oracle import ALIGNMENTS, COLLECTIONS, CONTRIBUTORS, DICTIONARY, LAYERS, LEX, LINES, REFERENCE, TERMS, UNITS, with_
 from ...session import cut_lineage
 from ..registry import query, stored
 from .alignment import _ENTRY, _READ, _TYPES, _UNPIVOT, entries, readings
@@ -163,11 +163,11 @@ def available_analysis(spark, sf):
 
 # -- analysis search --------------------------------------------------------------------------------
 
-_NEEDLES = f"""needles AS (SELECT record_id AS query_id, lower(array_to_string(list_slice(string_split({o.fold_space('reference_text')}, ' '), 1, 2), ' ')) AS needle FROM reference)"""
+_NEEDLES = o.phrases(2) + ",\nneedles AS (SELECT query_id, lower(query) AS needle FROM phrases)"
 
 
 def needles(spark, sf):
-    return src.query_table(spark, sf, 2).select("query_id", F.lower("query").alias("needle"))
+    return src.phrase_table(spark, sf, 2).select("query_id", F.lower("query").alias("needle"))
 
 
 @query(
@@ -230,7 +230,8 @@ def title_lookup(spark, sf):
     return substring_join(asked, titles, "query", "hay", "text_unit_id").select("query", "text_unit_id")
 
 
-_GLOSS = """asked AS (SELECT record_id AS query_id, lower(string_split(reference_text, ' ')[1]) AS q FROM reference),
+_GLOSS = o.phrases(1) + """,
+asked AS (SELECT query_id, lower(query) AS q FROM phrases),
 g AS (SELECT query_id, q, headword, meaning_en, grammar_en, etymology_en, MIN(term_id) AS id, MIN(transliteration) AS transliteration, COUNT(DISTINCT line_id) AS frequency
   FROM asked JOIN terms ON contains(lower(transliteration), q) OR contains(lower(meaning_en), q) OR contains(lower(etymology_en), q) GROUP BY ALL)"""
 
@@ -244,17 +245,17 @@ g AS (SELECT query_id, q, headword, meaning_en, grammar_en, etymology_en, MIN(te
   FROM asked JOIN entries ON contains(lower(headword), q) OR contains(lower(content), q) WHERE query_id NOT IN (SELECT query_id FROM g)""",
 )
 def glossary(spark, sf):
-    return gl.glossary(src.query_table(spark, sf, 1), line_terms(spark, sf), entries(spark, sf))
+    return gl.glossary(src.phrase_table(spark, sf, 1), line_terms(spark, sf), entries(spark, sf))
 
 
 @query(
     "K9_candidate_resolution",
-    with_(REFERENCE, DICTIONARY)
-    + """SELECT DISTINCT r.record_id AS query_id, d.headword AS form FROM reference r JOIN dictionary d ON d.transliteration = lower(string_split(r.reference_text, ' ')[1])""",
+    with_(REFERENCE, DICTIONARY, o.phrases(1))
+    + "SELECT DISTINCT p.query_id, d.headword AS form FROM phrases p JOIN dictionary d ON d.transliteration = lower(p.query)",
 )
 def candidate_resolution(spark, sf):
     forms = src.dictionary(spark, sf).select("transliteration", F.col("headword").alias("written_form"))
-    return gl.resolve_candidates(src.query_table(spark, sf, 1), forms)
+    return gl.resolve_candidates(src.phrase_table(spark, sf, 1), forms)
 
 
 _SEEDS = "SELECT DISTINCT lower(headword) AS form FROM dictionary WHERE grammar_en = 'system'"

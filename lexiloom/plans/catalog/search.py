@@ -8,6 +8,7 @@ from ...functions import roman as rm
 from ...functions import scoring as sc
 from ...functions.text import LATIN, PRIMARY, split_words
 from ...operators import search as se
+from ...operators import word_match as wm
 from ...operators.containment import substring_join
 from ...session import cut_lineage
 from ...sources import driver_tables as src
@@ -39,9 +40,9 @@ ROMAN_KEYS = f"""keys AS MATERIALIZED (
   FROM (SELECT *, {roman_normal('text')} AS rt, {phonetic('text')} AS pt FROM lines))"""
 PRIMARY_KEYS = f"""keys AS MATERIALIZED (
   SELECT *, {words_sql('gt')} AS gw, {words_sql(loose_of_normal('gt'))} AS lw FROM (SELECT *, {primary_normal('text')} AS gt FROM lines))"""
-_QROMAN = f"""asked AS MATERIALIZED (SELECT *, list_slice({words_sql('qn')}, 1, 12) AS qw FROM (
+_QROMAN = f"""asked AS MATERIALIZED (SELECT *, {words_sql('qn')} AS qw FROM (
   SELECT query_id, query, {roman_normal('query')} AS qn FROM queries) WHERE qn <> '')"""
-_QPRIMARY = f"""asked AS MATERIALIZED (SELECT *, list_slice({words_sql('qn')}, 1, 12) AS qw FROM (
+_QPRIMARY = f"""asked AS MATERIALIZED (SELECT *, {words_sql('qn')} AS qw FROM (
   SELECT query_id, query, {primary_normal('query')} AS qn FROM queries) WHERE qn <> '')"""
 _QWORDS_ROMAN = f"""qwords AS (SELECT query_id, len(qw) AS n, unnest(list_transform(qw, lambda w: struct_pack(e := w, p := {phonetic_of_normal('w')},
     c := {_skeleton(phonetic_of_normal('w'))}))) AS k, generate_subscripts(qw, 1) AS i FROM asked)"""
@@ -116,9 +117,9 @@ def ordered_alignment(spark, sf):
     ix = index(spark, sf)
     asked = sc.with_query_keys(src.query_table(spark, sf), "query")
     pairs = se.retrieve(asked, ix).select("query_id", "line_id").join(asked, "query_id").join(ix.keys.select("line_id", "roman_key"), "line_id")
-    score = sc.alignment(split_words(F.col("wanted_key")), split_words(F.col("roman_key")), F.lit(sc.ROMAN_MINIMUM))
-    scored = pairs.select("query_id", "line_id", score.alias("s"))
-    return scored.select("query_id", "line_id", F.round("s.straight", 6).alias("straight"), F.round("s.omitted", 6).alias("omitted"))
+    compared = cut_lineage(pairs.select("query_id", "line_id", F.col("wanted_key").alias("wanted"), F.col("roman_key").alias("available")), "compared")
+    scored = wm.aligned(compared, sc.ROMAN_MINIMUM)
+    return scored.select("query_id", "line_id", F.round("straight", 6).alias("straight"), F.round("omitted", 6).alias("omitted"))
 
 
 _TIERS = """tiers AS (SELECT a.query_id, k.line_id, CASE WHEN k.rt = a.qn THEN 1000.0 WHEN starts_with(k.rt, a.qn) THEN 960.0
@@ -131,8 +132,8 @@ def score_tiers(spark, sf):
     ix = index(spark, sf)
     asked = sc.with_query_keys(src.query_table(spark, sf), "query")
     pairs = se.retrieve(asked, ix).select("query_id", "line_id").join(asked, "query_id")
-    scored = sc.score_pairs(pairs.join(ix.keys.select("line_id", *sc.CANDIDATE_KEYS), "line_id"))
-    return scored.select("query_id", "line_id", "score").filter(F.col("score").isin(1000.0, 960.0, 930.0))
+    scored = sc.tiered(pairs.join(ix.keys.select("line_id", *sc.CANDIDATE_KEYS), "line_id"))
+    return scored.select("query_id", "line_id", F.col("tier").alias("score")).filter(F.col("score").isin(1000.0, 960.0, 930.0))
 
 
 def scored(spark, sf):
@@ -172,14 +173,13 @@ def search_primary(spark, sf):
 
 
 _LETTERS = f"""letters AS (SELECT query_id, replace(qn, ' ', '') AS q FROM (SELECT record_id AS query_id, {roman_normal(
-    "array_to_string(list_transform(list_slice(string_split(" + "reference_text" + ", ' '), 1, 4), lambda w: substr(w, 1, 1)), '')")} AS qn FROM reference)),
+    "array_to_string(list_transform(string_split(reference_text, ' '), lambda w: substr(w, 1, 1)), '')")} AS qn FROM reference)),
 inits AS (SELECT line_id, array_to_string(list_transform(regexp_extract_all(lower(strip_accents(text)), '[a-z]+'), lambda w: substr(w, 1, 1)), '') AS i,
   array_to_string(list_transform({words_sql(phonetic_of_normal(roman_normal('text')))}, lambda w: substr(w, 1, 1)), '') AS f FROM lines)"""
 
 
 def letter_queries(spark, sf):
-    words = F.slice(F.split("reference_text", " "), 1, 4)
-    letters = F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
+    letters = F.array_join(F.transform(F.split("reference_text", " "), lambda w: F.substring(w, 1, 1)), "")
     return src.reference_lines(spark, sf).select(F.col("record_id").alias("query_id"), letters.alias("query"))
 
 
@@ -225,7 +225,7 @@ def result_families(spark, sf):
         "query_id", "text_unit_id", F.col("line_id").alias("result_id"), "score", "position"
     )
     texts = src.layers(spark, sf).filter("text_unit_id IS NOT NULL").select("layer_id", "text_unit_id", F.lower("content").alias("hay"))
-    asked = src.query_table(spark, sf, 2).select("query_id", F.lower("query").alias("needle"))
+    asked = src.query_table(spark, sf).select("query_id", F.lower("query").alias("needle"))
     family = substring_join(asked, texts, "needle", "hay", "layer_id").select(
         "query_id", "text_unit_id", F.col("layer_id").alias("result_id"), F.lit(0.0).alias("score"), F.lit(0).alias("position")
     )

@@ -87,7 +87,14 @@ TERMS = """terms AS (
 
 QUERY_TABLE = f"""queries AS (
   SELECT record_id AS query_id,
-    array_to_string(list_slice(string_split({fold_space('reference_text')}, ' '), 1, 4), ' ') AS query FROM reference)"""
+    {fold_space('reference_text')} AS query FROM reference)"""
+
+
+def phrases(n: int) -> str:
+    """``phrase_table`` as ``phrases``."""
+    return f"""split AS (SELECT {split_words(fold_space('reference_text'))} AS w FROM reference),
+phrases AS (SELECT DISTINCT array_to_string(list_slice(w, i, i + {n - 1}), ' ') AS query_id, array_to_string(list_slice(w, i, i + {n - 1}), ' ') AS query
+  FROM (SELECT w, unnest(range(1, len(w) - {n - 2})) AS i FROM split))"""
 
 
 def with_(*parts: str) -> str:

@@ -154,11 +154,17 @@ def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def query_table(spark: SparkSession, sf_dir: str, n_words: int = 4) -> DataFrame:
-    """Search queries: the leading words of every benchmark line."""
-    reference = reference_lines(spark, sf_dir)
-    head = F.array_join(F.slice(F.split(fold_space(F.col("reference_text")), " "), 1, n_words), " ")
-    return reference.select(F.col("record_id").alias("query_id"), head.alias("query"))
+def query_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search queries: every benchmark line, whole."""
+    return reference_lines(spark, sf_dir).select(F.col("record_id").alias("query_id"), fold_space(F.col("reference_text")).alias("query"))
+
+
+def phrase_table(spark: SparkSession, sf_dir: str, n_words: int) -> DataFrame:
+    """Short queries: all distinct runs of ``n_words`` consecutive words of the benchmark lines, their own ids."""
+    words = F.filter(F.split(fold_space(F.col("reference_text")), " "), lambda w: w != "")
+    line = reference_lines(spark, sf_dir).select(words.alias("words")).filter(F.size("words") >= n_words)
+    runs = F.transform(F.sequence(F.lit(1), F.size("words") - n_words + 1), lambda i: F.array_join(F.slice("words", i, n_words), " "))
+    return line.select(F.explode(runs).alias("query")).distinct().select(F.col("query").alias("query_id"), "query")
 
 
 def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,46 +90,3 @@ def test_markup(spark):
     assert values(spark, [html], lambda c: tx.markup_lines_decoded_first(c, tx.PRIMARY))[0] == ["ਸਤਿ", 'ਨਾਮੁ & "a"b']
 
 
-def brute_alignment(wanted, available, minimum):
-    """All placements, by recursion over every start."""
-    best = None
-
-    def walk(i, cursor, total):
-        nonlocal best
-        if i == len(wanted):
-            best = total if best is None else max(best, total)
-            return
-        for at in range(cursor, min(len(available), cursor + 7)):
-            s = sc._similarity(wanted[i], available[at])
-            if s >= minimum:
-                walk(i + 1, at + 1, total + s - min(0.12, (at - cursor) * 0.025))
-
-    walk(0, 0, 0.0)
-    return 0.0 if best is None else best / len(wanted)
-
-
-def test_ordered_alignment_equals_exhaustive_search(spark):
-    import random
-
-    rng = random.Random(7)
-    vocabulary = ["har", "hari", "nam", "name", "sat", "satigur", "mera", "meri", "pura", "be", "b", "tu", "ki"]
-    rows = []
-    for n in range(120):
-        wanted = [rng.choice(vocabulary) for _ in range(rng.randint(1, 5))]
-        available = [rng.choice(vocabulary) for _ in range(rng.randint(1, 14))]
-        rows.append((n, wanted, available))
-    df = spark.createDataFrame(rows, "n int, w array<string>, a array<string>")
-    got = {r.n: (r.s.straight, r.s.omitted) for r in df.select("n", sc.alignment(F.col("w"), F.col("a"), F.lit(0.68)).alias("s")).collect()}
-    for n, w, a in rows:
-        straight = brute_alignment(w, a, 0.68)
-        assert got[n][0] == pytest.approx(straight)
-        if straight == 0 and len(w) >= 4:
-            assert got[n][1] == pytest.approx(max(brute_alignment(w[:i] + w[i + 1 :], a, 0.68) for i in range(len(w))))
-
-
-def test_word_similarity_column_equals_worker(spark):
-    words = ["satigur", "satgur", "har", "hari", "a", "", "mera", "meri", "nanak"]
-    pairs = [(a, b) for a in words for b in words]
-    df = spark.createDataFrame(pairs, "a string, b string")
-    got = [r[0] for r in df.select(sc.word_similarity(F.col("a"), F.col("b"))).collect()]
-    assert got == pytest.approx([sc._similarity(a, b) for a, b in pairs])
