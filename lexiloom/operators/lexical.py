@@ -29,26 +29,23 @@ from ..functions.text import (
 def token_occurrences(lines: DataFrame, script: Script = PRIMARY, release: str | None = None) -> DataFrame:
     """The token table: position, offsets in three units, exact and compare form, class.
 
-    Pieces tile the line, so offsets are running sums.  The lines are placed by ``line_id`` before
-    they are split: the window then finds its rows together and tokens themselves never move.  Lines
-    bucketed by ``line_id`` skip even that step.
+    Pieces tile the line, so offsets are running sums, taken inside the row: no line or token moves.
     """
-    placed = lines.select("line_id", "text_unit_id", "source_work_id", "text").repartition("line_id")
-    split = placed.select(
-        "line_id", "text_unit_id", "source_work_id", F.posexplode(pieces(F.col("text"))).alias("position", "piece")
-    ).withColumn("exact_form", piece_token(F.col("piece")))
-    running = W.partitionBy("line_id").orderBy("position").rowsBetween(W.unboundedPreceding, 0)
-    columns = []
-    for unit, measure in (("utf16", utf16_length), ("cp", F.length), ("byte", F.octet_length)):
-        end = F.sum(measure(F.col("piece"))).over(running).cast("int")
-        columns += [(end - measure(F.col("exact_form"))).alias(f"start_{unit}"), end.alias(f"end_{unit}")]
-    return split.select(
+    columns = ["line_id", "text_unit_id", "source_work_id"]
+    cut = lines.select(*columns, pieces(F.col("text")).alias("pieces"))
+    # in a step of its own: the pieces are read twice, and cut once
+    placed = cut.withColumn("ends", _running_ends(F.col("pieces")))
+    split = placed.select(*columns, F.posexplode(F.arrays_zip("pieces", "ends")).alias("position", "p"))
+    rows = split.select(*columns, "position", "p.ends", piece_token(F.col("p.pieces")).alias("exact_form"))
+    offsets = []
+    for unit, measure in UNITS.items():
+        end = F.col("ends")[unit]
+        offsets += [(end - measure(F.col("exact_form"))).alias(f"start_{unit}"), end.alias(f"end_{unit}")]
+    return rows.select(
         F.concat_ws(":", F.lit("occurrence"), "line_id", F.col("position").cast("string")).alias("occurrence_id"),
-        "line_id",
-        "text_unit_id",
-        "source_work_id",
-        "position",
         *columns,
+        "position",
+        *offsets,
         "exact_form",
         nfc(F.col("exact_form")).alias("compare_form"),
         token_class(F.col("exact_form"), script).alias("token_class"),
@@ -56,6 +53,37 @@ def token_occurrences(lines: DataFrame, script: Script = PRIMARY, release: str |
     )
 
 
+UNITS = {"utf16": utf16_length, "cp": F.length, "byte": F.octet_length}
+# Pieces are summed in runs of this many, then the runs: work per piece stays the same in a line of any length.
+RUN = 64
+
+
+def _running_ends(items: Column) -> Column:
+    """Array of (utf16, cp, byte): where each of ``items`` ends when they are put together."""
+    zero = F.struct(*[F.lit(0).alias(unit) for unit in UNITS])
+    plus = lambda x, y: F.struct(*[(x[unit] + y[unit]).alias(unit) for unit in UNITS])
+    size = lambda item: F.struct(*[measure(item).cast("int").alias(unit) for unit, measure in UNITS.items()])
+
+    def sums(run: Column) -> Column:
+        """Running sums of a run, after a leading zero."""
+        return F.aggregate(run, F.array(zero), lambda done, item: F.array_append(done, plus(F.element_at(done, -1), size(item))))
+
+    firsts = F.filter(F.sequence(F.lit(0), F.size(items), F.lit(RUN)), lambda at: at < F.size(items))
+    runs = F.transform(firsts, lambda at: sums(F.slice(items, at + 1, RUN)))
+    # the sum before each run: one state of (sum so far, shifted runs) over the runs
+    state = F.struct(zero.alias("before"), F.array().cast("array<array<struct<utf16:int,cp:int,byte:int>>>").alias("runs"))
+    moved = F.aggregate(
+        runs,
+        state,
+        lambda s, run: F.struct(
+            plus(s["before"], F.element_at(run, -1)).alias("before"),
+            F.array_append(s["runs"], F.transform(F.slice(run, 2, RUN), lambda end: plus(s["before"], end))).alias("runs"),
+        ),
+        lambda s: s["runs"],
+    )
+    return F.flatten(moved)
+
+
 def _hits(words: Column, form: Column) -> Column:
     return F.size(F.filter(words, lambda w: w == form))
 

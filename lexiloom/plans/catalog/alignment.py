@@ -95,21 +95,22 @@ def provider_alignment(spark, sf):
     return rows.groupBy("status").agg(F.count("*").alias("n")).unionByName(per_layer)
 
 
-_REFS = """refs AS (SELECT 'ref:' || doc_id AS record_id, 'unit:' || doc_id AS text_unit_id,
-  CASE WHEN doc_id % 5 = 0 THEN 'no such line' WHEN doc_id % 2 = 1 THEN string_split(text, chr(10))[1] || ' ' || coalesce(string_split(text, chr(10))[2], '')
-  ELSE coalesce(string_split(text, chr(10))[3], text) END AS reference_text FROM documents)"""
+# each line of a document opens a reference: alone, or with up to four lines after it; every fifth one is in no unit
+_REFS = """refs AS (SELECT 'ref:' || doc_id || ':' || i AS record_id, 'unit:' || doc_id AS text_unit_id,
+  CASE WHEN (doc_id + i) % 5 = 4 THEN 'no such line' ELSE array_to_string(list_slice(l, i + 1, i + 1 + (doc_id + i) % 5), ' ') END AS reference_text
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents))"""
 
 
 def unit_references(spark, sf):
-    part = lambda n: F.get(F.split("text", "\n"), F.lit(n))
-    text = (
-        F.when(F.col("doc_id") % 5 == 0, "no such line")
-        .when(F.col("doc_id") % 2 == 1, F.concat(part(0), F.lit(" "), F.coalesce(part(1), F.lit(""))))
-        .otherwise(F.coalesce(part(2), "text"))
-    )
+    split = src.table(spark, sf, "documents").select("doc_id", F.split("text", "\n").alias("l"))
+    rows = split.select("doc_id", "l", F.explode(F.sequence(F.lit(0), F.size("l") - 1)).alias("i"))
+    more = (F.col("doc_id") + F.col("i")) % 5
+    text = F.when(more == 4, "no such line").otherwise(F.array_join(F.slice("l", F.col("i") + 1, (more + 1).cast("int")), " "))
     doc = F.col("doc_id").cast("string")
-    return src.table(spark, sf, "documents").select(
-        F.concat(F.lit("ref:"), doc).alias("record_id"), F.concat(F.lit("unit:"), doc).alias("text_unit_id"), text.alias("reference_text")
+    return rows.select(
+        F.concat_ws(":", F.lit("ref"), doc, F.col("i").cast("string")).alias("record_id"),
+        F.concat(F.lit("unit:"), doc).alias("text_unit_id"),
+        text.alias("reference_text"),
     )
 
 
@@ -160,8 +161,8 @@ def contiguous_range(spark, sf):
     return al.within_unit(src.lines(spark, sf), unit_references(spark, sf))
 
 
-_GROUPS = """groups AS (SELECT d.doc_id AS group_id, string_split(d.text, chr(10)) AS refs, string_split(coalesce(c.text, ''), chr(10)) AS tr0
-  FROM documents d LEFT JOIN conversations c ON c.conv_id = d.doc_id AND c.turn = 1),
+_GROUPS = """groups AS (SELECT d.doc_id || ':' || coalesce(c.turn, 0) AS group_id, string_split(d.text, chr(10)) AS refs, string_split(coalesce(c.text, ''), chr(10)) AS tr0
+  FROM documents d LEFT JOIN conversations c ON c.conv_id = d.doc_id),
 sized AS (SELECT group_id, refs, CASE WHEN tr0 = [''] THEN []::VARCHAR[] ELSE tr0 END AS tr FROM groups),
 shifted AS (SELECT *, CASE WHEN len(tr) = 0 THEN NULL WHEN len(refs) = len(tr) THEN 0
   WHEN len(refs) - len(tr) BETWEEN 1 AND 2 AND len(list_filter(list_slice(refs, 1, len(refs) - len(tr)), lambda v: NOT regexp_matches(v, '^(The|Der|La|Le)'))) = 0
@@ -178,10 +179,10 @@ rows AS (SELECT *, unnest(refs) AS reference, generate_subscripts(refs, 1) - 1 A
   FROM (SELECT *, shift IS NULL AND len(tr) > 0 AND i = len(refs) - 1 AS fb FROM rows)""",
 )
 def positional(spark, sf):
-    turns = src.table(spark, sf, "conversations").filter("turn = 1").select(F.col("conv_id").alias("doc_id"), F.col("text").alias("t"))
+    turns = src.table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", F.col("text").alias("t"))
     docs = src.table(spark, sf, "documents").join(turns, "doc_id", "left")
     groups = docs.select(
-        F.col("doc_id").alias("group_id"),
+        F.concat_ws(":", F.col("doc_id").cast("string"), F.coalesce("turn", F.lit(0)).cast("string")).alias("group_id"),
         F.split("text", "\n").alias("refs"),
         F.filter(F.split(F.coalesce("t", F.lit("")), "\n"), lambda v: v != "").alias("translations"),
     )

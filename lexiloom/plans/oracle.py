@@ -139,14 +139,12 @@ def split_words(x: str) -> str:
     return f"list_filter(string_split({x}, ' '), lambda w: w <> '')"
 
 
-def _part(n: int) -> str:
-    return f"string_split(text, chr(10))[{n + 1}]"
-
-
-SUBSECTIONS = f"""subsections AS (
-  SELECT doc_id AS "RowID", source AS "BaniCode", CASE lang WHEN 'en' THEN 'english' WHEN 'fr' THEN 'panjabi' ELSE lang END AS "BaniLanguage",
-    doc_id // 100 AS "SectionId", doc_id // 2 AS "SubSectionId", {_part(0)} AS c0, {_part(1)} AS c1, {_part(2)} AS c2,
-    {_part(3)} AS c3, {_part(4)} AS c4, {_part(5)} AS c5 FROM documents)"""
+SUBSECTIONS = """subsections AS (
+  SELECT doc_id * 100000 + run AS "RowID", source AS "BaniCode", CASE lang WHEN 'en' THEN 'english' WHEN 'fr' THEN 'panjabi' ELSE lang END AS "BaniLanguage",
+    doc_id // 100 AS "SectionId", doc_id // 2 * 100000 + run AS "SubSectionId", """ + ", ".join(
+    f"l[run * 6 + {n + 1}] AS c{n}" for n in range(6)
+) + """ FROM (SELECT doc_id, source, lang, string_split(text, chr(10)) AS l,
+    unnest(range(0, (len(string_split(text, chr(10))) + 5) // 6)) AS run FROM documents))"""
 
 _KIND = "CASE WHEN line_order % 10 = 9 THEN 'passage' WHEN line_order % 3 = 0 THEN 'line' ELSE 'none' END"
 

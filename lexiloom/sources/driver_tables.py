@@ -191,18 +191,26 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SUBSECTION_LINES = 6
+
+
 def subsections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wide provider rows: the first six lines of a document are its six fields."""
-    part = lambda n: F.get(F.split("text", "\n"), F.lit(n))
+    """Wide provider rows: each run of six lines of a document is one row, the lines its six fields; all lines are read."""
+    lines = F.split("text", "\n")
+    firsts = F.sequence(F.lit(0), F.size(lines) - 1, F.lit(SUBSECTION_LINES))
+    runs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", lines.alias("lines"), F.posexplode(firsts).alias("run", "first"))
+    part = lambda n: F.get("lines", F.col("first") + n)
     language = F.when(F.col("lang") == "en", "english").when(F.col("lang") == "fr", "panjabi").otherwise(F.col("lang"))
-    return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("RowID"),
+    row = F.col("doc_id") * 100_000 + F.col("run")
+    subsection = F.floor(F.col("doc_id") / 2) * 100_000 + F.col("run")
+    return runs.select(
+        row.alias("RowID"),
         F.col("source").alias("BaniCode"),
         language.alias("BaniLanguage"),
         F.floor(F.col("doc_id") / 100).alias("SectionId"),
-        F.floor(F.col("doc_id") / 2).alias("SubSectionId"),
+        subsection.alias("SubSectionId"),
         F.floor(F.col("doc_id") / 100).alias("SectionSequence"),
-        F.floor(F.col("doc_id") / 2).alias("SubSectionSequence"),
+        subsection.alias("SubSectionSequence"),
         part(0).alias("SubSectionContent"),
         part(1).alias("SubSectionLiteralTranslation"),
         part(2).alias("SubSectionMeaningInterpretive"),
