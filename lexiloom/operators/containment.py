@@ -42,3 +42,19 @@ def substring_join(queries: DataFrame, texts: DataFrame, needle: str, hay: str,
     )
     hits = chosen.join(held, "_gram").select(needle, text_id)
     return hits.join(texts, text_id).filter(F.contains(hay, needle)).join(queries, needle)
+
+
+HEAD = 12
+
+
+def prefix_join(queries: DataFrame, texts: DataFrame, prefix: str, hay: str) -> DataFrame:
+    """Inner join of ``queries`` and ``texts`` on startswith(hay, prefix), by equality of up to ``HEAD`` opening characters.
+
+    ``texts`` should hold each form once: it is opened to its beginnings, but only to those that some query has.
+    """
+    asked = queries.filter(F.col(prefix) != "").withColumn("_head", F.substring(prefix, 1, HEAD))
+    heads = asked.select("_head").distinct()
+    sizes = F.sequence(F.lit(1), F.least(F.length(hay), F.lit(HEAD)))
+    begun = F.transform(sizes, lambda n: F.substring(F.col(hay), F.lit(1), n))
+    opened = texts.filter(F.col(hay) != "").withColumn("_head", F.explode(begun)).join(heads, "_head", "left_semi")
+    return asked.join(opened, "_head").filter(F.startswith(hay, F.col(prefix))).drop("_head")

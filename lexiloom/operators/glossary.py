@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import PRIMARY, Script, has_script, nfc
-from .containment import substring_join
+from .containment import prefix_join, substring_join
 
 
 def glossary(queries: DataFrame, terms: DataFrame, entries: DataFrame, script: Script = PRIMARY) -> DataFrame:
@@ -19,10 +19,9 @@ def glossary(queries: DataFrame, terms: DataFrame, entries: DataFrame, script: S
     # the unit separator keeps a needle from matching across two fields
     texts = terms.withColumn("hay", F.array_join(fields, "\x1f")).withColumn("row_id", F.concat_ws("|", "term_id", "line_id"))
     inside = substring_join(latin, texts, "needle", "hay", "row_id")
-    heads = terms.withColumn("hay", F.col("headword"))
-    opening = primary.withColumn("_head", F.substring("needle", 1, 1)).join(
-        heads.withColumn("_head", F.lower(F.substring("headword", 1, 1))), "_head"
-    ).filter(F.startswith(F.lower("headword"), F.col("needle")))
+    heads = terms.withColumn("hay", F.lower("headword"))
+    met = prefix_join(primary, heads.select("hay").distinct(), "needle", "hay")
+    opening = met.join(heads, "hay")
     columns = ["query_id", "needle", "is_primary", "term_id", "line_id", "headword", "transliteration", "meaning_en", "grammar_en", "etymology_en"]
     found = inside.select(*columns).unionByName(opening.select(*columns))
     once = found.groupBy("query_id", "needle", "is_primary", "headword", "meaning_en", "grammar_en", "etymology_en", "line_id").agg(

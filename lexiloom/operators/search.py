@@ -6,7 +6,7 @@ words are checked on the candidate line itself.  Scoring and ranking see candida
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -91,6 +91,11 @@ def build_index(lines: DataFrame, script: Script = PRIMARY, stored: bool = True)
     return SearchIndex(keys, posted, vocabulary, script)
 
 
+def within(index: SearchIndex, lines: DataFrame) -> SearchIndex:
+    """The index over the given lines only: a hit elsewhere is none, also where one word may be missing."""
+    return replace(index, keys=index.keys.join(lines.select("line_id"), "line_id", "left_semi"))
+
+
 def query_words(queries: DataFrame, script: Script = PRIMARY) -> DataFrame:
     """Adds ``words``: array of (exact, second, third) prefixes, one entry per query word."""
     raw = F.col("query")

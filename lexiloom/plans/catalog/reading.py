@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ...functions.text import LATIN, PRIMARY, Script, plain_text
 from ...operators import alignment as al
+from ...operators import families as fa
 from ...operators import glossary as gl
 from ...operators import lexical as lx
 from ...operators import provider as pv
@@ -177,9 +178,7 @@ def needles(spark, sf):
   WHERE regexp_matches(y.content_type, '.en$') AND y.text_unit_id IS NOT NULL""",
 )
 def layer_search(spark, sf):
-    rows = src.layers(spark, sf).filter("text_unit_id IS NOT NULL").filter(F.col("content_type").rlike(".en$"))
-    texts = rows.select("layer_id", "text_unit_id", F.lower("content").alias("hay"))
-    return substring_join(needles(spark, sf), texts, "needle", "hay", "layer_id").select("query_id", "layer_id", "text_unit_id")
+    return fa.layer_hits(needles(spark, sf), src.layers(spark, sf)).select("query_id", "layer_id", "text_unit_id")
 
 
 @query(
@@ -188,8 +187,7 @@ def layer_search(spark, sf):
     + "SELECT n.query_id, s.line_id FROM needles n JOIN second s ON contains(s.second_translation, n.needle)",
 )
 def translation_search(spark, sf):
-    texts = second(spark, sf)
-    return substring_join(needles(spark, sf), texts, "needle", "second_translation", "line_id").select("query_id", "line_id")
+    return fa.translation_hits(needles(spark, sf), second(spark, sf)).select("query_id", "line_id")
 
 
 _MEANING = """hits AS (SELECT n.query_id, t.line_id, n.needle, t.meaning_en FROM needles n JOIN terms t ON contains(lower(t.meaning_en), n.needle) OR contains(lower(t.etymology_en), n.needle)),
@@ -204,19 +202,7 @@ thits AS (SELECT n.query_id, a.line_id, a.translation FROM needles n JOIN alignm
   UNION ALL SELECT query_id, line_id, NULL, translation FROM thits) GROUP BY 1, 2""",
 )
 def meaning_search(spark, sf):
-    asked = needles(spark, sf)
-    terms = line_terms(spark, sf).select(
-        F.concat_ws("|", "term_id", "line_id").alias("row_id"), "line_id", "meaning_en",
-        F.concat_ws("\x1f", F.lower("meaning_en"), F.lower("etymology_en")).alias("hay"),
-    )
-    first = substring_join(asked, terms, "needle", "hay", "row_id").select(
-        "query_id", "line_id", F.when(F.contains(F.lower("meaning_en"), F.col("needle")), F.col("meaning_en")).alias("m"), F.lit(None).cast("string").alias("t")
-    )
-    texts = src.alignments(spark, sf).select("alignment_id", "line_id", "translation", F.lower("translation").alias("hay"))
-    other = substring_join(asked, texts, "needle", "hay", "alignment_id").select(
-        "query_id", "line_id", F.lit(None).cast("string").alias("m"), F.col("translation").alias("t")
-    )
-    return first.unionByName(other).groupBy("query_id", "line_id").agg(F.coalesce(F.min("m"), F.min("t"), F.lit("")).alias("content"))
+    return fa.meaning_hits(needles(spark, sf), line_terms(spark, sf), src.alignments(spark, sf))
 
 
 @query(

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from ...functions import roman as rm
 from ...functions import scoring as sc
 from ...functions.text import LATIN, PRIMARY, split_words
+from ...operators import families as fa
 from ...operators import search as se
 from ...operators import word_match as wm
-from ...operators.containment import substring_join
+from ...operators.facets import Facets
 from ...session import cut_lineage
 from ...sources import driver_tables as src
 from ..oracle import (
-    BLOCK, LINES, QUERY_TABLE, REFERENCE, loose_of_normal, phonetic, phonetic_of_normal, primary_normal, roman_normal,
+    BLOCK, LEX, LINES, QUERY_TABLE, REFERENCE, loose_of_normal, phonetic, phonetic_of_normal, phrases, primary_normal, roman_normal,
     split_words as words_sql, with_,
 )
 from ..registry import query, stored
@@ -219,19 +220,52 @@ def transcript_identification(spark, sf):
     return identify(asked, index(spark, sf)).select("session_id", "rank", "text_unit_id", "verdict")
 
 
+def tables(spark, sf):
+    from ..jobs import SearchTables
+    from .reading import line_terms, second
+    from .structure import annotations
+
+    return SearchTables(
+        lines(spark, sf), line_terms(spark, sf), src.alignments(spark, sf), second(spark, sf), src.layers(spark, sf), annotations(spark, sf)
+    )
+
+
 @query("U5_result_families")
 def result_families(spark, sf):
-    units = se.top_per_query(se.first_per_unit(scored(spark, sf)), 60).select(
-        "query_id", "text_unit_id", F.col("line_id").alias("result_id"), "score", "position"
-    )
-    texts = src.layers(spark, sf).filter("text_unit_id IS NOT NULL").select("layer_id", "text_unit_id", F.lower("content").alias("hay"))
-    asked = src.query_table(spark, sf).select("query_id", F.lower("query").alias("needle"))
-    family = substring_join(asked, texts, "needle", "hay", "layer_id").select(
-        "query_id", "text_unit_id", F.col("layer_id").alias("result_id"), F.lit(0.0).alias("score"), F.lit(0).alias("position")
-    )
-    merged = se.with_families(units, [family], 60)
-    modes = se.response_mode(se.all_families(units, [family]), src.query_table(spark, sf)).select("query_id", "mode")
-    return merged.join(modes, "query_id").select("query_id", "text_unit_id", "result_id", "family", "rank", "mode")
+    given = tables(spark, sf)
+    asked = src.query_table(spark, sf)
+    needles = asked.select("query_id", F.lower("query").alias("needle"))
+    families = [
+        fa.placed(fa.meaning_hits(needles, given.terms, given.alignments), given.lines),
+        fa.placed(fa.translation_hits(needles, given.second), given.lines),
+        fa.placed_layers(fa.layer_hits(needles, given.layers), given.lines),
+    ]
+    found = fa.joined_families(se.first_per_unit(scored(spark, sf)), families, 60)
+    mode = F.when(F.col("analysis_hits") > F.col("unit_hits"), "english").otherwise("latin")
+    return found.select("query_id", "text_unit_id", "result_id", "family", "rank", mode.alias("mode"))
+
+
+@query("K7_corpus_search")
+def corpus_search(spark, sf):
+    """Whole benchmark lines within the lines that have any annotation."""
+    from ..jobs import corpus_search as answer
+
+    results, _ = answer(src.query_table(spark, sf), index(spark, sf), tables(spark, sf), Facets(coverage="any"), 60, "source:en")
+    return results.select("query_id", "rank", "family", "result_id", "text_unit_id", "line_id", F.round("score", 6).alias("score"), "match_kind", "mode")
+
+
+@query(
+    "K7_candidate_forms",
+    with_(LINES, LEX, REFERENCE, phrases(1))
+    + """SELECT query_id, form, frequency, CAST(position AS INTEGER) AS position FROM (
+  SELECT p.query_id, f.form, f.frequency, row_number() OVER (PARTITION BY p.query_id ORDER BY f.frequency DESC, f.form) AS position
+  FROM phrases p JOIN (SELECT form, COUNT(*) AS frequency FROM lex GROUP BY 1) f ON starts_with(f.form, p.query)) WHERE position <= 12""",
+)
+def candidate_forms(spark, sf):
+    """Every word of the benchmark lines, typed in the script of the text."""
+    rows = lines(spark, sf)
+    nothing = rows.select(F.lit("").alias("query_id"), "line_id", "text", "romanised").filter("false")
+    return fa.candidate_forms(src.phrase_table(spark, sf, 1), nothing, rows, LATIN)
 
 
 @query("Q13_golden_search_regression")
