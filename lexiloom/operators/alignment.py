@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .containment import grams
+from .ordering import positions
 from ..functions.text import align_key, compact_key, compare_form, loose_key, whitespace_key
 
 
@@ -140,6 +141,8 @@ def map_layers(layers: DataFrame, group_units: DataFrame) -> DataFrame:
 
 
 RUN_MAX = 5
+# Fixed value: marks that the loose key leaves out.
+SENTENCE_MARKS = "।॥|"
 
 
 BLOCK = 4096
@@ -148,21 +151,21 @@ BLOCK = 4096
 def line_runs(
     lines: DataFrame, key: Callable[[Column], Column] = compact_key, longest: int = RUN_MAX, block: int = BLOCK
 ) -> DataFrame:
-    """All runs of 1..longest consecutive lines of a unit, with the joined key.
+    """All runs of 1..longest consecutive lines of a unit, with the digests of the joined key, ``digest`` of the key itself and
+    ``loose`` without sentence marks: a joined text is made and hashed inside the row, and never moved.
 
     A unit may hold a third of all rows, so the window is not over the unit: every line is sent to
     its block of ``block`` ordinals and, when it is among the first of a block, also to the block
     before as look-ahead.  Runs start only at a block's own lines.
     """
-    ordinal = _unit_ordinals(lines)
+    placed = lines.select("text_unit_id", "page_no", "line_order", "line_id", key(F.col("text")).alias("k0"))
+    ordinal = positions(placed, "text_unit_id", ["page_no", "line_order", "line_id"])
     own = ordinal.select("*", F.floor(F.col("ordinal") / block).alias("blk"), F.lit(True).alias("own"))
     ahead = own.filter((F.col("ordinal") % block < longest - 1) & (F.col("blk") > 0)).withColumns(
         {"blk": F.col("blk") - 1, "own": F.lit(False)}
     )
     w = W.partitionBy("text_unit_id", "blk").orderBy("ordinal")
-    follow = own.unionByName(ahead).select(
-        "text_unit_id", "ordinal", "own", "line_id", key(F.col("text")).alias("k0"), "blk"
-    )
+    follow = own.unionByName(ahead).select("text_unit_id", "ordinal", "own", "line_id", "k0", "blk")
     ids, keys = [F.col("line_id")], [F.col("k0")]
     for n in range(1, longest):
         ids.append(F.lead("line_id", n).over(w))
@@ -171,27 +174,16 @@ def line_runs(
     options = []
     for n in range(1, longest + 1):
         joined = F.concat(*[F.col("k0" if m == 0 else f"s{m}") for m in range(n)])
-        options.append(F.struct(F.lit(n).alias("length"), joined.alias("run_key"), F.col(f"i{n - 1}").alias("last_line_id")))
+        options.append(
+            F.struct(
+                F.lit(n).alias("length"), F.md5(joined).alias("digest"), F.md5(F.translate(joined, SENTENCE_MARKS, "")).alias("loose"),
+                F.col(f"i{n - 1}").alias("last_line_id"),
+            )
+        )
     runs = follow.filter("own").select("text_unit_id", F.col("line_id").alias("first_line_id"), "ordinal", F.inline(F.array(*options)))
     return runs.filter(F.col("last_line_id").isNotNull())
 
 
-def _unit_ordinals(lines: DataFrame) -> DataFrame:
-    """0-based position of a line in its unit in reading order, without one task per unit.
-
-    Pages are counted first; a running sum over a unit's pages gives each page its start, and the
-    position within a page is local.
-    """
-    within = W.partitionBy("text_unit_id", "page_no").orderBy("line_order", "line_id")
-    per_page = lines.groupBy("text_unit_id", "page_no").agg(F.count("*").alias("n"))
-    before = W.partitionBy("text_unit_id").orderBy("page_no").rowsBetween(W.unboundedPreceding, -1)
-    starts = per_page.select("text_unit_id", "page_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    placed = lines.withColumn("_pos", F.row_number().over(within) - 1)
-    return placed.join(starts, ["text_unit_id", "page_no"]).withColumn("ordinal", F.col("start") + F.col("_pos")).drop(
-        "_pos", "start"
-    )
-
-
 def within_unit(lines: DataFrame, references: DataFrame, longest: int = RUN_MAX) -> DataFrame:
     """Provider line -> one line (exact, then loose) or the single run of 2..longest lines of the unit.
 
@@ -200,21 +192,22 @@ def within_unit(lines: DataFrame, references: DataFrame, longest: int = RUN_MAX)
     refs = references.select(
         "record_id",
         "text_unit_id",
-        compact_key(F.col("reference_text")).alias("exact"),
-        loose_key(F.col("reference_text")).alias("loose"),
+        F.md5(compact_key(F.col("reference_text"))).alias("exact"),
+        F.md5(loose_key(F.col("reference_text"))).alias("loose"),
     )
     units = refs.select("text_unit_id").distinct()
     runs = line_runs(lines.join(units, "text_unit_id", "left_semi"), longest=longest)
-    runs = runs.withColumn("loose_run", F.translate("run_key", "।॥|", ""))
-    # one row per (unit, key, kind): how many runs, and the run when it is the only one
+    # one row per (unit, key, kind): how many runs, and the run when it is the only one; only keys that are asked for are grouped
     kinds = runs.select(
         "text_unit_id",
         F.inline(F.array(
-            F.struct(F.col("run_key").alias("key"), F.when(F.col("length") == 1, 1).otherwise(3).alias("kind")),
-            F.struct(F.col("loose_run").alias("key"), F.when(F.col("length") == 1, 2).otherwise(4).alias("kind")),
+            F.struct(F.col("digest").alias("key"), F.when(F.col("length") == 1, 1).otherwise(3).alias("kind")),
+            F.struct(F.col("loose").alias("key"), F.when(F.col("length") == 1, 2).otherwise(4).alias("kind")),
         )),
         F.struct("first_line_id", "last_line_id", "length").alias("run"),
-    )
+    ).filter("kind <> 3")
+    wanted = refs.select("text_unit_id", F.explode(F.array("exact", "loose")).alias("key")).distinct()
+    kinds = kinds.join(wanted, ["text_unit_id", "key"], "left_semi")
     counted = kinds.groupBy("text_unit_id", "key", "kind").agg(F.count("*").alias("n"), F.min("run").alias("run"))
     asked = refs.select(
         "record_id",

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordering import positions
 from .validate import ValidationError
 
 BUCKETS = 4096
@@ -117,9 +118,7 @@ def recent(rows: DataFrame, owner: str, key: str, time: str, kept: int, tie: str
 
 
 def accepted_order(rows: DataFrame, group: str, value: Column, order: Sequence[str]) -> DataFrame:
-    """Declared number where it is one, else the running number of the row in its group.
-
-    Only rows without a number need the running count; its window is per group.
-    """
-    running = F.row_number().over(W.partitionBy(group).orderBy(*order))
-    return rows.withColumn("effective_order", F.coalesce(value.try_cast("double"), running.cast("double")))
+    """Declared number where it is one, else the running number of the row in its group, ordered by ``order``."""
+    declared = rows.withColumn("_declared", value.try_cast("double"))
+    placed = positions(declared, group, order, "_running")
+    return placed.withColumn("effective_order", F.coalesce("_declared", (F.col("_running") + 1).cast("double"))).drop("_declared", "_running")

@@ -132,7 +132,7 @@ runs AS (SELECT text_unit_id, line_id AS first_line_id, line_id AS last_line_id,
 )
 def consecutive_runs(spark, sf):
     runs = al.line_runs(src.lines(spark, sf))
-    return runs.select("text_unit_id", "first_line_id", "last_line_id", "length", F.md5("run_key").alias("digest"))
+    return runs.select("text_unit_id", "first_line_id", "last_line_id", "length", "digest")
 
 
 _LOOSE = "translate({0}, '।॥|', '')"

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.snapshots import PAGE, canonical_lines, flatten_pages, require_ids, split_gaps
 
-PAGE_KEY = ("source_id", "page_no")
+COPY = "page_key string, file string, body string"
+TAKEN = "file string"
 
 
 def landed_pages(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -15,35 +20,54 @@ def landed_pages(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
     return pages.withColumn("file", F.col("_metadata.file_path"))
 
 
-def _read(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The table so far; empty before the first batch."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    exists = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-    return spark.read.schema(schema).parquet(path) if exists else spark.createDataFrame([], schema)
+def _first_copy(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The copy with the smallest (file, body) of a page not taken before; copies are looked at one batch at a time."""
+    if state.exists:
+        return
+    best = None
+    for part in parts:
+        if len(part):
+            one = min(zip(part["file"], part["body"]))
+            best = one if best is None else min(best, one)
+    if best is not None:
+        state.update((best[0],))
+        yield pd.DataFrame({"page_key": [key[0]], "file": [best[0]], "body": [best[1]]})
+
+
+def taken_once(pages: DataFrame) -> DataFrame:
+    """Every page once over the whole stream: of the copies in one batch that of the smallest file, later copies never.
+
+    What was taken is state of the stream, one small row per page, so a batch costs what it holds and earlier pages are not
+    read.  On a cluster keep it on disk (RocksDB as ``spark.sql.streaming.stateStore.providerClass``).  A page without
+    source or number is known by its file.
+    """
+    named = F.col("source.sourceId").isNotNull() & F.col("source.pageNo").isNotNull()
+    key = F.when(named, F.to_json(F.struct("source.sourceId", "source.pageNo"))).otherwise(F.col("file"))
+    copies = pages.select(key.alias("page_key"), "file", F.to_json(F.struct("source", "page")).alias("body"))
+    return copies.groupBy("page_key").applyInPandasWithState(_first_copy, COPY, TAKEN, "append", GroupStateTimeout.NoTimeout)
 
 
 def ingest(spark: SparkSession, source: str, target: str, checkpoint: str) -> None:
     """Runs over everything landed since the last run, then stops.
 
-    A batch writes its own folder, so a batch that is repeated after a failure overwrites itself; pages
-    already taken by earlier batches are left out by an anti join on the page key.
+    A batch is evaluated once: its pages are written to a folder of their own, and lines and gaps are made from what was
+    written.  A batch that is repeated after a failure overwrites its folders.
     """
+    body = "source " + PAGE["source"].dataType.simpleString() + ", page " + PAGE["page"].dataType.simpleString()
 
     def take(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        pages = batch.select(F.col("source.sourceId").alias("source_id"), F.col("source.pageNo").alias("page_no"), "source", "page", "file")
-        seen_schema = "source_id string, page_no bigint"
-        earlier = _read(session, f"{target}/pages", f"{seen_schema}, batch int").filter(F.col("batch") < batch_id)
-        once = pages.dropDuplicates(list(PAGE_KEY)).join(earlier.select(*PAGE_KEY), list(PAGE_KEY), "left_anti")
-        verses = require_ids(flatten_pages(once))
+        place = f"{target}/pages/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(place)
+        written = session.read.schema(COPY).parquet(place)
+        pages = written.select("file", F.from_json("body", body).alias("b")).select("file", "b.source", "b.page")
+        verses = require_ids(flatten_pages(pages))
         kept, gaps = split_gaps(canonical_lines(verses), "text")
         kept.write.mode("overwrite").parquet(f"{target}/lines/batch={batch_id}")
         gaps.write.mode("overwrite").parquet(f"{target}/gaps/batch={batch_id}")
-        once.select(*PAGE_KEY).write.mode("overwrite").parquet(f"{target}/pages/batch={batch_id}")
 
     query = (
-        landed_pages(spark, source)
+        taken_once(landed_pages(spark, source))
         .writeStream.foreachBatch(take)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
