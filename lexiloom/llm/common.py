@@ -32,3 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def whole_text(name: str = "text") -> Column:
     """The text of a row; a null counts as an empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with as many underscores before it as it takes to be none of the columns (letter case aside)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -1,16 +1,17 @@
 """PII replacement by keyed surrogates.
 
-Entities (e-mail addresses, phone numbers, payment cards, IP addresses, assigned secrets, titled person names) are found in whole texts
+Entities (e-mail addresses, phone numbers, payment cards, bank accounts (IBAN), IP addresses, assigned secrets, titled person names) are found in whole texts
 and brought to a canonical form.  Each distinct entity gets one surrogate of its type from a keyed generator: same length and
-character classes, a valid check digit for cards, valid octets for addresses, the same script and gender for names.  Surrogates that
+character classes, valid check digits for cards and accounts, valid octets for addresses, the same script and gender for names.  Surrogates that
 two entities share, or that equal an entity of the corpus, are drawn again until all are distinct, so equal entities stay equal in all
 documents (coreference) and different ones stay different.  Rendering copies separators and letter case of each mention.
 
 The table of entities is distributed; a document's part of it is joined to its text by digest, so a mention that a third of all
-documents share is one row, and what is grouped is bounded by one text.
+documents share is one row, and what is grouped is bounded by one text.  Patterns take time linear in the text, however long.
 
-Edge cases: a null text stays null, an empty one empty; repeated rows change alike; numbers that fail their check (Luhn, octets above
-255) are no entities; an empty table gives no rows; extra columns are kept by ``replace``, save one named n_entities.
+Edge cases: a null text stays null, an empty one empty; repeated rows change alike; numbers that fail their check (Luhn, mod 97,
+octets above 255) are no entities; an empty table gives no rows; extra columns of any name are kept by ``replace``, save one named
+n_entities, which the result's own replaces.  Where a form has no free surrogate left (ATTEMPTS draws), the job fails and says so.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import query, table, whole_text
+from .common import query, table, unused, whole_text
 
 KEY = b"lexiloom surrogates"
 FEMALE = "Mrs Ms Miss Frau Sra Señora Madame Mme Mlle".split()
@@ -38,6 +39,12 @@ SYLLABLES = {
     "Cyrillic": ("ба бе во да де ка ке ла ле ли ма ме ми на не ра ре ри са се та те ти".split(), {"f": ["на", "ра", "лия", "та"], "m": ["нор", "рам", "лус", "тон"], "": ["ден", "сер", "мел", "рин"]}),
     "Greek": ("βα δε δα κα κε λα λε λι μα με μι να νε ρα ρε ρι σα σε τα τε τι".split(), {"f": ["να", "ρα", "λια", "τα"], "m": ["νορ", "ραμ", "λος", "των"], "": ["δεν", "σερ", "μελ", "ριν"]}),
 }
+# Name parts that are written small between others; they stay as they are.
+PARTICLES = "van|von|der|den|de|del|della|di|da|dos|du|la|le|zu"
+# A name part: one word, or several joined by hyphens or apostrophes.
+NAME = r"(?:\p{Lu}['’])?\p{Lu}[\p{Ll}\p{M}]+(?:[-'’]?\p{Lu}[\p{Ll}\p{M}]+)*"
+PART = regex.compile(NAME)
+ATTEMPTS = 200
 TITLES = "|".join(sorted(FEMALE + MALE + NEUTRAL, key=len, reverse=True))
 EMAIL = re.compile(r"(?<![\w.+-])[\w.+-]++@(?:[\w-]++\.)+[A-Za-z]{2,}")  # by the standard engine, which is linear in runs of labels
 PATTERN = regex.compile(
@@ -45,8 +52,9 @@ PATTERN = regex.compile(
         |["']?(?P<value>[A-Za-z0-9+/_\-]{{16,}}|(?=[A-Za-z+/_\-]*\d)(?=[\d+/_\-]*[A-Za-z])[A-Za-z0-9+/_\-]{{6,}})))
     |(?P<ip>(?<![\d.])(?:\d{{1,3}}\.){{3}}\d{{1,3}}(?![\d.]*\d))
     |(?P<phone>(?<![\w.])(?:\+\d{{1,3}}[ .-]?)?\(\d{{2,4}}\)[ .-]?\d{{3,4}}[ .-]?\d{{3,4}}(?!\w)|(?<![\w.])\+\d{{1,3}}(?:[ .-]\d{{2,4}}){{2,4}}(?!\w)|(?<![\w.])\+\d{{8,15}}(?!\w)|(?<![\w.-])\d{{3}}(?:-\d{{3}}-|\.\d{{3}}\.)\d{{4}}(?![\w-]|\.\d))
+    |(?P<iban>(?<!\w)[A-Z]{{2}}\d{{2}}(?:\ ?[A-Z0-9]{{4}}){{2,7}}(?:\ ?[A-Z0-9]{{1,3}})?(?!\w))
     |(?P<card>(?<![\w.])\d(?:[ -]?\d){{12,18}}(?!\w))
-    |(?P<person>\b(?P<title>{TITLES})\b\.?\ (?P<names>\p{{Lu}}[\p{{Ll}}\p{{M}}]+(?:\ \p{{Lu}}[\p{{Ll}}\p{{M}}]+)?))""",
+    |(?P<person>\b(?P<title>{TITLES})\b\.?\ (?P<names>(?:(?:{PARTICLES})\ ){{0,2}}{NAME}(?:\ (?:(?:{PARTICLES})\ ){{0,2}}{NAME}){{0,3}}))""",
     regex.VERBOSE,
 )
 HINT = regex.compile(rf"[@\d]|\b(?:{TITLES})\b|(?i:token|secret|passw|key)")
@@ -65,6 +73,11 @@ def _luhn(digits: str) -> int:
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(digits)))
 
 
+def _account_rest(account: str) -> int:
+    """The rest modulo 97 of an account number with its first four characters moved to the end; 1 for a valid one."""
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97
+
+
 def _script(name: str) -> str:
     return next((s for s in SYLLABLES if regex.search(rf"\p{{{s}}}", name)), "Latin")
 
@@ -96,7 +109,7 @@ def mentions(text: str) -> Iterator[Mention]:
         if not other:
             return
         m, at = other, other.end()
-        kind = next(k for k in ("secret", "ip", "phone", "card", "person") if m[k] is not None)
+        kind = next(k for k in ("secret", "ip", "phone", "iban", "card", "person") if m[k] is not None)
         found = m[kind]
         digits = "".join(c for c in found if c.isdecimal())
         if kind == "secret":
@@ -106,6 +119,12 @@ def mentions(text: str) -> Iterator[Mention]:
                 yield Mention(m.start(), m.end(), kind, found)
         elif kind == "phone":
             yield Mention(m.start(), m.end(), kind, digits)
+        elif kind == "iban":
+            account = found.replace(" ", "")
+            if 15 <= len(account) <= 34 and _account_rest(account) == 1:
+                yield Mention(m.start(), m.end(), kind, account)
+            else:
+                at = m.start() + 2
         elif kind == "card":
             if size := _card_end(found):
                 at = m.start() + size
@@ -114,11 +133,9 @@ def mentions(text: str) -> Iterator[Mention]:
                 at = m.start() + separator.end()
         else:
             gender = "f" if m["title"] in FEMALE else "m" if m["title"] in MALE else ""
-            start, parts = m.start("names"), m["names"].split(" ")
-            for i, part in enumerate(parts):
-                given = len(parts) == 2 and i == 0
-                yield Mention(start, start + len(part), "given-" + gender if given else "family", part.lower())
-                start += len(part) + 1
+            parts = list(PART.finditer(text, *m.span("names")))
+            for part in parts:
+                yield Mention(*part.span(), "family" if part is parts[-1] else "given-" + gender, part[0].lower())
 
 
 class _Draws:
@@ -163,6 +180,9 @@ def surrogate(kind: str, canonical: str, attempt: int) -> str:
         return f"{_classwise(user, draws)}@{_classwise(name, draws)}{dot}{top}"
     if kind == "ip":
         return ".".join(str(1 + draws.below(254)) for _ in range(4))
+    if kind == "iban":
+        open_account = canonical[:2] + "00" + _classwise(canonical[4:], draws)
+        return f"{canonical[:2]}{98 - _account_rest(open_account):02}{open_account[4:]}"
     if kind == "card":
         body = canonical[0] + "".join(str(draws.below(10)) for _ in canonical[2:])
         return body + str(-_luhn(body + "0") % 10)
@@ -175,7 +195,11 @@ def surrogate(kind: str, canonical: str, attempt: int) -> str:
         return _classwise(canonical if drawn else "x" * len(canonical), draws) + "".join(str(draws.below(10)) for _ in range(more))
     inner, last = SYLLABLES[_script(canonical)]
     gender = kind.removeprefix("given-") if kind.startswith("given-") else ""
-    return "".join(draws.pick(inner) for _ in range(2 + attempt // 4)) + draws.pick(last[gender])
+
+    def drawn_name(part: str) -> str:
+        return part if len(part) < 2 else "".join(draws.pick(inner) for _ in range(2 + attempt // 4)) + draws.pick(last[gender])
+
+    return "".join(part if part in "-'’" else drawn_name(part) for part in re.split("([-'’])", canonical) if part)
 
 
 def rendered(mention: str, replacement: str) -> str:
@@ -184,9 +208,14 @@ def rendered(mention: str, replacement: str) -> str:
     if len(digits) == len(replacement) == sum(c.isdecimal() for c in mention):
         rest = iter(digits)
         return "".join(next(rest) if c.isdecimal() else c for c in mention)
-    if mention.isupper():
+    if " " in mention and len(replacement) == len(mention.replace(" ", "")):
+        rest = iter(replacement)
+        return "".join(" " if c == " " else next(rest) for c in mention)
+    if mention.isupper() and any(c.isalpha() for c in replacement):
         return replacement.upper()
-    return replacement.capitalize() if mention[:1].isupper() and mention[1:].islower() else replacement
+    if mention[:1].isupper() and PART.fullmatch(mention):
+        return "".join(part.capitalize() for part in re.split("([-'’])", replacement))
+    return replacement
 
 
 def _entities(docs: DataFrame) -> DataFrame:
@@ -218,7 +247,7 @@ def assign(entities: DataFrame) -> DataFrame:
     """(kind, canonical, surrogate), one row per entity, all surrogates of a kind distinct and none an entity of the corpus."""
     real = cut_lineage(entities.select("kind", "canonical").distinct(), "real")
     drawn = cut_lineage(_drawn(real.withColumn("attempt", F.lit(0))), "drawn")
-    while True:
+    for _ in range(ATTEMPTS):
         taken = real.select("kind", F.col("canonical").alias("surrogate"), F.lit(True).alias("is_real"))
         first = drawn.groupBy("kind", "surrogate").agg(F.count("*").alias("sharers"), F.min(F.struct("attempt", "canonical")).alias("first"))
         clashes = first.join(taken, ["kind", "surrogate"], "left").where("sharers > 1 or is_real")
@@ -228,6 +257,7 @@ def assign(entities: DataFrame) -> DataFrame:
         kept = marked.where("not again").select("kind", "canonical", "attempt", "surrogate")
         again = _drawn(marked.where("again").select("kind", "canonical", (F.col("attempt") + 1).alias("attempt")))
         drawn = cut_lineage(kept.union(again), "drawn")
+    raise ValueError(f"no distinct surrogates after {ATTEMPTS} draws: some form of entity has more entities than surrogates")
 
 
 def replace(docs: DataFrame, length: str | None = None) -> DataFrame:
@@ -237,9 +267,10 @@ def replace(docs: DataFrame, length: str | None = None) -> DataFrame:
     """
     docs = docs.drop("n_entities")
     entities = _entities(docs)
-    pairs = F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\0", "kind", "canonical"), "surrogate"))).alias("_names")
-    names = entities.join(assign(entities), ["kind", "canonical"]).groupBy(F.col("digest").alias("_digest")).agg(pairs)
-    joined = docs.join(cut_lineage(names, "surrogates"), F.md5(whole_text()) == F.col("_digest"), "left").drop("_digest")
+    pairs = F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\0", "kind", "canonical"), "surrogate"))).alias(unused("names", docs.columns))
+    own_digest = unused("digest", docs.columns)
+    names = entities.join(assign(entities), ["kind", "canonical"]).groupBy(F.col("digest").alias(own_digest)).agg(pairs)
+    joined = docs.join(cut_lineage(names, "surrogates"), F.md5(whole_text()) == F.col(own_digest), "left").drop(own_digest)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 import ipaddress
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.llm import pii
@@ -86,7 +87,50 @@ def test_search_time_is_linear():
     import time
 
     n = 1 << 18
-    for text in ("a@" + "b." * n, "x" * n + " 1", "a@b." * (n // 4), "1" * n, "token=" * (n // 6), "Mr " * (n // 3)):
+    for text in ("a@" + "b." * n, "x" * n + " 1", "a@b." * (n // 4), "1" * n, "token=" * (n // 6), "Mr " * (n // 3), "Mr " + "Ab-" * n, "Mr " + "AbO'" * n, "AB12 " * (n // 8), "AB12" + " 3456" * (n // 8)):
         start = time.process_time()
         list(mentions(text))
         assert time.process_time() - start < 5, text[:10]
+
+
+def test_names_in_parts_and_accounts():
+    def found(text):
+        return [(m.kind, text[m.start : m.end]) for m in mentions(text)]
+
+    assert found("Mr O'Brien's") == [("family", "O'Brien")]
+    assert found("Frau Müller-Lüdenscheid kam") == [("family", "Müller-Lüdenscheid")]
+    assert found("Ms. Anna-Maria Jean Smith is") == [("given-f", "Anna-Maria"), ("given-f", "Jean"), ("family", "Smith")]
+    assert found("Dr Ludwig van der Berg, Mr von Haus") == [("given-", "Ludwig"), ("family", "Berg"), ("family", "Haus")]
+    # Published sample accounts
+    assert found("pay DE89 3704 0044 0532 0130 00 or GB82WEST12345698765432.") == [
+        ("iban", "DE89 3704 0044 0532 0130 00"), ("iban", "GB82WEST12345698765432")
+    ]
+    assert found("DE88 3704 0044 0532 0130 00, AB12 4845168114407329") == [("card", "4845168114407329")]
+
+
+def test_surrogates_of_parts_and_accounts_keep_their_form():
+    for attempt in range(8):
+        for account in ("DE89370400440532013000", "GB82WEST12345698765432"):
+            made = surrogate("iban", account, attempt)
+            assert pii._account_rest(made) == 1 and made != account and made[:2] == account[:2]
+            assert [c.isdecimal() for c in made] == [c.isdecimal() for c in account]
+        assert re.fullmatch(r"o'[a-z]+", surrogate("family", "o'brien", attempt))
+        assert re.fullmatch(r"[a-z]+-[a-z]+", surrogate("given-f", "anna-maria", attempt))
+    assert pii.rendered("Anna-Maria", "bela-kora") == "Bela-Kora" and pii.rendered("O'Brien", "o'denser") == "O'Denser"
+    assert pii.rendered("McDonald", "kalden") == "Kalden"
+    assert pii.rendered("GB82 WEST 1234 5698 7654 32", "GB11ABCD00001111222233") == "GB11 ABCD 0000 1111 2222 33"
+
+
+def test_clashing_columns_are_kept(make_docs):
+    docs = make_docs([(1, "Mr. Smith"), (2, None)])
+    for name in ("_digest", "digest", "names", "_names", "Digest_", "surrogate", "canonical"):
+        docs = docs.withColumn(name, F.lit("kept"))
+    rows = replace(docs).collect()
+    assert len(rows) == 2 and all(r[name] == "kept" for r in rows for name in ("_digest", "digest", "names", "_names", "surrogate"))
+
+
+def test_a_form_without_free_surrogates_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(pii, "ATTEMPTS", 3)
+    monkeypatch.setattr(pii, "_drawn", lambda df: df.select("kind", "canonical", "attempt", F.lit("same").alias("surrogate")))
+    with pytest.raises(ValueError, match="no distinct surrogates"):
+        assign(spark.createDataFrame([("family", "a"), ("family", "b")], "kind string, canonical string"))
