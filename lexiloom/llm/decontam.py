@@ -8,8 +8,9 @@ hit: some stretch of min(item length, 20) words must agree in at least 80 % of i
 
 Decisions belong to texts, so copies of a text are decided once.
 
-Edge cases: a null or empty text and an item of fewer than 5 words match nothing; documents meet
-only the masks of lengths that the benchmark has; repeated rows and items count once; an empty benchmark leaves every document clean; extra columns are kept by ``clean``.
+Edge cases: a null or empty text and an item without words match nothing; an item of fewer than 5 words matches where all of them
+stand in a row; documents meet only the masks of lengths that the benchmark has; a very long text is read whole, and sent once per
+item that it may hold, however often it does; repeated rows and items count once; an empty benchmark leaves every document clean; extra columns are kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -33,6 +34,11 @@ FAMILIES = {
     15: ("11110111", "11100100111", "110010101011", "1001011001011", "1101100001011", "100100110111"),
     10: ("111011", "11000111", "110110001"),
     5: ("1111", "10111", "11011", "11101"),
+    # the law allows no substitution in fewer than 5 words
+    4: ("1111",),
+    3: ("111",),
+    2: ("11",),
+    1: ("1",),
 }
 STRETCH = 20
 AGREEMENT = 0.8
@@ -70,7 +76,7 @@ def window_hashes(tokens: np.ndarray, mask: str) -> np.ndarray:
 
 
 def masks_of(length: int) -> tuple[str, ...]:
-    """The masks for an item of so many words; none below 5 words."""
+    """The masks for an item of so many words; none without words."""
     return next((masks for least, masks in FAMILIES.items() if length >= least), ())
 
 
@@ -163,8 +169,8 @@ def _verified(candidates: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             share = [
-                agreement(np.frombuffer(d.as_buffer(), np.uint64), np.frombuffer(i.as_buffer(), np.uint64), s.as_py())
-                for d, i, s in zip(batch.column("doc_tokens"), batch.column("item_tokens"), batch.column("shift"), strict=True)
+                max(agreement(np.frombuffer(d.as_buffer(), np.uint64), np.frombuffer(i.as_buffer(), np.uint64), s) for s in shifts.as_py())
+                for d, i, shifts in zip(batch.column("doc_tokens"), batch.column("item_tokens"), batch.column("shifts"), strict=True)
             ]
             kept = batch.select(["digest", "item"]).append_column("agreement", pa.array(share, pa.float64()))
             yield kept.filter(pa.array([x >= AGREEMENT for x in share], pa.bool_()))
@@ -178,7 +184,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     benchmark = _benchmark_windows(items)
     bits = spark.sparkContext.broadcast(_bit_table(benchmark))
     least = F.coalesce(*(F.when(F.length("tokens") >= 8 * n, n) for n in FAMILIES), F.lit(0)).alias("least")
-    masks = [m for row in benchmark.select(least).distinct().collect() for m in masks_of(row.least)]
+    masks = dict.fromkeys(m for row in benchmark.select(least).distinct().collect() for m in masks_of(row.least))
     suspects = _suspects(docs, bits, tuple(masks))
 
     def windows(rows: DataFrame, key: str, position: str) -> DataFrame:
@@ -186,10 +192,11 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         return rows.select(key, pairs).select(key, F.col("w.hashes").alias("hash"), F.col("w.positions").alias(position)).distinct()
 
     met = windows(suspects, "digest", "at").join(windows(benchmark, "item", "from"), "hash")
-    shifts = met.select("digest", "item", (F.col("at") - F.col("from")).alias("shift")).distinct()
+    # one row per pair: its shifts are fewer than the two texts have words
+    shifts = met.groupBy("digest", "item").agg(F.collect_set(F.col("at") - F.col("from")).alias("shifts"))
     one = suspects.select("digest", F.col("tokens").alias("doc_tokens")).dropDuplicates(["digest"])
     both = shifts.join(benchmark.select("item", F.col("tokens").alias("item_tokens")), "item").join(one, "digest")
-    found = _verified(both.select("digest", "item", "shift", "doc_tokens", "item_tokens"))
+    found = _verified(both.select("digest", "item", "shifts", "doc_tokens", "item_tokens"))
     return cut_lineage(found.groupBy("digest", "item").agg(F.max("agreement").alias("agreement")), "leaks")
 
 

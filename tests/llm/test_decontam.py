@@ -1,5 +1,7 @@
+import hashlib
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
@@ -14,7 +16,8 @@ def case():
     random.seed(8)
     words = [f"w{i}" for i in range(400)]
     items = [(i, " ".join(random.choice(words) for _ in range(random.randint(15, 50)))) for i in range(20)]
-    items += [(50, "five words are just enough"), (51, "too short"), (52, None), (53, items[0][1])]
+    items += [(50, "five words are just enough"), (51, "too short"), (52, None), (53, items[0][1]), (54, "Paris is lovely"), (55, "zebrafish"), (56, "..."),
+              (57, "one two three four")]
     docs = list(AWKWARD)
     for i in range(100, 200):
         text = " ".join(random.choice(words) for _ in range(random.randint(5, 150)))
@@ -27,6 +30,8 @@ def case():
             text += " " + " ".join("zz" if k % 2 else w for k, w in enumerate(items[i % 20][1].split()))
         elif i % 10 == 3:
             text += " Five words ARE just enough!"
+        elif i % 10 == 4:
+            text += (" paris, is LOVELY. ", " paris is not lovely", " a zebrafish", " one two three for", " one two three four")[i // 10 % 5]
         docs.append((i, text))
     return items, docs
 
@@ -37,7 +42,7 @@ def brute(docs, items):
         doc = words_of(text or "")
         for _, item in items:
             own = words_of(item or "")
-            if len(own) >= 5 and any(agreement(doc, own, s) >= 0.8 for s in range(-len(own) + 1, len(doc))):
+            if any(agreement(doc, own, s) >= 0.8 for s in range(-len(own) + 1, len(doc))):
                 out.add(doc_id)
     return out
 
@@ -52,6 +57,31 @@ def test_leaks_match_brute_force(spark, make_docs, case):
     assert {d for d, _ in docs if d and d >= 100 and d % 5 in (0, 1)} <= bad
 
 
+def test_item_ids_and_agreement_match_brute_force(spark, make_docs, case):
+    """What the query returns, by sums of equal words written out here."""
+    items, docs = case
+    docs = [(d, t) for d, t in docs if d is not None]
+    md5 = lambda text: hashlib.md5(text.encode()).hexdigest()
+
+    def best(doc, own):
+        n = min(len(own), 20)
+        found = [0.0]
+        for shift in range(-len(own) + 1, len(doc)):
+            same = [0 <= k + shift < len(doc) and doc[k + shift] == w for k, w in enumerate(own)]
+            found += [sum(same[a : a + n]) / n for a in range(len(own) - n + 1)]
+        return max(found)
+
+    plain = lambda text: re.findall(r"\w+", (text or "").lower())
+    want = {}
+    for _, text in docs[:70]:
+        for _, item in items:
+            if plain(item) and (share := best(plain(text), plain(item))) >= 0.8:
+                want[md5(text or ""), md5(item or "")] = round(share, 9)
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.digest, r.item): round(r.agreement, 9) for r in leaks(make_docs(docs[:70]), table).collect()}
+    assert got == want and len(want) > 10
+
+
 def test_empty_tables(spark, make_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert clean(make_docs(AWKWARD), none).count() == len(AWKWARD)
