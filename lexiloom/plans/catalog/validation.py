@@ -11,6 +11,7 @@ from ...operators import validate as va
 from ...operators.alignment import crosswalk
 from ...operators.reading import nearest_rank
 from ...operators.search import line_keys
+from ...session import cut_lineage
 from ...sources import driver_tables as src
 from ..oracle import ALIGNMENTS, ATTRIBUTIONS, CONTRIBUTORS, LAYERS, LEX, LINES, REFERENCE, UNITS, with_
 from ..registry import query
@@ -163,6 +164,25 @@ def checksum_gate(spark, sf):
     return file_digests(spark, sf, "*.parquet")
 
 
+@query(
+    "Q8_manifest_verdicts",
+    "SELECT * FROM (VALUES ('missing', 1::BIGINT), ('unknown', 1::BIGINT), ('changed', 1::BIGINT)) AS v(verdict, n)",
+)
+def manifest_verdicts(spark, sf):
+    """The landed raw pages against a manifest that does not name the first file, names one more, and has an old sum of the last."""
+    from ...sources.snapshots import checksum_verdicts, file_digests
+    from .sources import page_snapshots
+
+    landed = cut_lineage(file_digests(spark, page_snapshots(spark, sf), "part-*"), "digests")
+    ends = landed.agg(F.min("file").alias("first"), F.max("file").alias("last"))
+    first, last = ends.head()
+    named = landed.filter(F.col("file") != first)
+    expected = F.when(F.col("file") == last, F.lit("0" * 64)).otherwise(F.col("sha256"))
+    ghost = ends.select(F.lit("part-ghost").alias("file"), F.lit("0" * 64).alias("sha256"))
+    verdicts = checksum_verdicts(landed, named.select("file", expected.alias("sha256")).unionByName(ghost))
+    return verdicts.filter("verdict <> 'verified'").groupBy("verdict").agg(F.count("*").alias("n"))
+
+
 _RULES = (("lines", ">=", 1000), ("blank_lines", "=", 0), ("long_lines", ">=", 10), ("works", "=", 4))
 
 

@@ -1,9 +1,13 @@
 """Positions in hot groups, and pages that are landed more than once."""
 
+import hashlib
 import json
 import random
 
+import pytest
+
 from lexiloom.operators.ordering import positions
+from lexiloom.sources.snapshots import checksum_verdicts, file_digests, require_checksums
 from lexiloom.streaming.ingest import ingest
 
 
@@ -69,3 +73,19 @@ def test_page_without_a_number_is_known_by_its_file(spark, tmp_path):
         (landed / f"{name}.json").write_text(json.dumps(body))
     ingest(spark, str(landed), str(tmp_path / "t"), str(tmp_path / "s"))
     assert sorted(r.text for r in spark.read.parquet(str(tmp_path / "t" / "lines")).collect()) == ["x", "y"]
+
+
+def test_checksum_verdicts_and_gate(spark, tmp_path):
+    for name, body in (("a.txt", b"one"), ("b.txt", b"two"), ("c.txt", b"three"), ("d.txt", b"four"), ("empty.txt", b"")):
+        (tmp_path / name).write_bytes(body)
+    digests = file_digests(spark, str(tmp_path), "*.txt")
+    sha = lambda body: hashlib.sha256(body).hexdigest()
+    rows = [("a.txt", sha(b"one")), ("b.txt", sha(b"two")), ("empty.txt", sha(b"")), ("c.txt", sha(b"old")), ("d.txt", None), ("gone.txt", sha(b""))]
+    manifest = spark.createDataFrame(rows, "file string, sha256 string")
+    verdicts = checksum_verdicts(digests, manifest.filter("file <> 'b.txt'"))
+    assert {r.file: r.verdict for r in verdicts.collect()} == {
+        "a.txt": "verified", "b.txt": "unknown", "c.txt": "changed", "d.txt": "changed", "empty.txt": "missing", "gone.txt": "missing"
+    }
+    with pytest.raises(ValueError, match="changed: 2 files, first c.txt; missing: 2 files, first empty.txt; unknown: 1 files"):
+        require_checksums(verdicts)
+    require_checksums(checksum_verdicts(digests, digests))
