@@ -49,7 +49,7 @@ STAGES = [
     ("tokens", tokens),
 ]
 
-# Gumbel noise, keyed surrogates and byte-pair merges have no SQL form: tests hold run() against a brute-force version instead.
+# Gumbel noise, keyed surrogates and byte-pair merges have no SQL form; tests look at the rows of each stage instead, not at all five by brute force.
 ORACLE_SQL = None
 
 
