@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 GRAM = 3
 
 
@@ -22,26 +24,31 @@ def substring_join(queries: DataFrame, texts: DataFrame, needle: str, hay: str,
 
     ``text_id`` identifies a row of ``texts``.  Needles shorter than a gram use grams of their own
     length; which of the three lengths occur is asked first, so texts are cut no finer than needed.
+
+    The needles, their grams and the chosen gram of each are stored: they are small next to the texts, their size is
+    known before the texts are cut, and no plan holds the steps that made them.  The texts are cut twice, to weigh the
+    grams and to meet the chosen ones, because the grams of all texts are far more than the texts.
     """
-    needles = queries.filter((F.col(needle).isNotNull()) & (F.col(needle) != "")).select(needle).distinct()
+    asked = cut_lineage(queries.filter(F.col(needle) != ""), "needles")
     size = F.least(F.length(needle), F.lit(GRAM))
-    sizes = sorted(r[0] for r in needles.select(size.alias("n")).distinct().collect())
+    sizes = sorted(r[0] for r in asked.select(size.alias("n")).distinct().collect())
     if not sizes:
-        return texts.join(queries.limit(0), F.lit(False))
+        return texts.join(asked, F.lit(False))
     by_size = F.when(size == sizes[0], grams(F.col(needle), sizes[0]))
     for n in sizes[1:]:
         by_size = by_size.when(size == n, grams(F.col(needle), n))
-    asked = needles.select(needle, F.explode(by_size).alias("_gram"))
+    wanted = cut_lineage(asked.select(needle).distinct().select(needle, F.explode(by_size).alias("_gram")), "needle-grams")
     cut = F.array_distinct(F.flatten(F.array(*[grams(F.col(hay), n) for n in sizes])))
-    held = texts.select(text_id, F.explode(cut).alias("_gram")).join(asked.select("_gram").distinct(), "_gram", "left_semi")
-    weights = held.groupBy("_gram").agg(F.count("*").alias("_df"))
-    chosen = (
-        asked.join(weights, "_gram", "left")
+    held = texts.select(text_id, F.explode(cut).alias("_gram"))
+    weights = held.join(wanted.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_df"))
+    rarest = (
+        wanted.join(weights, "_gram", "left")
         .groupBy(needle)
         .agg(F.min_by("_gram", F.struct(F.coalesce("_df", F.lit(0)), "_gram")).alias("_gram"))
     )
-    hits = chosen.join(held, "_gram").select(needle, text_id)
-    return hits.join(texts, text_id).filter(F.contains(hay, needle)).join(queries, needle)
+    chosen = cut_lineage(rarest, "needle-chosen")
+    hits = held.join(chosen, "_gram").select(needle, text_id)
+    return hits.join(texts, text_id).filter(F.contains(hay, needle)).join(asked, needle)
 
 
 HEAD = 12

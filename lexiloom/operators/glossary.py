@@ -3,33 +3,45 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import PRIMARY, Script, has_script, nfc
+from ..session import cut_lineage
 from .containment import prefix_join, substring_join
 
 
+GROUP = ("headword", "meaning_en", "grammar_en", "etymology_en")
+
+
 def glossary(queries: DataFrame, terms: DataFrame, entries: DataFrame, script: Script = PRIMARY) -> DataFrame:
     """Grouped dictionary hits per query with a relevance rank 0..2; queries without any in the terms
     fall back on the entries.  Romanised and English queries match inside, primary-script ones by prefix.
     """
     asked = queries.select("query_id", F.lower(nfc(F.trim("query"))).alias("needle"), has_script(F.col("query"), script).alias("is_primary"))
+    asked = cut_lineage(asked.distinct(), "glossary-queries")
     latin, primary = asked.filter(~F.col("is_primary")), asked.filter("is_primary")
+    # whether a term is met does not depend on its lines: they are counted once, not for every query
+    keyed = terms.withColumn("row_id", F.sha2(F.to_json(F.struct(*GROUP, "transliteration")), 256))
+    lined = keyed.groupBy("row_id", *GROUP, "transliteration").agg(F.min("term_id").alias("term_id"), F.count_distinct("line_id").alias("lines"))
+    spelled = cut_lineage(lined.withColumn("spellings", F.count("*").over(W.partitionBy(*GROUP))), "glossary-terms")
     fields = F.array(*[F.lower(F.coalesce(c, F.lit(""))) for c in ("transliteration", "meaning_en", "etymology_en")])
     # the unit separator keeps a needle from matching across two fields
-    texts = terms.withColumn("hay", F.array_join(fields, "\x1f")).withColumn("row_id", F.concat_ws("|", "term_id", "line_id"))
+    texts = spelled.withColumn("hay", F.array_join(fields, "\x1f"))
     inside = substring_join(latin, texts, "needle", "hay", "row_id")
-    heads = terms.withColumn("hay", F.lower("headword"))
+    heads = spelled.withColumn("hay", F.lower("headword"))
     met = prefix_join(primary, heads.select("hay").distinct(), "needle", "hay")
     opening = met.join(heads, "hay")
-    columns = ["query_id", "needle", "is_primary", "term_id", "line_id", "headword", "transliteration", "meaning_en", "grammar_en", "etymology_en"]
-    found = inside.select(*columns).unionByName(opening.select(*columns))
-    once = found.groupBy("query_id", "needle", "is_primary", "headword", "meaning_en", "grammar_en", "etymology_en", "line_id").agg(
-        F.min("term_id").alias("term_id"), F.min("transliteration").alias("transliteration")
-    )
-    grouped = once.groupBy("query_id", "needle", "is_primary", "headword", "meaning_en", "grammar_en", "etymology_en").agg(
-        F.min("term_id").alias("id"), F.min("transliteration").alias("transliteration"), F.count("*").alias("frequency")
+    asked_for = ["query_id", "needle", "is_primary", *GROUP]
+    found = inside.unionByName(opening).select(*asked_for, "row_id", "transliteration", "term_id", "lines", "spellings")
+    alone = found.filter("spellings = 1").select(*asked_for, F.col("term_id").alias("id"), "transliteration", F.col("lines").alias("frequency"))
+    # a query may meet some spellings of a group only, and these may share lines
+    several = found.filter("spellings > 1").join(keyed.select("row_id", "line_id").distinct(), "row_id", "left")
+    together = several.groupBy(*asked_for).agg(
+        F.min("term_id").alias("id"), F.min("transliteration").alias("transliteration"), F.count_distinct("line_id").alias("frequency")
     )
+    shown = ["query_id", "needle", "is_primary", "id", "headword", "transliteration", "frequency"]
+    grouped = cut_lineage(alone.select(*shown).unionByName(together.select(*shown)), "glossary-hits")
     spoken = F.lower("transliteration")
     ranked = grouped.select(
         "query_id",

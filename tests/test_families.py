@@ -7,6 +7,7 @@ from lexiloom.operators import search as se
 from lexiloom.operators import themes as th
 from lexiloom.operators.containment import prefix_join
 from lexiloom.operators.facets import Annotations, Facets
+from lexiloom.operators.glossary import glossary
 from lexiloom.plans.jobs import SearchTables, corpus_search, theme_mode
 
 # Known lines and their romanisation.
@@ -90,3 +91,19 @@ def test_prefix_join_equals_brute_force(spark):
     asked = spark.createDataFrame([(p,) for p in prefixes], "needle string")
     got = sorted((r.needle, r.hay) for r in prefix_join(asked, texts, "needle", "hay").collect())
     assert got == sorted((p, w) for p in prefixes for w in words if p and w and w.startswith(p))
+
+
+def test_glossary_counts_lines_once_over_spellings_in_a_small_plan(spark):
+    rows = [("t1", "l1", "kal", "kal"), ("t2", "l1", "kal", "kaal"), ("t3", "l2", "kal", "kaal"), ("t4", "l3", "kal", "kal")]
+    terms = spark.createDataFrame(
+        [(t, n, h, s, "time", None, "turn") for t, n, h, s in rows],
+        "term_id string, line_id string, headword string, transliteration string, meaning_en string, grammar_en string, etymology_en string",
+    )
+    entries = spark.createDataFrame([("e1", "sky", "above")], "entry_id string, headword string, content string")
+    asked = spark.createDataFrame([("q1", "time"), ("q2", "kaal"), ("q3", "bov"), ("q4", "kal")], "query_id string, query string")
+    found = glossary(asked, terms, entries)
+    assert {(r.query_id, r.id, r.frequency, r.relevance) for r in found.collect()} == {
+        ("q1", "t1", 3, 2), ("q2", "t2", 2, 0), ("q3", "e1", 0, 3), ("q4", "t1", 2, 0),
+    }
+    # the steps before the hits are stored, so the last plan does not repeat them
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") < 10
