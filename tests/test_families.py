@@ -7,6 +7,7 @@ from lexiloom.operators import search as se
 from lexiloom.operators import themes as th
 from lexiloom.operators.containment import prefix_join
 from lexiloom.operators.facets import Annotations, Facets
+from lexiloom.operators.families import meaning_hits
 from lexiloom.operators.glossary import glossary
 from lexiloom.plans.jobs import SearchTables, corpus_search, theme_mode
 
@@ -107,3 +108,14 @@ def test_glossary_counts_lines_once_over_spellings_in_a_small_plan(spark):
     }
     # the steps before the hits are stored, so the last plan does not repeat them
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") < 10
+
+
+def test_meaning_hits_share_a_meaning_between_lines_in_a_small_plan(spark):
+    terms = spark.createDataFrame(
+        [("t1", "l1", "the Sky", None), ("t2", "l2", "the Sky", None), ("t3", "l1", "a sky", "sky"), ("t4", "l4", None, "of sky")],
+        "term_id string, line_id string, meaning_en string, etymology_en string",
+    )
+    alignments = spark.createDataFrame([("a1", "l1", "Sky!"), ("a2", "l3", "T. sky"), ("a3", "l5", "")], "alignment_id string, line_id string, translation string")
+    found = meaning_hits(spark.createDataFrame([("q", "sky")], "query_id string, needle string"), terms, alignments)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") < 16
+    assert {(r.line_id, r.content) for r in found.collect()} == {("l1", "a sky"), ("l2", "the Sky"), ("l3", "T. sky"), ("l4", "")}
