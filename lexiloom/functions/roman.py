@@ -34,7 +34,7 @@ PHONETIC_RULES = (
     ("re", r"([aeiou])\1+", "$1"),
 )
 # Fixed value: endings dropped from words of more than three letters.
-FINAL = r"\b(?=[a-z]{4})([a-z]*?)(?:u|a|i|e|o|eh|ahi)\b"
+FINAL = r"(?:ahi|eh|[aeiou])\b(?<=[a-z]{4})"
 
 
 def roman_normal(value: Column) -> Column:
@@ -53,7 +53,7 @@ def phonetic_of_normal(normal: Column) -> Column:
             normal = F.translate(normal, old, new)
         else:
             normal = F.regexp_replace(normal, old, new)
-    return F.regexp_replace(normal, FINAL, "$1")
+    return F.regexp_replace(normal, FINAL, "")
 
 
 def phonetic(value: Column) -> Column:
@@ -67,23 +67,31 @@ def consonants(value: Column) -> Column:
     return F.regexp_replace(phonetic(value), "[aeiou]", "")
 
 
-def phonetic_index(value: Column) -> Column:
-    """array<string>: distinct phonetic words, without and with the optional nasals."""
-    base = split_words(phonetic(value))
+def nasal_marked(value: Column) -> Column:
+    """Without such a mark the phonetic key is the one of the normal form."""
+    return value.rlike(r"(?i)\(n\)")
+
+
+def phonetic_index(value: Column, key: Column | None = None) -> Column:
+    """array<string>: distinct phonetic words, without and with the optional nasals; ``key``: the phonetic key, where it is known."""
+    base = split_words(phonetic(value) if key is None else key)
     nasal = split_words(phonetic(F.regexp_replace(value, r"(?i)\(n\)", "n")))
-    marked = value.rlike(r"(?i)\(n\)")
+    marked = nasal_marked(value)
     return F.array_distinct(F.when(marked, F.concat(base, nasal)).otherwise(base))
 
 
 def consonant_index(phonetic_words: Column) -> Column:
-    bare = F.transform(phonetic_words, lambda w: F.regexp_replace(w, "[aeiou]", ""))
-    return F.array_distinct(F.filter(bare, lambda w: w != ""))
+    return F.array_distinct(split_words(F.translate(F.array_join(phonetic_words, " "), "aeiou", "")))
 
 
 def roman_initials(value: Column) -> Column:
     """Query side: first phonetic letter of each word."""
-    keyed = split_words(phonetic_of_normal(roman_normal(value)))
-    return F.array_join(F.transform(keyed, lambda w: F.substring(w, 1, 1)), "")
+    return first_letters(phonetic_of_normal(roman_normal(value)))
+
+
+def first_letters(key: Column) -> Column:
+    """First letter of each word of a key."""
+    return F.array_join(F.transform(split_words(key), lambda w: F.substring(w, 1, 1)), "")
 
 
 def primary_initials(value: Column, script: Script = PRIMARY) -> Column:
