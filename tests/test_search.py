@@ -114,3 +114,26 @@ def test_all_words_of_a_long_query_count(spark):
     asked = spark.createDataFrame([("whole", text), ("other", text[:-3] + "zzz")], "query_id string, query string")
     words = {r.query_id: len(r.words) for r in se.query_words(asked).collect()}
     assert words == {"whole": 13, "other": 13} and lines.count() == 1
+
+
+def test_stored_keys_are_strings_and_equal_the_keys_of_single_texts(spark):
+    from pyspark.sql import functions as F
+
+    from lexiloom.functions import roman as rm
+
+    index = se.build_index(make_lines(spark, LINES))
+    assert not [f for f in index.strings.schema if f.dataType.typeName() == "array"]
+    alone = make_lines(spark, LINES).select("line_id", rm.phonetic("romanised").alias("key"), rm.phonetic_index(F.col("romanised")).alias("spoken"), rm.roman_initials(F.col("romanised")).alias("first"))
+    wanted = {r.line_id: (r.key, r.spoken, r["first"]) for r in alone.collect()}
+    got = {r.line_id: (r.roman_key, r.roman_phonetic, r.roman_first) for r in index.keys.collect()}
+    assert got == wanted
+
+
+def test_endings_dropped_from_words_of_four_letters(spark):
+    from pyspark.sql import functions as F
+
+    from lexiloom.functions.roman import phonetic_of_normal
+
+    words = ["ahi", "bahi", "reh", "creh", "bat", "bata", "boi", "b", "dahia"]
+    got = spark.createDataFrame([(" ".join(words),)], "t string").select(phonetic_of_normal(F.col("t"))).first()[0]
+    assert got == "ahi b reh cr bat bat boi b dahi"
