@@ -137,3 +137,12 @@ def test_endings_dropped_from_words_of_four_letters(spark):
     words = ["ahi", "bahi", "reh", "creh", "bat", "bata", "boi", "b", "dahia"]
     got = spark.createDataFrame([(" ".join(words),)], "t string").select(phonetic_of_normal(F.col("t"))).first()[0]
     assert got == "ahi b reh cr bat bat boi b dahi"
+
+
+def test_first_letter_query_stores_no_index(spark):
+    from lexiloom.plans.catalog import search as queries
+
+    before = {t.name for t in spark.catalog.listTables()}
+    # a path of its own, for which no other test has stored an index
+    assert queries.first_letter_search(spark, "/root/testdata/sf0.001/.").limit(1).count() == 1
+    assert {t.name for t in spark.catalog.listTables()} == before
