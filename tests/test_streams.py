@@ -5,6 +5,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexiloom.operators.ordering import positions
 from lexiloom.sources.snapshots import checksum_verdicts, file_digests, require_checksums
@@ -89,3 +90,33 @@ def test_checksum_verdicts_and_gate(spark, tmp_path):
     with pytest.raises(ValueError, match="changed: 2 files, first c.txt; missing: 2 files, first empty.txt; unknown: 1 files"):
         require_checksums(verdicts)
     require_checksums(checksum_verdicts(digests, digests))
+
+
+def test_digest_of_a_large_file_is_taken_in_pieces(spark, tmp_path):
+    """Read in several splits; line feeds at either end, none, a byte-order mark, bytes that are no text."""
+    noise = bytes(range(256)) * 3000
+    bodies = [b"\n" + noise, noise + b"\n", noise + b"\n\n", b"\xef\xbb\xbf" + noise, b"\xef\xbb\xbf" + noise + b"\n", b"x" * 5000, b"\r\n" * 5000, b"small"]
+    for n, body in enumerate(bodies):
+        (tmp_path / f"{n}.bin").write_bytes(body)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        got = {r.file: (r.length, r.sha256) for r in file_digests(spark, str(tmp_path), "*.bin", whole=1000).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {f"{n}.bin": (len(body), hashlib.sha256(body).hexdigest()) for n, body in enumerate(bodies)}
+
+
+def test_landed_files_are_bounded(spark, tmp_path, monkeypatch):
+    """Their number grows with the documents, and a page's text is not moved four times."""
+    import glob
+
+    from lexiloom.plans.catalog import sources
+
+    monkeypatch.setattr(sources, "LANDED_PAGES", 5)
+    text = "a line of text\n" * 50
+    rows = spark.range(200).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    path = sources.page_snapshots(spark, str(tmp_path))
+    files = glob.glob(f"{path.removeprefix('file:')}/part-*")
+    assert len(files) >= 40
+    assert sum(len(open(f, "rb").read()) for f in files) < 200 * len(text)
