@@ -72,6 +72,27 @@ def test_retrieval_equals_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == expected
 
 
+def test_a_prefix_meets_the_vocabulary_once_for_all_queries(spark, monkeypatch):
+    """Many queries that share short words: what is stored on the way is no product of query words and tokens."""
+    lines = make_lines(spark, [(f"l{n}", "u", n, 1, "x", f"ta{chr(97 + n % 26)}{chr(97 + n // 26)}" + " rare" * (n < 10)) for n in range(300)])
+    index = se.build_index(lines)
+    queries = spark.createDataFrame([(f"q{n}", "t t t t t t t t rare") for n in range(50)], "query_id string, query string")
+    sizes = []
+
+    def counted(df, name):
+        out = cut(df, name)
+        if name.startswith("query-"):
+            sizes.append(out.count())
+        return out
+
+    cut = se.cut_lineage
+    monkeypatch.setattr(se, "cut_lineage", counted)
+    found = se.retrieve(queries, index)
+    assert found.count() == 50 * 10
+    # 50 * 9 query words; 300 words begin with t, and in three fields at most
+    assert max(sizes) <= 3 * 301 and len(sizes) >= 3
+
+
 THEME_QUERIES = [
     ("ego", "ego"), ("diet", "diet"), ("meat", "diet"), ("vegetarian", "diet"), ("compassion", "compassion"), ("contentment", "contentment"),
     ("gender", "gender"), ("heaven", "afterlife"), ("hell", "afterlife"),
