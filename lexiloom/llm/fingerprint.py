@@ -3,8 +3,9 @@
 A text is the set of digests of its paragraphs, cut at sentence ends; longer pieces are cut at places that depend on their words.  A sketch has TABLES tables of cells; a digest
 goes into one cell of each table, which holds a count, the XOR of its digests and the XOR of their check hashes.  Sketches subtract
 cell by cell: what two versions share cancels, and peeling (a cell with one digest gives it away and frees the cells of the other
-tables) recovers the digests in which they differ.  Peeling that gets stuck is repeated with a larger sketch for those pairs only,
-until every pair is solved.  The fingerprint is the sketch of the first size, as text.
+tables) recovers the digests in which they differ.  A sketch of the first size is peeled inside its row.  Peeling that gets stuck is repeated with a
+larger sketch for those pairs only, as rows of cells, until every pair is solved.  The fingerprint is the sketch of the first size, as text.
+What is stored on the way are digests; sketches are several times larger and made again where they are needed.
 
 A document meets its edited version and its successor by doc_id.  Documents are cut into blocks at approximate quantiles of doc_id;
 only the first text of each block travels to the block before it, so order costs one shuffle and no task holds more than a block.
@@ -85,9 +86,10 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text and next_text: the text that follows in the order of doc_id, then of a hash of the text; the last row is followed by the first.
+    """doc_id, text, own, next_text and following: the text that follows in the order of doc_id, then of a hash of the text, and the digests of
+    both; the last row is followed by the first.
 
-    The texts are shuffled once.  The first row of each block is found by its numbers, which go to all tasks: a fixed number of blocks per
+    The texts are shuffled once, with their digests.  The first row of each block is found by its numbers, which go to all tasks: a fixed number of blocks per
     partition.
     """
     rows = _blocks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")))
@@ -95,9 +97,12 @@ def with_next(docs: DataFrame) -> DataFrame:
     heads = rows.join(F.broadcast(least), ["block", ID, TIE]).groupBy("block").agg(F.min("text").alias("head"))
     order = Window.orderBy("block")  # one small row per block
     after = least.select("block", F.coalesce(F.lead("block").over(order), F.first("block").over(order)).alias("after"))
-    follow = after.join(heads.withColumnRenamed("block", "after"), "after").select("block", "head")
+    follow = after.join(heads.withColumnRenamed("block", "after"), "after").select("block", "head", pieces(F.col("head")).alias("head_own"))
     inside = Window.partitionBy("block").orderBy(ID, TIE, "text")
-    return rows.withColumn("follow", F.lead("text").over(inside)).join(F.broadcast(follow), "block").select("doc_id", "text", F.coalesce("follow", "head").alias("next_text"))
+    led = rows.withColumn("own", pieces(F.col("text"))).withColumns({"follow": F.lead("text").over(inside), "follow_own": F.lead("own").over(inside)})
+    return led.join(F.broadcast(follow), "block").select(
+        "doc_id", "text", "own", F.coalesce("follow", "head").alias("next_text"), F.coalesce("follow_own", "head_own").alias("following")
+    )
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -147,25 +152,28 @@ def _peeled(cells: DataFrame, seed: int) -> DataFrame:
 
 def sketch(keys: Column) -> Column:
     """The sketch of the first size: an array of (count, key, check), table after table."""
-    size = FIRST_CELLS
-    places = [_cell_of(t) for t in range(TABLES)]
-    placed = F.transform(keys, lambda k: F.struct(k.alias("key"), _check(k).alias("check"), *(p(k).alias(f"c{t}") for t, p in enumerate(places))))
+    places = [F.lit(t) for t in range(TABLES)]
+    placed = F.transform(keys, lambda k: F.struct(k.alias("key"), _check(k).alias("check"), *(_place(k, t).alias(f"c{i}") for i, t in enumerate(places))))
     none = F.struct(F.lit(0).cast("long").alias("count"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("check"))
 
-    def cell(all_placed: Column, number: Column) -> Column:
+    def cell(all_placed: Column, of_table: int, number: Column) -> Column:
         def add(so_far: Column, p: Column) -> Column:
             more = F.struct((so_far["count"] + 1).alias("count"), so_far["key"].bitwiseXOR(p["key"]).alias("key"), so_far["check"].bitwiseXOR(p["check"]).alias("check"))
-            return F.when((p["c0"] == number) | (p["c1"] == number) | (p["c2"] == number), more).otherwise(so_far)
+            return F.when(p[f"c{of_table}"] == number, more).otherwise(so_far)
 
         return F.aggregate(all_placed, none, add)
 
     # bound to a variable, so that the places are found once and not for every cell
-    numbers = F.sequence(F.lit(0), F.lit(TABLES * size - 1))
-    return F.transform(F.array(placed), lambda all_placed: F.transform(numbers, lambda n: cell(all_placed, n)))[0]
+    numbers = F.sequence(F.lit(0).cast("long"), F.lit(FIRST_CELLS - 1).cast("long"))
+    return F.transform(F.array(placed), lambda found: F.flatten(F.array(*(F.transform(numbers, _cell_maker(cell, found, t)) for t in range(TABLES)))))[0]
+
 
+def _cell_maker(cell, found: Column, of_table: int):
+    return lambda number: cell(found, of_table, number)
 
-def _cell_of(of_table: int):
-    return lambda key: _cell(key, F.lit(of_table), 0, F.lit(FIRST_CELLS)) + of_table * FIRST_CELLS
+
+def _place(key: Column, of_table: Column) -> Column:
+    return _cell(key, of_table, 0, F.lit(FIRST_CELLS)).cast("long")
 
 
 def written(cells: Column) -> Column:
@@ -178,24 +186,54 @@ def subtracted(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: F.struct((x["count"] - y["count"]).alias("count"), x["key"].bitwiseXOR(y["key"]).alias("key"), x["check"].bitwiseXOR(y["check"]).alias("check")))
 
 
-def _compared(a: str, b: str) -> Column:
-    """(equal, cells): whether nothing is left of the subtraction, and its cells where peeling them can get anywhere."""
-    cells = subtracted(F.col(a), F.col(b))
-    single = F.size(F.filter(cells, lambda c: (F.abs(c["count"]) == 1) & (c["check"] == _check(c["key"]))))
-    equal = F.forall(cells, lambda c: (c["count"] == 0) & (c["key"] == 0))
-    return F.struct(equal.alias("equal"), F.when(~equal & (single >= WORTH_PEELING), cells).alias("cells"))
+def _differing(a: Column, b: Column) -> Column:
+    """The number of digests in one of two sketches of the first size only, or null where peeling their difference gets stuck."""
 
+    def solved(cells: Column) -> Column:
+        single = F.size(F.filter(cells, lambda c: (F.abs(c["count"]) == 1) & (c["check"] == _check(c["key"]))))
+        equal = F.forall(cells, lambda c: (c["count"] == 0) & (c["key"] == 0))
+        return F.when(equal, F.lit(0).cast("long")).when(single >= WORTH_PEELING, _peeled_in_row(cells))
 
-def _pairs(versions: DataFrame) -> DataFrame:
-    """(id, side, equal, cells, own, other): side 1 the edited version, side 2 the successor."""
-    both = F.array(*(F.struct(F.lit(i).alias("side"), F.col(c)["equal"].alias("equal"), F.col(c)["cells"].alias("cells"), F.col(name).alias("other")) for i, c, name in ((1, "to_changed", "changed"), (2, "to_following", "following"))))
-    return versions.select("id", "own", F.explode(both).alias("p")).select("id", "p.side", "p.equal", "p.cells", "own", "p.other")
+    return F.transform(F.array(subtracted(a, b)), solved)[0]
 
 
-def _first_cells(pairs: DataFrame) -> DataFrame:
+def _peeled_in_row(cells: Column) -> Column:
+    """Like ``_peeled``, for the cells of one sketch of the first size: the number of digests, or null."""
     size = FIRST_CELLS
-    rows = pairs.where("cells is not null").repartition("id").select("id", "side", F.posexplode("cells").alias("place", "c")).where("c.count <> 0 or c.key <> 0")
-    return rows.select("id", "side", F.lit(size).cast("long").alias("per_table"), F.floor(F.col("place") / size).cast("int").alias("table"), (F.col("place") % size).cast("long").alias("cell"), "c.*")
+    none = F.struct(F.lit(0).cast("long").alias("count"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("check"))
+
+    def without(cell: Column, k: Column) -> Column:
+        return F.struct((cell["count"] - k["count"]).alias("count"), cell["key"].bitwiseXOR(k["key"]).alias("key"), cell["check"].bitwiseXOR(k["check"]).alias("check"))
+
+    def step(state: Column, turn: Column) -> Column:
+        own = (turn % TABLES).cast("int")
+
+        def alone(c: Column, i: Column) -> Column:
+            return (F.abs(c["count"]) == 1) & (c["check"] == _check(c["key"])) & (_place(c["key"], own) == i)
+
+        def taken_out(taken: Column) -> Column:
+            def rest(c: Column, i: Column) -> Column:
+                of_table = F.floor(i / size).cast("int")
+
+                def less(so_far: Column, k: Column) -> Column:
+                    return F.when(_place(k["key"], of_table) == i % size, without(so_far, k)).otherwise(so_far)
+
+                return F.aggregate(taken, c, less)
+
+            more = F.struct(F.transform(state["cells"], rest).alias("cells"), (state["found"] + F.size(taken)).alias("found"))
+            return F.when(F.size(taken) == 0, state).otherwise(more)
+
+        return F.transform(F.array(F.filter(F.slice(state["cells"], own * size + 1, size), alone)), taken_out)[0]
+
+    start = F.struct(cells.alias("cells"), F.lit(0).cast("long").alias("found"))
+    left = lambda state: F.exists(state["cells"], lambda c: (c["count"] != 0) | (c["key"] != 0) | (c["check"] != 0))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda state: F.when(~left(state), state["found"]))
+
+
+def _unsolved(versions: DataFrame) -> DataFrame:
+    """(id, side, own, other) of the pairs that the first size leaves open: side 1 the edited version, side 2 the successor."""
+    both = F.array(*(F.struct(F.lit(i).alias("side"), F.col(f"differing{i}").isNull().alias("open"), F.col(name).alias("other")) for i, name in ((1, "changed"), (2, "following"))))
+    return versions.select("id", "own", F.explode(F.filter(both, lambda p: p["open"])).alias("p")).select("id", "p.side", "own", "p.other")
 
 
 def _difference_cells(pairs: DataFrame, attempt: int) -> DataFrame:
@@ -209,16 +247,19 @@ def _difference_cells(pairs: DataFrame, attempt: int) -> DataFrame:
 
 
 def differences(versions: DataFrame) -> DataFrame:
-    """(id, side, differing) of the pairs that differ: the number of digests in one of the two only."""
-    pairs = _pairs(versions).where("not equal")
-    solved = [cut_lineage(_peeled(_first_cells(pairs), 0).where("stuck = 0").select("id", "side", "differing"), "solved")]
-    attempt = 1
+    """(id, side, differing) of the pairs that the first size leaves open: the number of digests in one of the two only.
+
+    The pairs that are tried again are few: they are written as numbers, so that Spark can send them to the digests.
+    """
+    pairs = left = _unsolved(versions)
+    solved, attempt = [], 1
     while True:
-        done = reduce(DataFrame.union, solved)
-        left = pairs.select("id", "side", "own", "other").join(done, ["id", "side"], "left_anti")
-        if not left.limit(1).count():
-            return done
-        solved.append(cut_lineage(_peeled(_difference_cells(left, attempt), attempt).where("stuck = 0").select("id", "side", "differing"), "solved"))
+        peeled = cut_lineage(_peeled(_difference_cells(left, attempt), attempt), "peeled")
+        solved.append(peeled.where("stuck = 0").select("id", "side", "differing"))
+        stuck = cut_lineage(peeled.where("stuck > 0").select("id", "side"), "stuck")
+        if not stuck.limit(1).count():
+            return reduce(DataFrame.union, solved)
+        left = pairs.join(stuck, ["id", "side"], "left_semi")
         attempt += 1
 
 
@@ -229,37 +270,36 @@ def likeness(own: Column, other: Column, differing: Column) -> Column:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
-    names = ("own", "changed", "following")
     followed = with_next(docs).withColumn("edited", edited(F.col("text"), F.col("next_text")))
     sets = followed.select(
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
-        *(pieces(F.col(text)).alias(name) for text, name in zip(("text", "edited", "next_text"), names, strict=True)),
+        F.unhex(F.sha2("edited", 256)).alias("edited_sha256"),
+        "own",
+        pieces(F.col("edited")).alias("changed"),
+        "following",
     )
-    sketches = sets.select("*", *(sketch(F.col(name)).alias(f"{name}_cells") for name in names))
-    versions = cut_lineage(
-        sketches.select(
-            F.monotonically_increasing_id().alias("id"),
-            *sets.columns,
-            written(F.col("own_cells")).alias("fingerprint"),
-            written(F.col("changed_cells")).alias("edited_fingerprint"),
-            _compared("own_cells", "changed_cells").alias("to_changed"),
-            _compared("own_cells", "following_cells").alias("to_following"),
-        ),
-        "versions",
+    sketches = sets.select("*", *(sketch(F.col(name)).alias(f"{name}_cells") for name in ("own", "changed", "following")))
+    compared = sketches.select(
+        F.monotonically_increasing_id().alias("id"),
+        *sets.columns,
+        _differing(F.col("own_cells"), F.col("changed_cells")).alias("differing1"),
+        _differing(F.col("own_cells"), F.col("following_cells")).alias("differing2"),
     )
-    differing = differences(versions)
-    by_id = differing.groupBy("id").agg(*(F.max(F.when(F.col("side") == i, F.col("differing"))).alias(f"differing{i}") for i in (1, 2)))
-    sizes = versions.select("id", "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *(F.size(c).alias(f"n_{c}") for c in names))
-    return sizes.join(by_id, "id", "left").select(
+    # the successor's digests are this row's for the pairs that are still open only
+    still = F.when(F.col("differing2").isNull(), F.col("following"))
+    versions = cut_lineage(compared.withColumns({"n_following": F.size("following"), "following": still}), "versions")
+    by_id = differences(versions).groupBy("id").agg(*(F.max(F.when(F.col("side") == i, F.col("differing"))).alias(f"later{i}") for i in (1, 2)))
+    both = versions.drop("following").join(by_id, "id", "left")
+    n_own = F.size("own")
+    return both.select(
         "doc_id",
         "n_chars",
-        "edited_sha256",
-        "fingerprint",
-        "edited_fingerprint",
-        likeness(F.col("n_own"), F.col("n_changed"), F.coalesce("differing1", F.lit(0))).alias("near_edited"),
-        likeness(F.col("n_own"), F.col("n_following"), F.coalesce("differing2", F.lit(0))).alias("near_next"),
+        F.lower(F.hex("edited_sha256")).alias("edited_sha256"),
+        written(sketch(F.col("own"))).alias("fingerprint"),
+        written(sketch(F.col("changed"))).alias("edited_fingerprint"),
+        likeness(n_own, F.size("changed"), F.coalesce("differing1", "later1")).alias("near_edited"),
+        likeness(n_own, F.col("n_following"), F.coalesce("differing2", "later2")).alias("near_next"),
     )
 
 

@@ -75,3 +75,16 @@ def test_one_row_and_none(make_docs):
     (row,) = fingerprints(make_docs([(7, "a. b. c. d")])).collect()
     assert row.near_next == 1.0
     assert fingerprints(make_docs([])).count() == 0
+
+
+def test_sketches_are_not_stored(make_docs, monkeypatch):
+    stored, cut = {}, fingerprint.cut_lineage
+
+    def spy(df, name):
+        stored.setdefault(name, dict(df.dtypes))
+        return cut(df, name)
+
+    monkeypatch.setattr(fingerprint, "cut_lineage", spy)
+    fingerprints(make_docs(rows_of(5))).collect()
+    assert not {"fingerprint", "edited_fingerprint"} & set(stored["versions"]) and not any("struct" in kind for kind in stored["versions"].values())
+    assert set(stored["stuck"]) == {"id", "side"}  # what is tried again travels as numbers
