@@ -313,16 +313,20 @@ def _group_matrix_pairs(shared: DataFrame, how: Threshold) -> DataFrame:
     meets = (F.col("component") < F.col("last")) & (low <= high) & (F.least("held", "most_held") >= least) & (F.least("slack", "group_slack") >= least)
     met = rows.join(matrix, "token").where(meets).select("node", "size", "component", "group", least.alias("needed")).distinct()
     tokens = cut_lineage(rows.groupBy("node").agg(F.collect_list("token").alias("tokens")), "node-tokens")  # at most a node's prefix
-    unions = matrix.groupBy("group").agg(F.collect_list("token").alias("union"))
-    bound = F.size(F.array_intersect("tokens", "union"))
-    opened = met.join(tokens, "node").join(unions, "group").where(bound >= F.col("needed")).select("node", "size", "component", "group")
-    inside = members.select("group", F.col("node").alias("v"), F.col("size").alias("v_size"), F.col("component").alias("v_component"), F.col("held").alias("v_held"))
-    fits = how.sizes_fit(a, F.col("v_size")) & (F.col("v_held") >= how.needed(a, F.col("v_size")))
-    pairs = opened.join(inside, "group").where((F.col("component") < F.col("v_component")) & fits)
-    pairs = cut_lineage(pairs.select(F.col("node").alias("u"), "v", "size", "v_size"), "opened")
-    left, right = (tokens.select(F.col("node").alias(x), F.col("tokens").alias(f"{x}_tokens")) for x in "uv")
-    common = F.size(F.array_intersect("u_tokens", "v_tokens"))
-    return pairs.join(left, "u").join(right, "v").where(common >= how.needed(a, F.col("v_size"))).select("u", "v")
+    # a group is one row with its members, so a node that opens it is compared with them in place and no pair becomes a row before it is counted
+    inside = members.join(tokens.withColumnRenamed("tokens", "own"), "node").select(
+        "group", F.struct(F.col("node").alias("v"), "size", "component", "held", "own").alias("m")
+    )
+    inside = inside.groupBy("group").agg(F.collect_list("m").alias("members"))
+    inside = inside.withColumn("union", F.array_distinct(F.flatten(F.transform("members", lambda m: m["own"]))))
+    opened = met.join(tokens, "node").join(inside, "group").where(F.size(F.array_intersect("tokens", "union")) >= F.col("needed"))
+
+    def passes(m: Column) -> Column:
+        needed = how.needed(a, m["size"])
+        fits = (F.col("component") < m["component"]) & how.sizes_fit(a, m["size"]) & (m["held"] >= needed)
+        return fits & (F.size(F.array_intersect("tokens", m["own"])) >= needed)
+
+    return opened.select(F.col("node").alias("u"), F.explode(F.transform(F.filter("members", passes), lambda m: m["v"])).alias("v"))
 
 
 def near_duplicate_classes(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -334,8 +338,9 @@ def near_duplicate_classes(docs: DataFrame, words: int, num: int, den: int) -> D
     levels = spark.sparkContext.broadcast(_frequency_levels(counted))
     prefix = _prefix_rows(docs, how, levels)
     key = F.xxhash64("node")
-    repeated = prefix.groupBy("token").agg(F.min(key).alias("low"), F.max(key).alias("high")).where("low <> high").select("token")
-    shared = cut_lineage(prefix.join(repeated, "token", "left_semi").distinct(), "shared-tokens")
+    every = Window.partitionBy("token")  # prefix tokens are made and moved once; the frequent ones lie behind the prefixes
+    repeated = prefix.withColumns({"low": F.min(key).over(every), "high": F.max(key).over(every)}).where("low <> high")
+    shared = cut_lineage(repeated.select("token", "node", "size").distinct(), "shared-tokens")
 
     links = _verified(_star_pairs(shared, how), docs, how)
     stars = cut_lineage(components(links), "stars")

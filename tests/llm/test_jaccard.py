@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from lexiloom.llm import jaccard
 from lexiloom.llm.jaccard import near_duplicate_classes, one_of_each_class, shingle_sets
 
 from .conftest import AWKWARD
@@ -80,3 +81,24 @@ def test_words_are_split_at_ascii_space_and_only_ascii_is_lowered():
 
     a, b, c, d = shingle_sets(pa.array(["A\x0bB\tÄ", "a b Ä", "a b ä", "a b\xa0Ä"]), 3)
     assert a.tolist() == b.tolist() != c.tolist() and len(d) == 1
+
+
+def test_members_of_opened_groups_are_not_stored_as_pairs(make_docs, monkeypatch):
+    random.seed(11)
+    rows = []
+    for i in range(112):
+        words = [f"w{i % 8}.{k}" for k in range(40)]  # 14 copies of a text each: too few to count as frequent, below the threshold
+        for at in random.sample(range(40), 2):
+            words[at] = f"own{i}.{at}"
+        rows.append((i, " ".join(words)))
+    stored, cut = {}, jaccard.cut_lineage
+
+    def spy(df, name):
+        out = cut(df, name)
+        stored[name] = max(stored.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "cut_lineage", spy)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicate_classes(make_docs(rows), 3, 90, 100).toArrow().to_pylist()}
+    assert got == brute(rows, 3, 90, 100)
+    assert stored["matrix"] and "opened" not in stored  # a pair is a row only once its common tokens are counted
