@@ -35,6 +35,7 @@ from ..session import cut_lineage
 from .common import query, table
 
 SMALL_CLASS = 4096  # rows of one vector that are ordered in one place
+LISTS = 256  # lists of one batch that a task opens at a time: each holds up to thousands of pairs
 HALF_ERROR = 2.0**-9  # of an inner product of unit vectors in half precision, with room to spare
 
 
@@ -174,6 +175,14 @@ def _kept(row: np.ndarray, rows: int, most: int) -> tuple[np.ndarray, np.ndarray
     return place < most, np.minimum(held, most)
 
 
+def _cut(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a fixed number of rows, so that memory does not follow the size of a batch."""
+    most = most or LISTS
+    for batch in batches:
+        for low in range(0, len(batch), most):
+            yield batch.slice(low, most)
+
+
 def _lists(counts: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(values))
 
@@ -182,7 +191,7 @@ def merged(candidates: DataFrame, degree: int) -> DataFrame:
     """The graph of the best candidates; candidates: (u, v, score, held), held true for neighbours of the graph before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _cut(batches):
             row, found = _segments(batch, "found")
             v, score, held = (found.field(i).to_numpy(zero_copy_only=False) for i in range(3))
             order = np.lexsort((~held, v, row))  # of one node twice, the one that was held before
@@ -218,7 +227,7 @@ def improved(graph: DataFrame, points: DataFrame, how: Settings, step: int) -> D
     local = lists.join(known, "node").groupBy("m").agg(F.collect_list(F.struct("node", "fresh", "worst", "half")).alias("members"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _cut(batches):
             row, found = _segments(batch, "members")
             node, fresh, worst = (found.field(i).to_numpy(zero_copy_only=False) for i in range(3))
             vectors, out = _halves(found.field(3)), []
@@ -299,7 +308,7 @@ def _advance(how: Settings) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     """Beams merged with what was found; the best nodes not yet expanded become the next front and count as expanded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _cut(batches):
             row, beam = _segments(batch, "beam")
             own = beam.to_numpy(), batch.column("scores").flatten().to_numpy(), batch.column("done").flatten().to_numpy(zero_copy_only=False)
             from_row, found = _segments(batch, "found")  # one element per expanded node

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexiloom.llm import neighbour_graph
@@ -97,3 +98,9 @@ def test_queries_from_outside(spark):
     hits = sum(len(got[q] & set(np.argsort(-(known @ np.array(v)))[:10].tolist())) for q, v in outside)
     assert hits / 400 >= 0.95
     assert not spark.catalog.tableExists(index.name)
+
+
+def test_batches_are_opened_in_slices():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600))], names=["m"])
+    cut = list(neighbour_graph._cut(iter([batch, batch.slice(0, 0)])))
+    assert [len(c) for c in cut] == [256, 256, 88] and [v for c in cut for v in c.column(0).to_pylist()] == list(range(600))
