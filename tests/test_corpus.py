@@ -110,6 +110,18 @@ def test_paragraph_vote_equals_brute_force_for_any_bound(spark, heavy):
     assert got == brute_votes(lines, readings)
 
 
+def test_units_of_a_kind_are_tallied_once(spark):
+    """A refrain in 300 units that agree, and one set of forms with it: two units of a kind, and none by the refrain alone where
+    the rarer form gives more votes."""
+    held = [("refrain", f"u{n:03}", 1) for n in range(300)] + [("rare", f"u{n:03}", 1) for n in range(290, 294)]
+    sets = [("a", "refrain", 1), ("b", "refrain", 1), ("b", "rare", 1), ("c", "rare", 2)]
+    units = spark.createDataFrame(held, "form string, text_unit_id string, n long")
+    tallied = al.leading_units(spark.createDataFrame(sets, "sig string, form string, m long"), units)
+    got = sorted((r.sig, r.text_unit_id, r.v) for r in tallied.collect())
+    assert got == [("a", "u000", 1), ("a", "u001", 1), ("b", "u290", 2), ("b", "u291", 2), ("c", "u290", 2), ("c", "u291", 2)]
+    assert al.two_of_a_kind(units).count() == 2 + 2 * 2
+
+
 def test_a_tied_vote_keeps_the_unit_of_an_accepted_line(spark):
     lines = make_lines(spark, [("l1", "u1", 1, 1, "alpha", None), ("l2", "u2", 2, 1, "beta", None)])
     asked = spark.createDataFrame([("r", 1, 1, "alpha"), ("r", 2, 1, "beta")], "reading_id string, line_order int, paragraph int, text string")
