@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import Script, PRIMARY, loose_of_normal, primary_normal, split_words, strip_accents, words
+from .text import PRIMARY, Script, nfc, split_words, strip_accents, words
 
 # The ordered rewrites of the phonetic key.  ("lit", a, b) is a literal replacement,
 # ("re", a, b) a pattern, ("map", a, b) single characters.
@@ -95,11 +95,11 @@ def first_letters(key: Column) -> Column:
 
 
 def primary_initials(value: Column, script: Script = PRIMARY) -> Column:
-    """Query side: first letter that is not a mark, of each word."""
-    bare = F.transform(
-        split_words(primary_normal(value, script)), lambda w: F.substring(loose_of_normal(w, script), 1, 1)
-    )
-    return F.array_join(bare, "")
+    """Query side: first letter that is not a mark, of each word; a word is a run of the script's block."""
+    marks = f"[{script.marks}]*+" if script.marks else ""
+    letter = f"[{script.block}&&[^{script.marks}]]" if script.marks else f"[{script.block}]"
+    found = F.regexp_extract_all(nfc(value), F.lit(f"{marks}({letter})(?:{script.letter})?+"), F.lit(1))
+    return F.array_join(found, "")
 
 
 def primary_initials_indexed(value: Column) -> Column:

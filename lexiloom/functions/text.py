@@ -14,14 +14,16 @@ from operator import or_
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # Fixed value: the white-space set of ECMAScript, spelled out because Java's \s is ASCII only.
 SPACE = r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 # Fixed value: zero-width characters and byte-order mark dropped by the alignment keys.
 ZERO_WIDTH = r"\x{200B}-\x{200D}\x{FEFF}"
-WORD = r"[\p{L}\p{M}]+"
-TOKEN = rf"[\p{{L}}\p{{M}}]+|[\p{{N}}]+|[^{SPACE}]"
+# Java decides one range quickly and a class of several slowly: these come first wherever most characters fall under them.
+NOT_VISIBLE = "(?![!-~])"
+WORD = r"(?:[a-z]++|[\p{L}\p{M}])++"
+TOKEN = rf"{WORD}|[\p{{N}}]+|[^{SPACE}]"
 
 
 @dataclass(frozen=True)
@@ -30,6 +32,19 @@ class Script:
 
     block: str
     marks: str
+    # one range inside the block that most letters lie in: looked at first, as a class of several ranges is slow
+    common: str = ""
+
+    @property
+    def letter(self) -> str:
+        """Pattern of a run of characters of the block, which never gives one back."""
+        return f"(?:[{self.common}]++|[{self.block}])++" if self.common else f"[{self.block}]++"
+
+    @property
+    def outside(self) -> str:
+        """Pattern of a run of other characters."""
+        one = f"(?![{self.common}])[^{self.block}]"
+        return f"{one}(?:{one})*+" if self.common else f"[^{self.block}]++"
 
 
 # Default primary block and the marks its loose key removes.
@@ -42,6 +57,7 @@ LATIN = Script(
     block=r"A-Za-z\x{00C0}-\x{024F}",
     marks=r"AEIOUaeiou\x{00C0}-\x{00C6}\x{00C8}-\x{00CF}\x{00D2}-\x{00D6}\x{00D9}-\x{00DC}"
     r"\x{00E0}-\x{00E6}\x{00E8}-\x{00EF}\x{00F2}-\x{00F6}\x{00F9}-\x{00FC}",
+    common="a-z",
 )
 
 # A string made only of these code points, without the listed exceptions, is already in NFC: none of
@@ -84,6 +100,16 @@ def nfc(value: Column) -> Column:
     return F.coalesce(_nfc(F.when(nfc_maybe(value), value)), value)
 
 
+@F.arrow_udf(ArrayType(StringType()))
+def _nfc_each(values: pa.Array) -> pa.Array:
+    return pa.array([None if v is None else [unicodedata.normalize("NFC", item) for item in v] for v in values.to_pylist()], pa.list_(pa.string()))
+
+
+def nfc_each(items: Column, maybe: Column) -> Column:
+    """NFC of every item of an array; only arrays of texts that can need it (``nfc_maybe``) go to the worker."""
+    return F.coalesce(_nfc_each(F.when(maybe, items)), items)
+
+
 def nfd(value: Column) -> Column:
     return F.coalesce(_nfd(F.when(value.rlike(NFD_MAYBE), value)), value)
 
@@ -112,7 +138,7 @@ def strip_accents(value: Column) -> Column:
 
 
 def fold_space(value: Column) -> Column:
-    return F.trim(F.regexp_replace(value, f"[{SPACE}]+", " "))
+    return F.trim(F.regexp_replace(value, f"{NOT_VISIBLE}[{SPACE}]+", " "))
 
 
 # -- tokens ---------------------------------------------------------------------------------------
@@ -129,7 +155,9 @@ def words(value: Column) -> Column:
 
 def lexical_words(value: Column, script: Script = PRIMARY) -> Column:
     """Tokens of class ``lexical_primary``: letter runs that lie wholly inside the block."""
-    inside = rf"(?<![\p{{L}}\p{{M}}])[{script.block}&&[\p{{L}}\p{{M}}]]++(?![\p{{L}}\p{{M}}])"
+    letters = rf"[{script.block}&&[\p{{L}}\p{{M}}]]"
+    run = f"(?:[{script.common}]++|{letters})++" if script.common else f"{letters}++"
+    inside = rf"(?<![\p{{L}}\p{{M}}]){run}(?![\p{{L}}\p{{M}}])"
     return F.regexp_extract_all(value, F.lit(inside), F.lit(0))
 
 
@@ -144,7 +172,7 @@ def compare_words(value: Column, script: Script = PRIMARY) -> Column:
 
 def token_class(token: Column, script: Script = PRIMARY) -> Column:
     return (
-        F.when(token.rlike(f"^[{script.block}]+$") & token.rlike(r"[\p{L}\p{M}]"), "lexical_primary")
+        F.when(token.rlike(f"^{script.letter}$") & token.rlike(r"[\p{L}\p{M}]"), "lexical_primary")
         .when(token.rlike(r"^\p{N}+$"), "numeric_marker")
         .when(token.rlike(r"^\p{P}+$") | token.isin("॥", "।"), "punctuation")
         .when(token.rlike(r"[\p{L}\p{M}]"), "lexical_other_script")
@@ -154,7 +182,7 @@ def token_class(token: Column, script: Script = PRIMARY) -> Column:
 
 def pieces(value: Column) -> Column:
     """Tokens together with the white space before them; put together they are the text again."""
-    return F.regexp_extract_all(value, F.lit(f"[{SPACE}]*(?:{TOKEN})"), F.lit(0))
+    return F.regexp_extract_all(value, F.lit(f"(?:{NOT_VISIBLE}[{SPACE}])*+(?:{TOKEN})"), F.lit(0))
 
 
 def piece_token(piece: Column) -> Column:
@@ -164,7 +192,12 @@ def piece_token(piece: Column) -> Column:
 def utf16_length(value: Column) -> Column:
     """Length in UTF-16 units; only text beyond the basic plane is encoded to find out."""
     wide = (F.octet_length(F.encode(value, "UTF-16BE")) / 2).cast("int")
-    return F.when(value.rlike(r"[\x{10000}-\x{10FFFF}]"), wide).otherwise(F.length(value))
+    length = F.length(value)
+    return F.when((F.octet_length(value) >= length + 3) & value.rlike(r"[\x{10000}-\x{10FFFF}]"), wide).otherwise(length)
+
+
+# Fixed value: marks that the loose key leaves out.
+SENTENCE_MARKS = "।॥|"
 
 
 # -- comparison keys ------------------------------------------------------------------------------
@@ -180,22 +213,27 @@ def whitespace_key(value: Column) -> Column:
 
 def align_key(value: Column) -> Column:
     """NFC, no zero-width characters, folded spaces."""
-    return fold_space(F.regexp_replace(nfc(value), f"[{ZERO_WIDTH}]", ""))
+    return fold_space(F.regexp_replace(nfc(value), f"{NOT_VISIBLE}[{ZERO_WIDTH}]", ""))
 
 
 def compact_key(value: Column) -> Column:
     """NFC, virama written as udaat, no zero-width characters, no spaces at all."""
-    swapped = F.translate(nfc(value), "੍", "ੑ")
-    return F.regexp_replace(swapped, f"[{ZERO_WIDTH}{SPACE}]", "")
+    swapped = F.replace(nfc(value), F.lit("੍"), F.lit("ੑ"))
+    return F.regexp_replace(swapped, f"{NOT_VISIBLE}[{ZERO_WIDTH}{SPACE}]+", "")
+
+
+def unmarked(key: Column) -> Column:
+    """Without sentence marks; a replacement looks for bytes, ``translate`` at every character."""
+    return reduce(lambda kept, mark: F.replace(kept, F.lit(mark), F.lit("")), SENTENCE_MARKS, key)
 
 
 def loose_key(value: Column) -> Column:
-    return F.translate(compact_key(value), "।॥|", "")
+    return unmarked(compact_key(value))
 
 
 def primary_normal(value: Column, script: Script = PRIMARY) -> Column:
     """Only characters of the block, words separated by one space."""
-    return F.trim(F.regexp_replace(nfc(value), f"[^{script.block}]+", " "))
+    return F.trim(F.regexp_replace(nfc(value), script.outside, " "))
 
 
 def primary_loose(value: Column, script: Script = PRIMARY) -> Column:

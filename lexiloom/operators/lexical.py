@@ -9,19 +9,23 @@ from __future__ import annotations
 from collections.abc import Sequence
 from unicodedata import normalize
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..functions.text import (
     PRIMARY,
     Script,
     compare_words,
     lexical_words,
-    nfc,
-    piece_token,
+    nfc_each,
+    nfc_maybe,
     pieces,
     token_class,
+    tokens,
     utf16_length,
 )
 
@@ -32,11 +36,15 @@ def token_occurrences(lines: DataFrame, script: Script = PRIMARY, release: str |
     Pieces tile the line, so offsets are running sums, taken inside the row: no line or token moves.
     """
     columns = ["line_id", "text_unit_id", "source_work_id"]
-    cut = lines.select(*columns, pieces(F.col("text")).alias("pieces"))
-    # in a step of its own: the pieces are read twice, and cut once
-    placed = cut.withColumn("ends", _running_ends(F.col("pieces")))
-    split = placed.select(*columns, F.posexplode(F.arrays_zip("pieces", "ends")).alias("position", "p"))
-    rows = split.select(*columns, "position", "p.ends", piece_token(F.col("p.pieces")).alias("exact_form"))
+    text = F.col("text")
+    cut = lines.select(*columns, pieces(text).alias("pieces"), tokens(text).alias("tokens"), nfc_maybe(text).alias("maybe"))
+    # in steps of their own: pieces and tokens are read twice, and cut once
+    placed = cut.select(*columns, "tokens", "maybe", running_ends(F.col("pieces")).alias("ends"))
+    formed = placed.select(*columns, "tokens", "ends", nfc_each(F.col("tokens"), F.col("maybe")).alias("forms"))
+    # the outer form: Spark would make the arrays once more to ask whether they have items
+    split = formed.select(*columns, F.posexplode_outer(F.arrays_zip("tokens", "ends", "forms")).alias("position", "p"))
+    split = split.filter("position IS NOT NULL")
+    rows = split.select(*columns, "position", "p.ends", F.col("p.tokens").alias("exact_form"), F.col("p.forms").alias("compare_form"))
     offsets = []
     for unit, measure in UNITS.items():
         end = F.col("ends")[unit]
@@ -47,41 +55,32 @@ def token_occurrences(lines: DataFrame, script: Script = PRIMARY, release: str |
         "position",
         *offsets,
         "exact_form",
-        nfc(F.col("exact_form")).alias("compare_form"),
+        "compare_form",
         token_class(F.col("exact_form"), script).alias("token_class"),
         F.lit(release).cast("string").alias("analysis_release_id"),
     )
 
 
 UNITS = {"utf16": utf16_length, "cp": F.length, "byte": F.octet_length}
-# Pieces are summed in runs of this many, then the runs: work per piece stays the same in a line of any length.
-RUN = 64
-
-
-def _running_ends(items: Column) -> Column:
-    """Array of (utf16, cp, byte): where each of ``items`` ends when they are put together."""
-    zero = F.struct(*[F.lit(0).alias(unit) for unit in UNITS])
-    plus = lambda x, y: F.struct(*[(x[unit] + y[unit]).alias(unit) for unit in UNITS])
-    size = lambda item: F.struct(*[measure(item).cast("int").alias(unit) for unit, measure in UNITS.items()])
-
-    def sums(run: Column) -> Column:
-        """Running sums of a run, after a leading zero."""
-        return F.aggregate(run, F.array(zero), lambda done, item: F.array_append(done, plus(F.element_at(done, -1), size(item))))
-
-    firsts = F.filter(F.sequence(F.lit(0), F.size(items), F.lit(RUN)), lambda at: at < F.size(items))
-    runs = F.transform(firsts, lambda at: sums(F.slice(items, at + 1, RUN)))
-    # the sum before each run: one state of (sum so far, shifted runs) over the runs
-    state = F.struct(zero.alias("before"), F.array().cast("array<array<struct<utf16:int,cp:int,byte:int>>>").alias("runs"))
-    moved = F.aggregate(
-        runs,
-        state,
-        lambda s, run: F.struct(
-            plus(s["before"], F.element_at(run, -1)).alias("before"),
-            F.array_append(s["runs"], F.transform(F.slice(run, 2, RUN), lambda end: plus(s["before"], end))).alias("runs"),
-        ),
-        lambda s: s["runs"],
-    )
-    return F.flatten(moved)
+
+
+@F.arrow_udf(ArrayType(StructType([StructField(unit, IntegerType()) for unit in UNITS])))
+def running_ends(items: pa.Array) -> pa.Array:
+    """Where each of a line's pieces ends when they are put together, for a batch of lines: sums over its bytes."""
+    flat, starts = items.flatten().cast(pa.large_string()), items.offsets.to_numpy()
+    starts = starts - starts[0]
+    cuts = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
+    data = np.frombuffer(flat.buffers()[2] or b"", np.uint8)[cuts[0] : cuts[-1]]
+    cuts = cuts - cuts[0]
+    before = np.repeat(cuts[starts[:-1]], np.diff(starts))
+    # bytes that open a code point, and those that open one beyond the basic plane
+    opened = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    wide = np.concatenate([[0], np.cumsum(data >= 0xF0)])
+    ends = cuts[1:]
+    cp = opened[ends] - opened[before]
+    parts = [cp + wide[ends] - wide[before], cp, ends - before]
+    rows = pa.StructArray.from_arrays([pa.array(part.astype(np.int32)) for part in parts], list(UNITS))
+    return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), rows)
 
 
 def _hits(words: Column, form: Column) -> Column:

@@ -111,3 +111,28 @@ def test_markup(spark):
     assert values(spark, [html], lambda c: tx.markup_lines_decoded_first(c, tx.PRIMARY))[0] == ["ਸਤਿ", 'ਨਾਮੁ & "a"b']
 
 
+
+
+def test_ends_of_pieces_are_summed_over_a_batch():
+    import pyarrow as pa
+
+    from lexiloom.operators.lexical import running_ends
+
+    lines = [["a", " ä", "𝒳𝒳"], [], None, [" ॥"], ["x"] * 200]
+    got = running_ends.func(pa.array([["cut"], *lines], pa.list_(pa.string()))[1:]).to_pylist()
+    for line, ends in zip(lines, got):
+        joined = ["".join(line[: n + 1]) for n in range(len(line or []))]
+        assert [(e["utf16"], e["cp"], e["byte"]) for e in ends] == [(len(j.encode("utf-16-le")) // 2, len(j), len(j.encode())) for j in joined]
+
+
+def test_a_common_range_changes_no_word(spark):
+    from dataclasses import replace
+
+    LATIN = tx.LATIN
+
+    assert LATIN.common and not replace(LATIN, common="").common
+    texts = ["", "aeiou xyz", "É--Ébc Àà ZZ zZ9q", "a", "ñandú, Straße!", "日本 x本y", "\u00a0b\u2003c\u200bd"]
+    table = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = replace(LATIN, common="")
+    rows = table.select(*[f(F.col("t"), s) for f in (rm.primary_initials, tx.primary_normal, tx.compare_words) for s in (LATIN, plain)]).collect()
+    assert all(r[0] == r[1] and r[2] == r[3] and r[4] == r[5] for r in rows)
