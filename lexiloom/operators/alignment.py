@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .containment import grams
 from .ordering import positions
-from ..functions.text import align_key, compact_key, compare_form, loose_key, whitespace_key
+from ..functions.text import SENTENCE_MARKS, align_key, compact_key, compare_form, loose_key, unmarked, whitespace_key
 
 
 def _key_counts(lines: DataFrame, key: Column) -> DataFrame:
@@ -141,10 +143,6 @@ def map_layers(layers: DataFrame, group_units: DataFrame) -> DataFrame:
 
 
 RUN_MAX = 5
-# Fixed value: marks that the loose key leaves out.
-SENTENCE_MARKS = "।॥|"
-
-
 BLOCK = 4096
 
 
@@ -154,33 +152,54 @@ def line_runs(
     """All runs of 1..longest consecutive lines of a unit, with the digests of the joined key, ``digest`` of the key itself and
     ``loose`` without sentence marks: a joined text is made and hashed inside the row, and never moved.
 
-    A unit may hold a third of all rows, so the window is not over the unit: every line is sent to
-    its block of ``block`` ordinals and, when it is among the first of a block, also to the block
-    before as look-ahead.  Runs start only at a block's own lines.
+    A unit of up to ``block`` lines is one window, and its lines move once.  A longer one may hold a third of all rows: its
+    lines are placed by ranges, and every line is sent to its block of ``block`` ordinals and, when it is among the first of
+    a block, also to the block before as look-ahead.  Runs start only at a block's own lines.
     """
-    placed = lines.select("text_unit_id", "page_no", "line_order", "line_id", key(F.col("text")).alias("k0"))
-    ordinal = positions(placed, "text_unit_id", ["page_no", "line_order", "line_id"])
+    order = ["page_no", "line_order", "line_id"]
+    counted = lines.groupBy(F.col("text_unit_id").alias("_long")).agg(F.count("*").alias("_n"))
+    long_units = cut_lineage(counted.filter(F.col("_n") > block).select("_long"), "long-units")
+    is_long = F.col("text_unit_id").eqNullSafe(F.col("_long"))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.select("text_unit_id", *order, key(F.col("text")).alias("k0"))
+
+    in_unit = W.partitionBy("text_unit_id").orderBy(*order)
+    short = placed(lines.join(long_units, is_long, "left_anti")).withColumn("ordinal", (F.row_number().over(in_unit) - 1).cast("bigint"))
+    ordinal = positions(placed(lines.join(long_units, is_long, "left_semi")), "text_unit_id", order)
     own = ordinal.select("*", F.floor(F.col("ordinal") / block).alias("blk"), F.lit(True).alias("own"))
     ahead = own.filter((F.col("ordinal") % block < longest - 1) & (F.col("blk") > 0)).withColumns(
         {"blk": F.col("blk") - 1, "own": F.lit(False)}
     )
-    w = W.partitionBy("text_unit_id", "blk").orderBy("ordinal")
-    follow = own.unionByName(ahead).select("text_unit_id", "ordinal", "own", "line_id", "k0", "blk")
-    ids, keys = [F.col("line_id")], [F.col("k0")]
-    for n in range(1, longest):
-        ids.append(F.lead("line_id", n).over(w))
-        keys.append(F.lead("k0", n).over(w))
-    follow = follow.select("*", *[i.alias(f"i{n}") for n, i in enumerate(ids)], *[k.alias(f"s{n}") for n, k in enumerate(keys) if n])
+    in_block = W.partitionBy("text_unit_id", "blk").orderBy("ordinal")
+    blocks = _followed(own.unionByName(ahead), in_block, longest).filter("own").drop("own")
+    return _runs(_followed(short.withColumn("own", F.lit(True)), in_unit, longest).drop("own"), longest).unionByName(_runs(blocks, longest))
+
+
+def _followed(rows: DataFrame, w: W, longest: int) -> DataFrame:
+    """Every line with the ids (i) and joined keys (j) up to each of the ``longest`` lines from it on."""
+    ids = [F.col("line_id") if n == 0 else F.lead("line_id", n).over(w) for n in range(longest)]
+    keys = [F.col("k0") if n == 0 else F.lead("k0", n).over(w) for n in range(longest)]
+    kept = ["text_unit_id", "ordinal", "own", "line_id"]
+    follow = rows.select(*kept, *[i.alias(f"i{n}") for n, i in enumerate(ids)], *[k.alias(f"s{n}") for n, k in enumerate(keys)])
+    joined = [F.concat(*[F.col(f"s{m}") for m in range(n + 1)]).alias(f"j{n}") for n in range(longest)]
+    return follow.select(*kept, *[f"i{n}" for n in range(longest)], *joined)
+
+
+def _runs(follow: DataFrame, longest: int) -> DataFrame:
+    """One row per run; a text without sentence marks is hashed once."""
     options = []
-    for n in range(1, longest + 1):
-        joined = F.concat(*[F.col("k0" if m == 0 else f"s{m}") for m in range(n)])
+    for n in range(longest):
+        joined = F.col(f"j{n}")
+        marked = reduce(or_, [F.contains(joined, F.lit(mark)) for mark in SENTENCE_MARKS])
+        digest = F.md5(joined)
         options.append(
             F.struct(
-                F.lit(n).alias("length"), F.md5(joined).alias("digest"), F.md5(F.translate(joined, SENTENCE_MARKS, "")).alias("loose"),
-                F.col(f"i{n - 1}").alias("last_line_id"),
+                F.lit(n + 1).alias("length"), digest.alias("digest"), F.when(marked, F.md5(unmarked(joined))).otherwise(digest).alias("loose"),
+                F.col(f"i{n}").alias("last_line_id"),
             )
         )
-    runs = follow.filter("own").select("text_unit_id", F.col("line_id").alias("first_line_id"), "ordinal", F.inline(F.array(*options)))
+    runs = follow.select("text_unit_id", F.col("line_id").alias("first_line_id"), "ordinal", F.inline(F.array(*options)))
     return runs.filter(F.col("last_line_id").isNotNull())
 
 
