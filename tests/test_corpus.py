@@ -122,6 +122,27 @@ def test_units_of_a_kind_are_tallied_once(spark):
     assert al.two_of_a_kind(units).count() == 2 + 2 * 2
 
 
+def test_lines_of_short_units_are_not_placed_by_ranges(spark, monkeypatch):
+    lines = make_lines(spark, [(f"l{n}", "long" if n < 9 else f"u{n % 4}", n, 1, f"t{n} |", None) for n in range(30)])
+    given, real = [], al.positions
+    monkeypatch.setattr(al, "positions", lambda rows, *rest: given.append(rows.count()) or real(rows, *rest))
+    runs = {(r.first_line_id, r.last_line_id): (r.digest, r.loose) for r in al.line_runs(lines, longest=2, block=8).collect()}
+    assert given == [9]
+    md5 = lambda text: hashlib.md5(text.encode()).hexdigest()
+    assert runs["l7", "l8"] == (md5("t7|t8|"), md5("t7t8")) and runs["l9", "l13"] == (md5("t9|t13|"), md5("t9t13"))
+    assert len(runs) == 2 * 30 - 5
+
+
+@pytest.mark.parametrize("in_row", [0, 10])
+def test_substrings_are_found_in_the_row_or_by_ids(spark, in_row):
+    texts = ["abcabd", "xxabdxx", "", "ab", "caba"]
+    needles = ["abd", "ab", "cabd", "a", "zz"]
+    asked = spark.createDataFrame(list(enumerate(needles)), "query_id int, needle string")
+    table = spark.createDataFrame(list(enumerate(texts)), "id int, hay string")
+    found = substring_join(asked, table, "needle", "hay", "id", stored=True, in_row=in_row)
+    assert sorted((r.query_id, r.id) for r in found.collect()) == [(q, i) for q, n in enumerate(needles) for i, h in enumerate(texts) if n in h]
+
+
 def test_a_tied_vote_keeps_the_unit_of_an_accepted_line(spark):
     lines = make_lines(spark, [("l1", "u1", 1, 1, "alpha", None), ("l2", "u2", 2, 1, "beta", None)])
     asked = spark.createDataFrame([("r", 1, 1, "alpha"), ("r", 2, 1, "beta")], "reading_id string, line_order int, paragraph int, text string")
