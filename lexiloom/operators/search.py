@@ -284,18 +284,23 @@ def search(queries: DataFrame, index: SearchIndex, limit: int = 60, preferred_wo
 def aligned_forms(hits: DataFrame, fold, key) -> DataFrame:
     """Primary-script tokens opposite the romanised tokens equal to the query, when both counts agree.
 
-    ``hits``: query, text, romanised; ``fold`` and ``key`` are the reader's folds.
+    ``hits``: query, text, romanised; ``fold`` and ``key`` are the reader's folds.  A token is keyed once, not wherever it
+    stands: the distinct ones that answer a query are few, stored, and met by equality.
     """
     from ..functions.text import words
 
     latin = split_words(fold(F.col("romanised")))
-    paired = hits.select("query_id", "line_id", key(F.col("query")).alias("wanted"), words(F.col("text")).alias("a"), latin.alias("b"))
-    zipped = paired.filter(F.size("a") == F.size("b")).select(
-        "query_id", "line_id", "wanted", F.posexplode(F.arrays_zip("a", "b")).alias("position", "p")
-    )
-    return zipped.filter(key(F.col("p.b")) == F.col("wanted")).select(
-        "query_id", "line_id", "position", F.col("p.a").alias("form"), F.col("p.b").alias("romanised")
-    )
+    # stored, or Spark would key every token to leave out nulls before it takes the distinct ones
+    distinct = cut_lineage(hits.select(F.explode_outer(latin).alias("form")).distinct(), "aligned-words")
+    keyed = distinct.select(F.col("form").alias("romanised"), key(F.col("form")).alias("wanted"))
+    asked = hits.select("query_id", "query").distinct().select("query_id", "query", key(F.col("query")).alias("wanted"))
+    wanted = cut_lineage(keyed.join(asked, "wanted").select("query_id", "query", "romanised"), "aligned-tokens")
+    # steps of their own, and the outer form: words are cut once, not again for each condition on them
+    paired = hits.select("query_id", "query", "line_id", words(F.col("text")).alias("a"), latin.alias("b"))
+    zipped = paired.select("query_id", "query", "line_id", F.when(F.size("a") == F.size("b"), F.arrays_zip("a", "b")).alias("pairs"))
+    rows = zipped.select("query_id", "query", "line_id", F.posexplode_outer("pairs").alias("position", "p"))
+    rows = rows.select("query_id", "query", "line_id", "position", F.col("p.a").alias("form"), F.col("p.b").alias("romanised"))
+    return rows.join(wanted, ["query_id", "query", "romanised"]).select("query_id", "line_id", "position", "form", "romanised")
 
 
 def all_families(units: DataFrame, families: list[DataFrame]) -> DataFrame:

@@ -167,3 +167,15 @@ def test_first_letter_query_stores_no_index(spark):
     # a path of its own, for which no other test has stored an index
     assert queries.first_letter_search(spark, "/root/testdata/sf0.001/.").limit(1).count() == 1
     assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_tokens_are_keyed_once_each(spark, monkeypatch):
+    from lexiloom.functions.roman import reader_fold, reader_key
+
+    rows = [("q", "thee", f"l{n}", "a b c", "the cat the") for n in range(20)] + [("p", "cat", "l", "a b", "one two three")]
+    hits = spark.createDataFrame(rows, "query_id string, query string, line_id string, text string, romanised string")
+    stored, real = {}, se.cut_lineage
+    monkeypatch.setattr(se, "cut_lineage", lambda df, name: stored.update({name: df.count()}) or real(df, name))
+    got = sorted((r.query_id, r.line_id, r.position, r.form) for r in se.aligned_forms(hits, reader_fold, reader_key).collect())
+    assert got == sorted(("q", f"l{n}", at, form) for n in range(20) for at, form in ((0, "a"), (2, "c")))
+    assert stored["aligned-words"] == 5
