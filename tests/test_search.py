@@ -179,3 +179,45 @@ def test_tokens_are_keyed_once_each(spark, monkeypatch):
     got = sorted((r.query_id, r.line_id, r.position, r.form) for r in se.aligned_forms(hits, reader_fold, reader_key).collect())
     assert got == sorted(("q", f"l{n}", at, form) for n in range(20) for at, form in ((0, "a"), (2, "c")))
     assert stored["aligned-words"] == 5
+
+
+def test_a_query_given_twice_may_still_miss_its_rarest_word(spark):
+    lines = make_lines(spark, [("all", "u", 1, 1, "", "abba cede fogi hajo"), ("less", "u", 2, 1, "", "abba cede fogi")])
+    asked = spark.createDataFrame([("q", "abba cede fogi zuzu")] * 2 + [("r", "abba cede fogi hajo")] * 2, "query_id string, query string")
+    got = sorted((r.query_id, r.line_id, r.matched_words) for r in se.retrieve(asked, se.build_index(lines)).collect())
+    assert got == [("q", "all", 3)] * 2 + [("q", "less", 3)] * 2 + [("r", "all", 4)] * 2
+
+
+def test_parts_of_retrieval_are_the_whole(spark):
+    rng = random.Random(9)
+    words = ["sat", "satigur", "nam", "har", "hari", "mera", "t", "ea"]
+    lines = make_lines(spark, [(f"l{n}", "u", n, 1, "x", " ".join(rng.choices(words, k=rng.randint(1, 6)))) for n in range(40)])
+    asked = spark.createDataFrame([(f"q{n}", " ".join(rng.choices([*words, "zzz"], k=rng.randint(1, 6)))) for n in range(40)], "query_id string, query string")
+    index = se.build_index(lines)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    whole, less = rows(se.retrieve_whole(asked, index)), rows(se.retrieve_omitted(asked, index))
+    assert whole and less and rows(se.retrieve(asked, index)) == sorted(whole + less)
+
+
+def test_neither_lines_nor_pairs_are_stored_by_a_search(spark, monkeypatch):
+    """What a search writes belongs to the queries; the texts of hits go nowhere."""
+    lines = make_lines(spark, [(f"l{n}", f"u{n}", n, 1, "", "the heron and the other heron") for n in range(200)])
+    index = se.build_index(lines)
+    sizes, real = {}, se.cut_lineage
+
+    def counted(df, name):
+        out = real(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(se, "cut_lineage", counted)
+    hits = se.scored_lines(spark.createDataFrame([("q", "the"), ("r", "th")], "query_id string, query string"), index)
+    assert hits.count() == 400 and not {"text", "romanised"} & set(hits.columns)
+    assert max(sizes.values()) <= 10
+
+
+def test_an_id_of_two_texts_has_one_score_per_line(spark):
+    lines = make_lines(spark, [("l", "u", 1, 1, "", "gagan mai thaal"), ("m", "u", 2, 1, "", "gagan")])
+    asked = spark.createDataFrame([("q", "gagan"), ("q", "gagan mai thaal")], "query_id string, query string")
+    got = {(r.line_id, r.score) for r in se.scored_lines(asked, se.build_index(lines)).collect()}
+    assert got == {("l", 1000.0), ("m", 1000.0)}
